@@ -126,24 +126,28 @@ def _rows_of_all(r: DataFrame, raters: Sequence) -> DataFrame:
     return r.groupBy("subject").agg(F.array(*each).alias("all"))
 
 
-def light_kappa(r: DataFrame, raters: Sequence) -> DataFrame:
-    """Mean Cohen kappa over rater pairs.
+def pair_agreement(r: DataFrame, raters: Sequence) -> DataFrame:
+    """``(pos, other, n, hit)``: how often each pair of raters agrees, raters named by position.
 
     Agreements of one rater with each other rater are summed side by side, m rows of m sums per
     subject, so the pairs of a subject are never written out as rows.
     """
     m = len(raters)
-    agree = (
+    same = [F.sum(F.when(F.col("own") == F.element_at("all", s + 1), 1).otherwise(0)) for s in range(m)]
+    return (
         _rows_of_all(r, raters)
         .select(F.posexplode("all").alias("pos", "own"), "all")
         .groupBy("pos")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*[F.sum(F.when(F.col("own") == F.element_at("all", s + 1), 1).otherwise(0)) for s in range(m)]).alias("hits"),
-        )
+        .agg(F.count(F.lit(1)).alias("n"), F.array(*same).alias("hits"))
         .select("pos", "n", F.posexplode("hits").alias("other", "hit"))
         .where(F.col("pos") < F.col("other"))
     )
+
+
+def light_kappa(r: DataFrame, raters: Sequence) -> DataFrame:
+    """Mean Cohen kappa over rater pairs."""
+    m = len(raters)
+    agree = pair_agreement(r, raters)
     index = F.create_map(*[x for i, k in enumerate(raters) for x in (F.lit(k), F.lit(i))])
     used = r.groupBy(index[F.col("rater")].alias("who"), "rating").agg(F.count(F.lit(1)).alias("c"))
     marginal = used.groupBy("rating").agg(
