@@ -1 +1,528 @@
-"""Queries."""
+"""Queries for sampling, classifiers, metrics, cascade and importance.
+
+Targets on the documents: ``toxic`` (binary), ``degree`` (five classes, noise by construction) and
+``size_k`` (numeric).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyscribe.functions import hashing
+from tallyscribe.operators import bayes, importance, merge, metrics, models, sampling, tokens
+from tallyscribe.plans.fixtures import Inputs, register
+from tallyscribe.plans.q_text import content, trimmed
+from tallyscribe.plans.registry import query, r6, rounded, s6
+from tallyscribe.sources.storage import cut_lineage
+
+TRAIN_BELOW = int(0.8 * hashing.SPAN)
+
+
+def h(key: str, purpose: int) -> str:
+    return f"((({key}) % 2147483648) * {purpose}) % 4294967296"
+
+
+register("labelled", "SELECT doc_id, toxic AS y FROM labels")
+register("train_once", f"SELECT doc_id, y FROM labelled WHERE {h('doc_id', hashing.SPLIT)} < {TRAIN_BELOW}", "labelled")
+register("test_docs", f"SELECT doc_id, y FROM labelled WHERE {h('doc_id', hashing.SPLIT)} >= {TRAIN_BELOW}", "labelled")
+
+
+def _upsampled(frm: str) -> str:
+    """Copies listed in (copy_no, hash) order per class, as many as the largest class has."""
+    return f"""SELECT doc_id, y, copy_no FROM (
+        SELECT *, row_number() OVER (PARTITION BY y ORDER BY copy_no, hash, doc_id) AS nr FROM (
+          SELECT doc_id, y, size, most, {h("doc_id", hashing.UPSAMPLE)} AS hash, unnest(range(0, CAST(ceil(most / size::DOUBLE) AS BIGINT))) AS copy_no FROM (
+            SELECT *, count(*) OVER (PARTITION BY y) AS size,
+              (SELECT max(c) FROM (SELECT count(*) AS c FROM {frm} GROUP BY y) m) AS most FROM {frm}) a) b) c WHERE nr <= most"""
+
+
+register("train_docs", _upsampled("train_once"), "train_once")
+register(
+    "nb_terms",
+    """SELECT term, sum(CASE WHEN y = 0 THEN n ELSE 0 END)::DOUBLE AS n0, sum(CASE WHEN y = 1 THEN n ELSE 0 END)::DOUBLE AS n1
+       FROM trimmed JOIN train_docs USING (doc_id) GROUP BY term""",
+    "trimmed",
+    "train_docs",
+)
+register(
+    "nb_weights",
+    """SELECT term, ln((n0 + 1) / (sum(n0) OVER () + count(*) OVER ())) AS w0, ln((n1 + 1) / (sum(n1) OVER () + count(*) OVER ())) AS w1 FROM nb_terms""",
+    "nb_terms",
+)
+register(
+    "nb_predictions",
+    """SELECT d.doc_id, d.y, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS yhat, greatest(s0, s1) AS score FROM test_docs d LEFT JOIN (
+         SELECT doc_id, sum(n * w0) AS s0, sum(n * w1) AS s1 FROM trimmed JOIN nb_weights USING (term) GROUP BY doc_id) s USING (doc_id)""",
+    "test_docs",
+    "trimmed",
+    "nb_weights",
+)
+
+
+def _toxic(x: Inputs):
+    return x.docs().select("doc_id", "toxic")
+
+
+def _ready(x: Inputs) -> models.Target:
+    return models.prepare_target(trimmed(x), _toxic(x), "toxic")
+
+
+def _nb_test(x: Inputs):
+    ready = _ready(x)
+    model = bayes.nb_fit(ready.counts, ready.train, (0, 1))
+    return bayes.nb_predict(model, dfm_of(ready.counts, ready.test), ready.test).join(ready.test, "doc_id")
+
+
+def dfm_of(counts, docs):
+    return tokens.dfm_docs(counts, docs)
+
+
+# ---- sampling ----------------------------------------------------------------------------
+
+
+@query(
+    "m1_stratified_sample",
+    "docs",
+    f"""SELECT doc_id, date FROM (SELECT doc_id, date, row_number() OVER (PARTITION BY date ORDER BY {h("doc_id", hashing.SAMPLE)}, doc_id) AS nr,
+        count(*) OVER (PARTITION BY date) AS size FROM docs) t WHERE nr <= round_even(0.3::DOUBLE * size, 0)""",
+)
+def _(x):
+    return sampling.stratified_sample(x.docs().select("doc_id", "date"), ["date"], 0.3, "doc_id")
+
+
+@query(
+    "m2_train_test_split",
+    "docs",
+    f"SELECT doc_id, CASE WHEN {h('doc_id', hashing.SPLIT)} < {TRAIN_BELOW} THEN 'train' ELSE 'test' END AS part FROM docs",
+)
+def _(x):
+    train, test = sampling.train_test_split(x.docs().select("doc_id"), "doc_id")
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@query("m3_upsample", "labelled", "SELECT doc_id, y, CAST(copy_no AS INT) AS copy_no FROM (" + _upsampled("labelled") + ") t")
+def _(x):
+    return sampling.upsample(x.table("labels").select("doc_id", F.col("toxic").alias("y")), "y", "doc_id")
+
+
+@query(
+    "m4_assign_folds",
+    "docs",
+    f"""SELECT doc_id, lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY {h("doc_id", hashing.FOLD)}, doc_id) - 1) % 10 AS INT) AS fold FROM docs""",
+)
+def _(x):
+    return sampling.assign_folds(x.docs().select("doc_id", "lang"), "lang", "doc_id", 10)
+
+
+# ---- naive Bayes and its scores ----------------------------------------------------------
+
+
+@query(
+    "k6_prepare_target",
+    "labelled train_docs test_docs trimmed docs",
+    """WITH v AS (SELECT DISTINCT term FROM trimmed WHERE doc_id IN (SELECT doc_id FROM train_docs)),
+         f AS (SELECT doc_id, count(*) AS n_terms, CAST(sum(n) AS BIGINT) AS total FROM trimmed JOIN v USING (term) GROUP BY doc_id),
+         p AS (SELECT 'train' AS part, doc_id, y, CAST(copy_no AS INT) AS copy_no FROM train_docs UNION ALL SELECT 'test', doc_id, y, NULL FROM test_docs
+               UNION ALL SELECT 'unlabelled', doc_id, NULL, NULL FROM docs WHERE toxic IS NULL)
+       SELECT part, doc_id, coalesce(y, -1) AS y, coalesce(copy_no, -1) AS copy_no, coalesce(n_terms, 0) AS n_terms, coalesce(total, 0) AS total
+       FROM p LEFT JOIN f USING (doc_id)""",
+)
+def _(x):
+    ready = _ready(x)
+    size = ready.counts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n").alias("total"))
+    parts = ready.train.select(F.lit("train").alias("part"), "doc_id", "y", "copy_no")
+    parts = parts.unionByName(ready.test.select(F.lit("test").alias("part"), "doc_id", "y"), allowMissingColumns=True)
+    parts = parts.unionByName(ready.unlabelled.select(F.lit("unlabelled").alias("part"), "doc_id"), allowMissingColumns=True)
+    return parts.join(size, "doc_id", "left").fillna(-1, ["y", "copy_no"]).fillna(0, ["n_terms", "total"])
+
+
+@query("k1_naive_bayes", "nb_predictions", f"SELECT doc_id, y, yhat, {s6('score', 'score')} FROM nb_predictions")
+def _(x):
+    return rounded(_nb_test(x).select("doc_id", "y", "yhat", "score"), ["score"])
+
+
+@query(
+    "k1_naive_bayes_weights",
+    "nb_weights",
+    f"SELECT term, {s6('w0', 'w0')}, {s6('w1', 'w1')} FROM nb_weights",
+)
+def _(x):
+    ready = _ready(x)
+    w = bayes.nb_fit(ready.counts, ready.train, (0, 1)).weights
+    return w.select("term", r6(F.element_at("w", 1)).alias("w0"), r6(F.element_at("w", 2)).alias("w1"))
+
+
+@query(
+    "a20_rmse",
+    "docs",
+    f"SELECT {s6('sqrt(avg(pow(size_k - (1 + quality * 2 - toxic), 2)))', 'value')} FROM docs WHERE toxic IS NOT NULL",
+)
+def _(x):
+    labelled = x.docs().where(F.col("toxic").isNotNull()).withColumn("yhat", 1 + F.col("quality") * 2 - F.col("toxic"))
+    return rounded(metrics.rmse(labelled, "size_k", "yhat"), ["value"])
+
+
+def _class_sql(frm: str, c: int) -> str:
+    tp, pp, ap = (
+        f"sum(CASE WHEN y = {c} AND yhat = {c} THEN 1 ELSE 0 END)::DOUBLE",
+        f"nullif(sum(CASE WHEN yhat = {c} THEN 1 ELSE 0 END), 0)::DOUBLE",
+        f"nullif(sum(CASE WHEN y = {c} THEN 1 ELSE 0 END), 0)::DOUBLE",
+    )
+    return f"""SELECT lang, 'Precision_{c}' AS metric, round({tp} / {pp}, 6) + 0.0 AS value FROM {frm} GROUP BY lang
+        UNION ALL SELECT lang, 'Recall_{c}', round({tp} / {ap}, 6) + 0.0 FROM {frm} GROUP BY lang
+        UNION ALL SELECT lang, 'F1_{c}', round(2 * {tp} / ({pp} + {ap}), 6) + 0.0 FROM {frm} GROUP BY lang"""
+
+
+@query(
+    "a21_classification_metrics",
+    "docs",
+    """WITH p AS (SELECT coalesce(lang, 'none') AS lang, degree AS y, CAST(1 + (doc_id * 7) % 4 AS INT) AS yhat FROM docs WHERE degree IS NOT NULL)
+       SELECT lang, 'Accuracy' AS metric, round(avg(CASE WHEN y = yhat THEN 1.0::DOUBLE ELSE 0.0 END), 6) + 0.0 AS value FROM p GROUP BY lang UNION ALL """
+    + " UNION ALL ".join(_class_sql("p", c) for c in (1, 2, 3, 4, 5)),
+)
+def _(x):
+    p = x.docs().where(F.col("degree").isNotNull()).select(
+        F.coalesce("lang", F.lit("none")).alias("lang"), F.col("degree").alias("y"), (1 + (F.col("doc_id") * 7) % 4).cast("int").alias("yhat")
+    )
+    return rounded(metrics.classification_metrics(p, "y", "yhat", (1, 2, 3, 4, 5), by=["lang"]), ["value"])
+
+
+def _binary_sql(frm: str, where: str = "") -> str:
+    tp, pp, ap = (
+        f"(SELECT count(*)::DOUBLE FROM {frm} WHERE y = 1 AND yhat = 1 {where})",
+        f"(SELECT nullif(count(*), 0)::DOUBLE FROM {frm} WHERE yhat = 1 {where})",
+        f"(SELECT nullif(count(*), 0)::DOUBLE FROM {frm} WHERE y = 1 {where})",
+    )
+    return f"""SELECT 'Accuracy' AS metric, (SELECT avg(CASE WHEN y = yhat THEN 1.0::DOUBLE ELSE 0.0 END) FROM {frm} WHERE TRUE {where}) AS value
+        UNION ALL SELECT 'Precision_2', {tp} / {pp} UNION ALL SELECT 'Recall_2', {tp} / {ap} UNION ALL SELECT 'F1_2', 2 * {tp} / ({pp} + {ap})"""
+
+
+@query("a21_binary_metrics", "nb_predictions", f"SELECT metric, {s6('value', 'value')} FROM (" + _binary_sql("nb_predictions") + ") t")
+def _(x):
+    scores = metrics.classification_metrics(_nb_test(x), "y", "yhat", (1,))
+    return rounded(metrics.binary_slots(scores, 1), ["value"])
+
+
+FOLDS = 5
+register(
+    "folds",
+    f"SELECT doc_id, y, (row_number() OVER (PARTITION BY y ORDER BY {h('doc_id', hashing.FOLD)}, doc_id) - 1) % {FOLDS} AS fold FROM labelled",
+    "labelled",
+)
+register(
+    "cv_predictions",
+    " UNION ALL ".join(
+        f"""SELECT d.doc_id, d.fold, d.y, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS yhat FROM folds d LEFT JOIN (
+              SELECT t.doc_id, sum(t.n * ln((n0 + 1) / (t0 + v))) AS s0, sum(t.n * ln((n1 + 1) / (t1 + v))) AS s1 FROM trimmed t JOIN (
+                SELECT term, n0, n1, sum(n0) OVER () AS t0, sum(n1) OVER () AS t1, count(*) OVER () AS v FROM (
+                  SELECT term, sum(CASE WHEN y = 0 THEN n ELSE 0 END)::DOUBLE AS n0, sum(CASE WHEN y = 1 THEN n ELSE 0 END)::DOUBLE AS n1
+                  FROM trimmed JOIN folds USING (doc_id) WHERE fold <> {k} GROUP BY term) a) w USING (term) GROUP BY t.doc_id) s USING (doc_id)
+            WHERE d.fold = {k}"""
+        for k in range(FOLDS)
+    ),
+    "folds",
+    "trimmed",
+)
+
+
+def _cv(x: Inputs):
+    labelled = x.table("labels").select("doc_id", F.col("toxic").alias("y"))
+    folds = sampling.assign_folds(labelled, "y", "doc_id", FOLDS)
+    return bayes.nb_cross_validate(trimmed(x), folds, (0, 1), FOLDS)
+
+
+@query("k1_naive_bayes_folds", "cv_predictions", "SELECT doc_id, CAST(fold AS INT) AS fold, y, yhat FROM cv_predictions")
+def _(x):
+    return _cv(x).select("doc_id", "fold", "y", "yhat")
+
+
+@query(
+    "a22_mean_metrics",
+    "cv_predictions",
+    f"SELECT metric, {s6('avg(value)', 'value')} FROM ("
+    + " UNION ALL ".join(f"SELECT * FROM ({_binary_sql('cv_predictions', f'AND fold = {k}')}) f{k}" for k in range(FOLDS))
+    + ") t GROUP BY metric",
+)
+def _(x):
+    scores = metrics.binary_slots(metrics.classification_metrics(_cv(x), "y", "yhat", (1,), by=["fold"]), 1)
+    return rounded(metrics.mean_metrics(scores, []), ["value"])
+
+
+# ---- tables of predictions and metrics ---------------------------------------------------
+
+register(
+    "preds",
+    """SELECT doc_id, 'flag' AS target, CASE WHEN doc_id % 5 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS pred FROM docs WHERE toxic IS NULL UNION ALL
+       SELECT doc_id, 'scale', (1 + doc_id % 3)::DOUBLE FROM docs WHERE toxic IS NULL UNION ALL
+       SELECT doc_id, 'scale_m', length(text) / 1000.0::DOUBLE FROM docs WHERE toxic IS NULL AND doc_id % 2 = 0""",
+    "docs",
+)
+register(
+    "wide_preds",
+    """SELECT doc_id, max(CASE WHEN target = 'flag' THEN pred END) AS flag, max(CASE WHEN target = 'scale' THEN pred END) AS scale,
+       max(CASE WHEN target = 'scale_m' THEN pred END) AS scale_m FROM preds GROUP BY doc_id""",
+    "preds",
+)
+PRED_TARGETS = ("flag", "scale", "scale_m")
+
+
+def _preds(x: Inputs):
+    d = x.docs().where(F.col("toxic").isNull())
+    flag = d.select("doc_id", F.lit("flag").alias("target"), F.when(F.col("doc_id") % 5 == 0, 1.0).otherwise(0.0).alias("pred"))
+    scale = d.select("doc_id", F.lit("scale").alias("target"), (1 + F.col("doc_id") % 3).cast("double").alias("pred"))
+    m = d.where(F.col("doc_id") % 2 == 0).select("doc_id", F.lit("scale_m").alias("target"), (F.length("text") / 1000.0).alias("pred"))
+    return flag.unionByName(scale).unionByName(m)
+
+
+@query(
+    "j6_assemble_predictions",
+    "docs wide_preds",
+    f"SELECT d.doc_id, p.flag, p.scale, {s6('p.scale_m', 'scale_m')} FROM docs d LEFT JOIN wide_preds p USING (doc_id)",
+)
+def _(x):
+    return rounded(merge.assemble_predictions(x.docs().select("doc_id"), _preds(x), PRED_TARGETS), ["scale_m"])
+
+
+def _scores(x: Inputs):
+    """Metrics of three targets that share one prediction rule, long form."""
+    d = x.docs().where(F.col("toxic").isNotNull())
+    truth = {"toxic": F.col("toxic"), "quality": F.col("quality"), "third": (F.col("doc_id") % 3 == 0).cast("int")}
+    guess = (F.col("doc_id") % 2).cast("int")
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("target"), v.alias("y")) for k, v in truth.items()])).alias("t")
+    p = d.select(rows, guess.alias("yhat")).select("t.target", "t.y", "yhat")
+    return metrics.binary_slots(metrics.classification_metrics(p, "y", "yhat", (1,), by=["target"]), 1)
+
+
+register(
+    "scored",
+    """SELECT 'toxic' AS target, toxic AS y, doc_id % 2 AS yhat FROM docs WHERE toxic IS NOT NULL UNION ALL
+       SELECT 'quality', quality, doc_id % 2 FROM docs WHERE toxic IS NOT NULL UNION ALL
+       SELECT 'third', CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END, doc_id % 2 FROM docs WHERE toxic IS NOT NULL""",
+    "docs",
+)
+TARGETS = ("toxic", "quality", "third")
+register(
+    "scores",
+    " UNION ALL ".join(f"SELECT '{t}' AS target, metric, value FROM ({_binary_sql('scored', f'''AND target = '{t}' ''')}) {t}" for t in TARGETS),
+    "scored",
+)
+ALL_METRICS_SQL = "(VALUES " + ", ".join(f"('{m}')" for m in metrics.METRICS) + ") AS m(metric)"
+
+
+@query(
+    "j7_assemble_metrics",
+    "scores",
+    "SELECT m.metric, "
+    + ", ".join(f"max(CASE WHEN target = '{t}' THEN round(value, 6) + 0.0 END) AS {t}" for t in TARGETS)
+    + f" FROM {ALL_METRICS_SQL} LEFT JOIN scores s ON s.metric = m.metric GROUP BY m.metric",
+)
+def _(x):
+    full = metrics.scaffold(_scores(x), ["target"])
+    return rounded(metrics.assemble_metrics(full, TARGETS), TARGETS)
+
+
+@query(
+    "p3_transpose_metrics",
+    "scores",
+    "SELECT target, "
+    + ", ".join(f'max(CASE WHEN metric = \'{m}\' THEN round(value, 6) + 0.0 END) AS "{m}"' for m in ("Accuracy", "Precision_2", "Recall_2", "F1_2"))
+    + " FROM scores GROUP BY target",
+)
+def _(x):
+    names = ("Accuracy", "Precision_2", "Recall_2", "F1_2")
+    return rounded(metrics.transpose_metrics(metrics.assemble_metrics(_scores(x), TARGETS), TARGETS, names), names)
+
+
+@query(
+    "p4_report_columns",
+    "scores",
+    """SELECT metric AS measure, max(CASE WHEN target = 'quality' THEN round(value, 6) + 0.0 END) AS good,
+       max(CASE WHEN target = 'toxic' THEN round(value, 6) + 0.0 END) AS bad FROM scores GROUP BY metric""",
+)
+def _(x):
+    table = metrics.assemble_metrics(_scores(x), TARGETS)
+    return rounded(metrics.report_columns(table, {"metric": "measure", "quality": "good", "toxic": "bad"}), ["good", "bad"])
+
+
+@query(
+    "k12_performance_report",
+    "scores",
+    "SELECT target, "
+    + ", ".join(f"round_even(max(CASE WHEN metric = '{m}' THEN value END), 2) AS {a}" for m, a in [("Accuracy", "accuracy"), ("Precision_2", "precision"), ("Recall_2", "recall"), ("F1_2", "f1")])
+    + " FROM scores WHERE target <> 'third' GROUP BY target",
+)
+def _(x):
+    return metrics.performance_report(_scores(x), ["toxic", "quality"])
+
+
+# ---- cascade and final data set ----------------------------------------------------------
+
+register(
+    "second_stage",
+    """SELECT doc_id FROM wide_preds WHERE flag = 1 OR scale <> 1 OR scale_m > 1 UNION SELECT doc_id FROM labels WHERE toxic = 1 AND quality = 1""",
+    "wide_preds",
+)
+
+
+def _second_stage(x: Inputs):
+    wide = _preds(x).groupBy("doc_id").pivot("target", list(PRED_TARGETS)).agg(F.first("pred"))
+    return merge.cascade_ids(wide, x.table("labels"), label="toxic", on_target="quality")
+
+
+@query(
+    "k9_cascade",
+    "content second_stage",
+    """WITH c AS (SELECT doc_id, term, n FROM content WHERE doc_id IN (SELECT doc_id FROM second_stage))
+       SELECT doc_id, term, n FROM c WHERE term IN (SELECT term FROM c GROUP BY term HAVING sum(n) >= 2 AND count(*) >= 2)""",
+)
+def _(x):
+    return tokens.dfm_trim(tokens.dfm_docs(content(x), _second_stage(x)), 2, 2)
+
+
+@query(
+    "u3_finalize",
+    "docs wide_preds",
+    """SELECT d.doc_id, d.lang, p.flag, p.scale, CASE WHEN p.scale_m > 5 THEN 5 WHEN p.scale_m < 1 THEN 1 ELSE round(p.scale_m, 6) + 0.0 END AS scale_m
+         FROM docs d LEFT JOIN wide_preds p USING (doc_id) WHERE d.toxic IS NULL
+       UNION ALL SELECT doc_id, lang, toxic::DOUBLE, degree::DOUBLE, round(size_k, 6) + 0.0 FROM docs WHERE toxic IS NOT NULL""",
+)
+def _(x):
+    d = x.docs()
+    posts = d.select("doc_id", "lang")
+    preds = _preds(x).groupBy("doc_id").pivot("target", list(PRED_TARGETS)).agg(F.first("pred"))
+    hand = d.where(F.col("toxic").isNotNull()).select(
+        "doc_id", "lang", F.col("toxic").cast("double").alias("flag"), F.col("degree").cast("double").alias("scale"), F.col("size_k").alias("scale_m"), F.col("quality").alias("x1_quality")
+    )
+    return rounded(merge.finalize(posts, preds, hand), ["scale_m"])
+
+
+# ---- importance --------------------------------------------------------------------------
+
+register(
+    "placed",
+    f"""SELECT doc_id, copy_no, y, row_number() OVER (ORDER BY {h("doc_id + copy_no * 7919", hashing.PERMUTE)}, doc_id, copy_no) - 1 AS place,
+        count(*) OVER () AS size FROM train_docs""",
+    "train_docs",
+)
+register(
+    "importance",
+    """SELECT term, CAST(sum(CASE WHEN (margin > 0) = (y = 1) THEN 1 ELSE 0 END - CASE WHEN (margin + d > 0) = (y = 1) THEN 1 ELSE 0 END) AS DOUBLE)
+         / any_value(size) AS importance FROM (
+           SELECT term, place, any_value(size) AS size, sum(d) AS d FROM (
+             SELECT term, size, place, -part AS d FROM cells UNION ALL
+             SELECT term, size, ((place - 1 - ('0x' || substr(md5(term), 1, 8))::BIGINT % greatest(size - 1, 1)) % size + size) % size, part FROM cells) a
+           GROUP BY term, place) b
+         JOIN (SELECT p.place, p.y, coalesce(sum(c.part), 0) AS margin FROM placed p LEFT JOIN cells c ON c.place = p.place GROUP BY 1, 2) m USING (place)
+       GROUP BY term""",
+    "cells",
+)
+register("cells", "SELECT p.place, p.size, t.term, t.n * (w1 - w0) AS part FROM placed p JOIN trimmed t USING (doc_id) JOIN nb_weights USING (term)", "placed", "trimmed", "nb_weights")
+
+
+def _importance(x: Inputs):
+    ready = _ready(x)
+    w = bayes.nb_fit(ready.counts, ready.train, (0, 1)).weights
+    linear = w.select("term", "df", (F.element_at("w", 2) - F.element_at("w", 1)).alias("w"))
+    counts = dfm_of(ready.counts, ready.train)
+    return importance.permutation_importance(counts, ready.train, linear)
+
+
+@query("k11_permutation_importance", "importance", f"SELECT term, {s6('importance', 'importance')} FROM importance")
+def _(x):
+    return rounded(_importance(x), ["importance"])
+
+
+@query(
+    "o2_top_k",
+    "content docs",
+    """SELECT true_lang AS lang, term, n, rank FROM (SELECT true_lang, term, CAST(sum(n) AS BIGINT) AS n,
+         row_number() OVER (PARTITION BY true_lang ORDER BY sum(n) DESC, term) AS rank FROM content JOIN docs USING (doc_id) GROUP BY 1, 2) t WHERE rank <= 10""",
+)
+def _(x):
+    sums = content(x).join(x.docs().select("doc_id", F.col("true_lang").alias("lang")), "doc_id").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    return importance.top_k(sums, 10, "n", ["lang"], ["term"])
+
+
+# ---- MLlib models (no SQL) ---------------------------------------------------------------
+
+
+def _features(x: Inputs):
+    return cut_lineage(trimmed(x), "features")
+
+
+def _vectors(x: Inputs, target: str, kind: str) -> models.Vectors:
+    labels = x.docs().select("doc_id", target).where(F.col(target).isNotNull())
+    return models.target_vectors(models.prepare_target(_features(x), labels, target, kind))
+
+
+def _scored(model, vectors, kind: str, target: str):
+    preds = model.transform(vectors.test).select("doc_id", F.col("label").alias("y"), F.col("prediction").alias("yhat"))
+    return rounded(models.score(preds, kind, target), ["value"])
+
+
+@query("k2_linear_svm")
+def _(x):
+    v = _vectors(x, "toxic", models.BINARY)
+    model, _cost = models.fit_kind(v.train, models.BINARY, costs=models.COSTS, folds=3, max_iter=20)
+    return _scored(model, v, models.BINARY, "toxic")
+
+
+@query("k3_ordinal_svm")
+def _(x):
+    v = _vectors(x, "degree", models.ORDINAL)
+    return _scored(models.svm_multiclass(v.train, max_iter=20), v, models.ORDINAL, "degree")
+
+
+@query("k4_scale_regression")
+def _(x):
+    v = _vectors(x, "size_k", models.NUMERIC)
+    return _scored(models.scale_regression(v.train, max_iter=50), v, models.NUMERIC, "size_k")
+
+
+@query("k5_random_forest")
+def _(x):
+    v = _vectors(x, "toxic", models.BINARY)
+    out = _scored(models.rf_fit(v.train, models.BINARY, num_trees=100), v, models.BINARY, "toxic")
+    w = _vectors(x, "size_k", models.NUMERIC)
+    return out.unionByName(_scored(models.rf_fit(w.train, models.NUMERIC, num_trees=20, max_depth=8), w, models.NUMERIC, "size_k"))
+
+
+@query("k7_experiment_grid")
+def _(x):
+    labelled = x.docs().where(F.col("toxic").isNotNull())
+    sample = cut_lineage(sampling.stratified_sample(labelled, ["date"], 0.3, "doc_id"), "sample")
+    kinds = {"toxic": models.BINARY, "degree": models.ORDINAL, "size_k": models.NUMERIC}
+    grid = models.run_grid(tokens.feature_variants(sample), sample, kinds, costs=(1.0,), max_iter=10, num_trees=20)
+    return rounded(grid, ["value"])
+
+
+@query("k8_fit_and_predict")
+def _(x):
+    out = models.fit_and_predict(_features(x), x.docs(), "toxic", costs=(0.1, 1.0), folds=3, max_iter=20)
+    return out.preds
+
+
+@query("k10_predict_all")
+def _(x):
+    feats = cut_lineage(tokens.dfm_trim(tokens.dfm_docs(content(x), _second_stage(x)), 2, 2), "features")
+    docs = x.docs().join(_second_stage(x), "doc_id", "left_semi")
+    outcomes = models.predict_all(feats, docs, {"toxic": models.BINARY, "quality": models.BINARY, "degree": models.ORDINAL}, costs=(1.0,), max_iter=10)
+    preds = outcomes[0].preds
+    for o in outcomes[1:]:
+        preds = preds.unionByName(o.preds)
+    return merge.assemble_predictions(docs.select("doc_id"), preds, [o.target for o in outcomes])
+
+
+@query("x2_run_targets")
+def _(x):
+    """One job per target from driver threads, each scoring a naive Bayes model of its label."""
+    feats, docs = _features(x), x.docs()
+
+    def one(target: str):
+        ready = models.prepare_target(feats, docs, target)
+        model = bayes.nb_fit(ready.counts, ready.train, (0, 1))
+        preds = bayes.nb_predict(model, dfm_of(ready.counts, ready.test), ready.test).join(ready.test, "doc_id")
+        return cut_lineage(models.score(preds, models.BINARY, target), "scores")
+
+    parts = models.run_targets(["toxic", "quality"], one)
+    return rounded(parts[0].unionByName(parts[1]), ["value"])
