@@ -75,26 +75,33 @@ class Target:
     test: DataFrame  # doc_id, y
     unlabelled: DataFrame  # doc_id
     vocab: DataFrame  # term, df
-    counts: DataFrame  # features of all documents, restricted to vocab
+    counts: DataFrame  # features of all documents, not yet restricted to vocab
+
+    def matched(self) -> DataFrame:
+        """Features of all documents, restricted to the terms of the training part.
+
+        Models do not need it: joining their weights or term ids restricts the features as well.
+        """
+        return dfm_match(self.counts, self.vocab)
 
 
 def prepare_target(counts: DataFrame, labels: DataFrame, y: str, kind: str = BINARY, p: float = 0.8) -> Target:
-    """Keep valid labels, split, up-sample the training part, restrict all features to its terms.
+    """Keep valid labels, split, up-sample the training part, list its terms.
 
-    ``labels`` is ``(doc_id, <y>)`` with NULL for documents to predict. A numeric target is not
-    restricted to label values and not up-sampled.
+    ``counts`` should be a stored table. ``labels`` is ``(doc_id, <y>)`` with NULL for documents to predict.
+    A numeric target is not restricted to label values and not up-sampled. The training part and the
+    vocabulary are written to the shared folder, because every later step starts from them.
     """
     known = labels.select("doc_id", F.col(y).alias("y"))
     labelled = known.where(F.col("y").isNotNull()) if kind == NUMERIC else where_label_valid(known, "y")
     chosen = labelled.where(is_train("doc_id", p))
     train = chosen.withColumn("copy_no", F.lit(0)) if kind == NUMERIC else upsample(chosen, "y", "doc_id")
-    vocab = vocabulary(dfm_docs(counts, chosen))
     return Target(
-        train=train,
+        train=cut_lineage(train, "train"),
         test=labelled.where(~is_train("doc_id", p)),
         unlabelled=known.where(F.col("y").isNull()).select("doc_id"),
-        vocab=vocab,
-        counts=dfm_match(counts, vocab),
+        vocab=cut_lineage(vocabulary(dfm_docs(counts, chosen)), "vocabulary"),
+        counts=counts,
     )
 
 
@@ -277,7 +284,7 @@ def run_grid(
                     continue
                 classes = (1, 2, 3, 4, 5) if kind == ORDINAL else (0, 1)
                 model = nb_fit(ready.counts, ready.train, classes)
-                preds = nb_predict(model, ready.counts, ready.test).join(ready.test, "doc_id")
+                preds = nb_predict(model, dfm_docs(counts, ready.test), ready.test).join(ready.test, "doc_id")
             elif algorithm == "svm":
                 preds = _predict(fit_kind(vectors.train, kind, costs, folds, max_iter)[0], vectors.test)
             else:

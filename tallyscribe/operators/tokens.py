@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyscribe.functions.stemming import stem_series
 from tallyscribe.functions.text import DROPPED_FEATURES, STOP_WORDS, clean_text, token_array
 from tallyscribe.operators.skew import join_term_stats
+from tallyscribe.sources.storage import cut_lineage
 
 
 def with_clean_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -103,17 +104,26 @@ def dfm_match(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 def feature_variants(docs: DataFrame, text: str = "text") -> DataFrame:
     """All tokens, without stop words, stemmed, and tf-idf: ``(variant, doc_id, term, weight)``.
 
-    The texts are tokenized once; the other variants are derived from the counts.
+    Texts are tokenized once. Stop-word removal and tf-idf only look at the term, so the counts, the
+    first, second and fourth variant, and the stems all come from one join to one term table. The
+    counts and the term table are written to the shared folder, as every variant starts from them.
     """
-    counts = dfm(tokenize(docs, text=text))
-    content = counts.where(is_content_word("term"))
-    everything = dfm_drop(dfm_trim(counts, 2, 2))
-    nostop = dfm_drop(dfm_trim(content, 2, 2))
-    stemmed = dfm_trim(stem_tokens(content), 2, 2)
-    tfidf = dfm_tfidf(nostop, docs.agg(F.count(F.lit(1))))
-    plain = {"all": everything, "nostop": nostop, "stem": stemmed}
-    out = None
-    for name, frame in plain.items():
-        rows = frame.select(F.lit(name).alias("variant"), "doc_id", "term", F.col("n").cast("double").alias("weight"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.unionByName(tfidf.select(F.lit("tfidf").alias("variant"), "doc_id", "term", "weight"))
+    counts = cut_lineage(dfm(tokenize(docs, text=text)), "counts")
+    stem = F.pandas_udf(stem_series, "string")
+    terms = cut_lineage(term_stats(counts).withColumn("stem", stem("term")), "terms")
+    rows = join_term_stats(counts, terms, "term", "df", spread=["doc_id"])
+    frequent = (F.col("tf") >= 2) & (F.col("df") >= 2) & ~F.col("term").isin(*DROPPED_FEATURES)
+    n_docs = docs.agg(F.count(F.lit(1))).scalar().cast("double")
+    n = F.col("n").cast("double")
+
+    def cell(name: str, weight):
+        return F.struct(F.lit(name).alias("variant"), weight.alias("weight"))
+
+    plain = F.array(cell("all", n))
+    content = F.array(cell("nostop", n), cell("tfidf", F.bround(n * F.log10(n_docs / F.col("df")), 2)))
+    empty = F.array().cast("array<struct<variant:string,weight:double>>")
+    cells = F.explode(F.concat(plain, F.when(is_content_word("term"), content).otherwise(empty))).alias("c")
+    unstemmed = rows.where(frequent).select("doc_id", "term", cells).select("c.variant", "doc_id", "term", "c.weight")
+    stems = rows.where(is_content_word("term")).groupBy("doc_id", F.col("stem").alias("term")).agg(F.sum("n").alias("n"))
+    stemmed = dfm_trim(stems, 2, 2)
+    return unstemmed.unionByName(stemmed.select(F.lit("stem").alias("variant"), "doc_id", "term", F.col("n").cast("double").alias("weight")))

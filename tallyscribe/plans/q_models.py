@@ -63,18 +63,19 @@ def _toxic(x: Inputs):
     return x.docs().select("doc_id", "toxic")
 
 
+def _features(x: Inputs):
+    """The feature table, stored once."""
+    return cut_lineage(trimmed(x), "features")
+
+
 def _ready(x: Inputs) -> models.Target:
-    return models.prepare_target(trimmed(x), _toxic(x), "toxic")
+    return models.prepare_target(_features(x), _toxic(x), "toxic")
 
 
 def _nb_test(x: Inputs):
     ready = _ready(x)
     model = bayes.nb_fit(ready.counts, ready.train, (0, 1))
-    return bayes.nb_predict(model, dfm_of(ready.counts, ready.test), ready.test).join(ready.test, "doc_id")
-
-
-def dfm_of(counts, docs):
-    return tokens.dfm_docs(counts, docs)
+    return bayes.nb_predict(model, tokens.dfm_docs(ready.counts, ready.test), ready.test).join(ready.test, "doc_id")
 
 
 # ---- sampling ----------------------------------------------------------------------------
@@ -129,7 +130,7 @@ def _(x):
 )
 def _(x):
     ready = _ready(x)
-    size = ready.counts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n").alias("total"))
+    size = ready.matched().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n").alias("total"))
     parts = ready.train.select(F.lit("train").alias("part"), "doc_id", "y", "copy_no")
     parts = parts.unionByName(ready.test.select(F.lit("test").alias("part"), "doc_id", "y"), allowMissingColumns=True)
     parts = parts.unionByName(ready.unlabelled.select(F.lit("unlabelled").alias("part"), "doc_id"), allowMissingColumns=True)
@@ -228,7 +229,7 @@ register(
 def _cv(x: Inputs):
     labelled = x.table("labels").select("doc_id", F.col("toxic").alias("y"))
     folds = sampling.assign_folds(labelled, "y", "doc_id", FOLDS)
-    return bayes.nb_cross_validate(trimmed(x), folds, (0, 1), FOLDS)
+    return bayes.nb_cross_validate(_features(x), folds, (0, 1), FOLDS)
 
 
 @query("k1_naive_bayes_folds", "cv_predictions", "SELECT doc_id, CAST(fold AS INT) AS fold, y, yhat FROM cv_predictions")
@@ -423,7 +424,7 @@ def _importance(x: Inputs):
     ready = _ready(x)
     w = bayes.nb_fit(ready.counts, ready.train, (0, 1)).weights
     linear = w.select("term", "df", (F.element_at("w", 2) - F.element_at("w", 1)).alias("w"))
-    counts = dfm_of(ready.counts, ready.train)
+    counts = tokens.dfm_docs(ready.counts, ready.train)
     return importance.permutation_importance(counts, ready.train, linear)
 
 
@@ -446,10 +447,6 @@ def _(x):
 # ---- MLlib models (no SQL) ---------------------------------------------------------------
 
 
-def _features(x: Inputs):
-    return cut_lineage(trimmed(x), "features")
-
-
 def _vectors(x: Inputs, target: str, kind: str) -> models.Vectors:
     labels = x.docs().select("doc_id", target).where(F.col(target).isNotNull())
     return models.target_vectors(models.prepare_target(_features(x), labels, target, kind))
@@ -504,8 +501,9 @@ def _(x):
 
 @query("k10_predict_all")
 def _(x):
-    feats = cut_lineage(tokens.dfm_trim(tokens.dfm_docs(content(x), _second_stage(x)), 2, 2), "features")
-    docs = x.docs().join(_second_stage(x), "doc_id", "left_semi")
+    chosen = cut_lineage(_second_stage(x), "chosen")
+    feats = cut_lineage(tokens.dfm_trim(tokens.dfm_docs(content(x), chosen), 2, 2), "features")
+    docs = x.docs().join(chosen, "doc_id", "left_semi")
     outcomes = models.predict_all(feats, docs, {"toxic": models.BINARY, "quality": models.BINARY, "degree": models.ORDINAL}, costs=(1.0,), max_iter=10)
     preds = outcomes[0].preds
     for o in outcomes[1:]:
@@ -521,7 +519,7 @@ def _(x):
     def one(target: str):
         ready = models.prepare_target(feats, docs, target)
         model = bayes.nb_fit(ready.counts, ready.train, (0, 1))
-        preds = bayes.nb_predict(model, dfm_of(ready.counts, ready.test), ready.test).join(ready.test, "doc_id")
+        preds = bayes.nb_predict(model, tokens.dfm_docs(ready.counts, ready.test), ready.test).join(ready.test, "doc_id")
         return cut_lineage(models.score(preds, models.BINARY, target), "scores")
 
     parts = models.run_targets(["toxic", "quality"], one)

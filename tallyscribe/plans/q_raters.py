@@ -8,7 +8,8 @@ from tallyscribe.functions import nulls
 from tallyscribe.operators import prep, raters
 from tallyscribe.operators.merge import left_join
 from tallyscribe.plans.fixtures import COMPLETE, RATERS, Inputs, register
-from tallyscribe.plans.registry import query, r6, rounded, s6
+from tallyscribe.plans.registry import query, rounded, s6
+from tallyscribe.sources.storage import cut_lineage
 
 M = len(COMPLETE)
 
@@ -36,10 +37,6 @@ def _r(x: Inputs):
     return raters.ratings_of(x.ratings(), COMPLETE, "subject", "rater", "scale")
 
 
-def _binary(x: Inputs):
-    return _r(x).withColumn("rating", F.when(F.col("rating") > 2, 1.0).otherwise(0.0))
-
-
 def fleiss_sql(frm: str, digits: int = 6) -> str:
     return f"""SELECT round((pa - pe) / (1 - pe), {digits}) + 0.0 AS value FROM (SELECT
         (SELECT (sum(nij * nij) - n * m) / (n * m * (m - 1)) FROM (SELECT count(*)::DOUBLE AS nij FROM {frm} GROUP BY subject, rating) a, z GROUP BY n, m) AS pa,
@@ -283,6 +280,16 @@ def _(x):
     return rounded(raters.cronbach_alpha_checked(turned, COMPLETE), ["value"])
 
 
+def _tables(x: Inputs):
+    """Both tables from ratings stored once: a table reads them a dozen times."""
+    r = cut_lineage(_r(x), "ratings")
+    binary = r.withColumn("rating", F.when(F.col("rating") > 2, 1.0).otherwise(0.0))
+    return [
+        raters.agreement_table(binary, COMPLETE, "nominal", "nominal"),
+        raters.agreement_table(r, COMPLETE, "scale", "scale"),
+    ]
+
+
 def _table_sql() -> str:
     rows = [
         ("nominal", "Agreement", percent_sql("binary_ratings", 0, 9)),
@@ -298,8 +305,8 @@ def _table_sql() -> str:
 
 @query("a12_agreement_table", "full_ratings binary_ratings squares", Z + _table_sql())
 def _(x):
-    nominal = raters.agreement_table(_binary(x), COMPLETE, "nominal", "nominal")
-    return nominal.unionByName(raters.agreement_table(_r(x), COMPLETE, "scale", "scale"))
+    nominal, scale = _tables(x)
+    return nominal.unionByName(scale)
 
 
 @query(
@@ -310,8 +317,4 @@ def _(x):
     + ") u GROUP BY measure",
 )
 def _(x):
-    tables = [
-        raters.agreement_table(_binary(x), COMPLETE, "nominal", "nominal"),
-        raters.agreement_table(_r(x), COMPLETE, "scale", "scale"),
-    ]
-    return raters.agreement_report(tables, ["nominal", "scale"])
+    return raters.agreement_report(_tables(x), ["nominal", "scale"])

@@ -157,7 +157,7 @@ def _(x):
 @query("t12_dfm_tfidf", "tfidf", "SELECT doc_id, term, weight + 0.0 AS weight FROM tfidf")
 def _(x):
     n_docs = x.table("documents").agg(F.count(F.lit(1)))
-    return tokens.dfm_tfidf(trimmed(x), n_docs).withColumn("weight", F.col("weight") + F.lit(0.0))
+    return tokens.dfm_tfidf(cut_lineage(trimmed(x), "features"), n_docs).withColumn("weight", F.col("weight") + F.lit(0.0))
 
 
 @query("t13_dfm_docs", "content", "SELECT doc_id, term, n FROM content WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -172,7 +172,7 @@ def _(x):
        AND term IN (SELECT term FROM content WHERE doc_id IN (SELECT doc_id FROM labels))""",
 )
 def _(x):
-    c, labels = content(x), x.table("labels")
+    c, labels = cut_lineage(content(x), "counts"), x.table("labels")
     vocab = tokens.vocabulary(tokens.dfm_docs(c, labels))
     return tokens.dfm_match(c.join(labels, "doc_id", "left_anti"), vocab)
 
