@@ -109,21 +109,49 @@ def prepare_target(counts: DataFrame, labels: DataFrame, y: str, kind: str = BIN
 class Vectors:
     """Vectors of one target."""
 
-    train: DataFrame
+    train: DataFrame  # with fold, if folds were asked for
     test: DataFrame
+    refit: DataFrame  # the test part up-sampled, to be added to the training part for the final fit
     unlabelled: DataFrame
 
 
-def target_vectors(target: Target) -> Vectors:
-    """All three parts from one pass over the features."""
+def _part(df: DataFrame, name: str, y: str | None, copy_no: str | None, fold: str | None) -> DataFrame:
+    """Rows of one part in the common layout."""
+
+    def pick(col: str | None, kind: str, default):
+        return F.col(col).cast(kind) if col else F.lit(default).cast(kind)
+
+    return df.select(
+        "doc_id",
+        pick(y, "double", None).alias("label"),
+        pick(copy_no, "int", 0).alias("copy_no"),
+        pick(fold, "int", 0).alias("fold"),
+        F.lit(name).alias("part"),
+    )
+
+
+def target_vectors(target: Target, kind: str = BINARY, folds: int | None = None, leak_safe: bool = False) -> Vectors:
+    """All parts from one pass over the features.
+
+    Copies and folds are decided on ids; vectors join last. With ``leak_safe`` the copies of a
+    document share a fold.
+    """
+    train = target.train
+    if folds and leak_safe:
+        train = assign_folds(train, "y", "doc_id", folds, group_key="doc_id")
+    elif folds:
+        keyed = train.withColumn("_k", F.col("doc_id") + F.col("copy_no") * 7919)
+        train = assign_folds(keyed, "y", "_k", folds)
+    refit = target.test.withColumn("copy_no", F.lit(0)) if kind == NUMERIC else upsample(target.test, "y", "doc_id")
     parts = (
-        target.train.select("doc_id", F.col("y").cast("double").alias("label"), "copy_no", F.lit("train").alias("part"))
-        .unionByName(target.test.select("doc_id", F.col("y").cast("double").alias("label"), F.lit(0).alias("copy_no"), F.lit("test").alias("part")))
-        .unionByName(target.unlabelled.select("doc_id", F.lit(None).cast("double").alias("label"), F.lit(0).alias("copy_no"), F.lit("unlabelled").alias("part")))
+        _part(train, "train", "y", "copy_no", "fold" if folds else None)
+        .unionByName(_part(target.test, "test", "y", None, None))
+        .unionByName(_part(refit, "refit", "y", "copy_no", None))
+        .unionByName(_part(target.unlabelled, "unlabelled", None, None, None))
     )
     index = cut_lineage(term_index(target.vocab), "terms")
     vectors = to_vectors(target.counts, index, parts)
-    return Vectors(*[vectors.where(F.col("part") == p).drop("part") for p in ("train", "test", "unlabelled")])
+    return Vectors(*[vectors.where(F.col("part") == p).drop("part") for p in ("train", "test", "refit", "unlabelled")])
 
 
 # ---- models ------------------------------------------------------------------------------
@@ -156,10 +184,26 @@ def svm_fit(train: DataFrame, costs: Sequence[float] = COSTS, folds: int = 10, m
     return best, by_reg[best.getRegParam()]
 
 
-def svm_multiclass(train: DataFrame, cost: float = 1.0, max_iter: int = 100, parallelism: int = 4):
+class OrdinalModel:
+    """One-vs-rest model over the classes that occur, whatever their numbers are."""
+
+    def __init__(self, model, classes: list[float]):
+        self.model, self.classes = model, classes
+
+    def transform(self, vectors: DataFrame) -> DataFrame:
+        at = F.col("prediction").cast("int") + 1
+        back = F.element_at(F.array(*[F.lit(c) for c in self.classes]), at)
+        return self.model.transform(vectors).withColumn("prediction", back)
+
+
+def svm_multiclass(train: DataFrame, cost: float = 1.0, max_iter: int = 100, parallelism: int = 4) -> OrdinalModel:
     """One linear SVM per class against the rest."""
-    base = LinearSVC(maxIter=max_iter, regParam=_reg_param(cost, train.count()))
-    return OneVsRest(classifier=base, parallelism=parallelism).fit(train)
+    sizes = train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()
+    classes = [row["label"] for row in sizes]
+    code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
+    base = LinearSVC(maxIter=max_iter, regParam=_reg_param(cost, sum(row["n"] for row in sizes)))
+    coded = train.withColumn("label", code.cast("double"))
+    return OrdinalModel(OneVsRest(classifier=base, parallelism=parallelism).fit(coded), classes)
 
 
 def scale_regression(train: DataFrame, cost: float = 1.0, max_iter: int = 100):
@@ -193,18 +237,12 @@ def _predict(model, vectors: DataFrame) -> DataFrame:
     return model.transform(vectors).select("doc_id", F.col("label").alias("y"), F.col("prediction").alias("yhat"))
 
 
-def fit_kind(train: DataFrame, kind: str, costs: Sequence[float], folds: int, max_iter: int, leak_safe: bool = False):
-    """The SVM-family model of a target kind. Returns (model, cost)."""
+def fit_kind(train: DataFrame, kind: str, costs: Sequence[float], folds: int, max_iter: int):
+    """The SVM-family model of a target kind. Returns (model, cost); ``train`` carries ``fold`` if costs compete."""
     if kind == NUMERIC:
         return scale_regression(train, max_iter=max_iter), 1.0
     if kind == ORDINAL:
         return svm_multiclass(train, max_iter=max_iter), 1.0
-    if len(costs) > 1:
-        if leak_safe:
-            train = assign_folds(train, "label", "doc_id", folds, group_key="doc_id")
-        else:
-            keyed = train.withColumn("_k", F.col("doc_id") + F.col("copy_no") * 7919)
-            train = assign_folds(keyed, "label", "_k", folds).drop("_k")
     return svm_fit(train, costs, folds, max_iter)
 
 
@@ -228,13 +266,12 @@ def fit_and_predict(
     leak_safe: bool = False,
 ) -> Outcome:
     """Tune on the training part, score on the test part, refit on both, predict the unlabelled."""
-    vectors = target_vectors(prepare_target(counts, labels, target, kind))
-    model, cost = fit_kind(vectors.train, kind, costs, folds, max_iter, leak_safe)
+    tuned = kind == BINARY and len(costs) > 1
+    ready = prepare_target(counts, labels, target, kind)
+    vectors = target_vectors(ready, kind, folds if tuned else None, leak_safe)
+    model, cost = fit_kind(vectors.train, kind, costs, folds, max_iter)
     metrics = score(_predict(model, vectors.test), kind, target)
-    more = vectors.test.drop("copy_no")
-    more = more.withColumn("copy_no", F.lit(0)) if kind == NUMERIC else upsample(more, "label", "doc_id")
-    every = vectors.train.unionByName(more)
-    final, _ = fit_kind(every, kind, (cost,), folds, max_iter)
+    final, _ = fit_kind(vectors.train.unionByName(vectors.refit), kind, (cost,), folds, max_iter)
     preds = _predict(final, vectors.unlabelled).select("doc_id", F.lit(target).alias("target"), F.col("yhat").alias("pred"))
     return Outcome(target, preds, metrics)
 
@@ -277,7 +314,8 @@ def run_grid(
         counts = stored.where(F.col("variant") == name).select("doc_id", "term", F.col("weight").alias("n"))
         ready = prepare_target(counts, labels, target, kind)
         out = []
-        vectors = target_vectors(ready) if {"svm", "rf"} & set(algorithms) else None
+        tuned = kind == BINARY and len(costs) > 1
+        vectors = target_vectors(ready, kind, folds if tuned else None) if {"svm", "rf"} & set(algorithms) else None
         for algorithm in algorithms:
             if algorithm == "nb":
                 if kind == NUMERIC:

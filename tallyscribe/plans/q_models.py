@@ -447,9 +447,9 @@ def _(x):
 # ---- MLlib models (no SQL) ---------------------------------------------------------------
 
 
-def _vectors(x: Inputs, target: str, kind: str) -> models.Vectors:
+def _vectors(x: Inputs, target: str, kind: str, folds: int | None = None) -> models.Vectors:
     labels = x.docs().select("doc_id", target).where(F.col(target).isNotNull())
-    return models.target_vectors(models.prepare_target(_features(x), labels, target, kind))
+    return models.target_vectors(models.prepare_target(_features(x), labels, target, kind), kind, folds)
 
 
 def _scored(model, vectors, kind: str, target: str):
@@ -459,7 +459,7 @@ def _scored(model, vectors, kind: str, target: str):
 
 @query("k2_linear_svm")
 def _(x):
-    v = _vectors(x, "toxic", models.BINARY)
+    v = _vectors(x, "toxic", models.BINARY, folds=3)
     model, _cost = models.fit_kind(v.train, models.BINARY, costs=models.COSTS, folds=3, max_iter=20)
     return _scored(model, v, models.BINARY, "toxic")
 
