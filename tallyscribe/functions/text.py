@@ -37,38 +37,42 @@ STOP_WORDS = tuple(
 )
 
 
+def _where_present(text: Column, mark: str, replaced: Column) -> Column:
+    """Run a regular expression only on texts that hold a literal every match must contain."""
+    return F.when(F.instr(text, mark) > 0, replaced).otherwise(text)
+
+
 def remove_mentions(text: Column) -> Column:
     """Delete @names, accented letters included."""
-    return F.regexp_replace(text, MENTION, "")
+    return _where_present(text, "@", F.regexp_replace(text, MENTION, ""))
 
 
 def remove_tags(text: Column) -> Column:
     """Replace <...> without inner spaces by a space."""
-    return F.regexp_replace(text, TAG, " ")
+    return _where_present(text, "<", F.regexp_replace(text, TAG, " "))
 
 
 def repair_encoding(text: Column) -> Column:
-    """Restore the broken apostrophe, then delete what is left of wrongly decoded characters."""
-    return F.translate(F.replace(text, F.lit(BROKEN_APOSTROPHE), F.lit("'")), STRAY_CHARACTERS, "")
+    """Restore the broken apostrophe, then delete what is left of wrongly decoded characters.
+
+    All of them take more than one byte, so a text with as many bytes as characters is left alone.
+    """
+    repaired = F.translate(F.replace(text, F.lit(BROKEN_APOSTROPHE), F.lit("'")), STRAY_CHARACTERS, "")
+    return F.when(F.octet_length(text) > F.length(text), repaired).otherwise(text)
 
 
 def remove_urls(text: Column) -> Column:
     """Replace web, ftp and picture links by a space."""
-    return F.regexp_replace(F.regexp_replace(text, URL, " "), PICTURE_LINK, " ")
+    links = F.regexp_replace(F.regexp_replace(text, URL, " "), PICTURE_LINK, " ")
+    return F.when((F.instr(text, "://") > 0) | (F.instr(text, "twitter") > 0), links).otherwise(text)
 
 
 def split_stops(text: Column) -> Column:
     """Full stops and commas become spaces."""
-    return F.translate(text, ".,", "  ")
-
-
-def clean_text(text: Column) -> Column:
-    """All cleaning steps in order."""
-    for step in (remove_mentions, remove_tags, repair_encoding, remove_urls, split_stops):
-        text = step(text)
-    return text
+    return F.replace(F.replace(text, F.lit("."), F.lit(" ")), F.lit(","), F.lit(" "))
 
 
 def token_array(text: Column) -> Column:
     """Lower-case tokens of a text."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(text, RAW_URL, " ")), F.lit(f"({TOKEN})"), 1)
+    plain = _where_present(text, "://", F.regexp_replace(text, RAW_URL, " "))
+    return F.regexp_extract_all(F.lower(plain), F.lit(f"({TOKEN})"), 1)

@@ -19,13 +19,11 @@ def ngram_counts(df: DataFrame, key: str, text: str, max_n: int = MAX_N) -> Data
     words = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)).alias("word"))
     counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("w"))
     padded = counted.select(key, "w", F.concat(F.lit("_"), "word", F.lit("_")).alias("p"))
-    def cut(n: int):
-        starts = F.sequence(F.lit(1), F.length("p") - (n - 1))
-        pieces = F.transform(starts, lambda i: F.substring(F.col("p"), i, F.lit(n)))
-        return F.when(F.length("p") >= n, pieces).otherwise(F.array().cast("array<string>"))
-
-    grams = F.concat(*[cut(n) for n in range(1, max_n + 1)])
-    return padded.select(key, "w", F.explode(grams).alias("ngram")).groupBy(key, "ngram").agg(F.sum("w").alias("n"))
+    starts = padded.select(key, "w", "p", F.explode(F.sequence(F.lit(1), F.length("p"))).alias("i"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(max_n), F.length("p") - F.col("i") + 1))
+    cuts = starts.select(key, "w", "p", "i", F.explode(sizes).alias("k"))
+    grams = cuts.select(key, "w", F.substring("p", F.col("i"), F.col("k")).alias("ngram"))
+    return grams.groupBy(key, "ngram").agg(F.sum("w").alias("n"))
 
 
 def ranked(counts: DataFrame, key: str, size: int) -> DataFrame:

@@ -12,13 +12,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscribe.functions.stemming import stem_series
-from tallyscribe.functions.text import DROPPED_FEATURES, STOP_WORDS, clean_text, token_array
+from tallyscribe.functions.text import (
+    DROPPED_FEATURES,
+    STOP_WORDS,
+    remove_mentions,
+    remove_tags,
+    remove_urls,
+    repair_encoding,
+    split_stops,
+    token_array,
+)
 from tallyscribe.operators.skew import join_term_stats
 from tallyscribe.sources.storage import cut_lineage
 
 
+# Cleaning steps in order. Each is its own projection: nested into one expression, the text would be
+# written out again for every guard.
+CLEANING = (remove_mentions, remove_tags, repair_encoding, remove_urls, split_stops)
+
+
 def with_clean_text(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn(text, clean_text(F.col(text)))
+    for step in CLEANING:
+        df = df.withColumn(text, step(F.col(text)))
+    return df
+
+
+def corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts hash-partitioned by document.
+
+    Moving the raw text once costs less than moving ``(document, term, count)`` rows, and every later
+    grouping by document, or by document and term, finds its rows in place without a shuffle.
+    """
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
 
 
 def tokenize(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -38,7 +63,7 @@ def remove_stopwords(
 
 
 def dfm(tokens: DataFrame) -> DataFrame:
-    """Counts per document and term; tokens combine before the shuffle."""
+    """Counts per document and term. No shuffle if the tokens come from a ``corpus``."""
     return tokens.groupBy("doc_id", F.col("token").alias("term")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -108,7 +133,7 @@ def feature_variants(docs: DataFrame, text: str = "text") -> DataFrame:
     first, second and fourth variant, and the stems all come from one join to one term table. The
     counts and the term table are written to the shared folder, as every variant starts from them.
     """
-    counts = cut_lineage(dfm(tokenize(docs, text=text)), "counts")
+    counts = cut_lineage(dfm(tokenize(corpus(docs, text=text))), "counts")
     stem = F.pandas_udf(stem_series, "string")
     terms = cut_lineage(term_stats(counts).withColumn("stem", stem("term")), "terms")
     rows = join_term_stats(counts, terms, "term", "df", spread=["doc_id"])

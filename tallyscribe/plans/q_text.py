@@ -104,11 +104,11 @@ register(
 
 
 def counts(x: Inputs):
-    return tokens.dfm(tokens.tokenize(x.table("documents")))
+    return tokens.dfm(tokens.tokenize(tokens.corpus(x.table("documents"))))
 
 
 def content(x: Inputs):
-    return tokens.dfm(tokens.remove_stopwords(tokens.tokenize(x.table("documents"))))
+    return tokens.dfm(tokens.remove_stopwords(tokens.tokenize(tokens.corpus(x.table("documents")))))
 
 
 def trimmed(x: Inputs):
