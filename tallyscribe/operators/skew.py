@@ -18,6 +18,7 @@ from tallyscribe.functions.hashing import SPAN
 
 HASH_BUCKETS = 4096
 HOT_PARTS = 1024
+DIMENSION_ROWS = 100_000
 
 
 def rank_by_hash(
@@ -32,29 +33,36 @@ def rank_by_hash(
 
     Also adds ``<out>_of``, the size of the group, which the offsets give for free.
     """
-    group = list(group)
+    # One struct holds the group: it is never NULL itself, so the window and the join hash alike and
+    # the rows move once, and NULL group values still form a group.
+    keys = ["_g", "_b"] if group else ["_b"]
     tagged = df.withColumn("_b", F.floor(F.col(hash_col) * F.lit(buckets) / F.lit(SPAN)).cast("int"))
-    sizes = tagged.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*group)
+    if group:
+        tagged = tagged.withColumn("_g", F.struct(*group))
+    sizes = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys[:-1])
     before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-        F.col("_b").alias("_ob"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias("_of"),
+        *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_of")
     )
-    inside = Window.partitionBy(*group, "_b").orderBy(hash_col, *tie)
+    inside = Window.partitionBy(*keys).orderBy(hash_col, *tie)
     ranked = tagged.withColumn("_in", F.row_number().over(inside))
-    cond = F.col("_b") == F.col("_ob")
-    for i, g in enumerate(group):
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return ranked.join(offsets, cond).select(
+    return ranked.join(offsets, keys).select(
         *[F.col(f"`{c}`") for c in df.columns],
         (F.col("_before") + F.col("_in")).alias(out),
         F.col("_of").alias(f"{out}_of"),
     )
 
 
+def join_dimension(facts: DataFrame, dim: DataFrame, on, how: str = "left", max_rows: int = DIMENSION_ROWS) -> DataFrame:
+    """Join a dimension. It is broadcast only if it was counted to have at most ``max_rows`` rows.
+
+    A larger one is joined by a shuffle, in which AQE splits the partitions of hot keys.
+    """
+    small = dim.limit(max_rows + 1).count() <= max_rows
+    return facts.join(F.broadcast(dim) if small else dim, on, how)
+
+
 def join_term_stats(
     facts: DataFrame,
     stats: DataFrame,

@@ -110,7 +110,7 @@ def dfm_tfidf(counts: DataFrame, n_docs: DataFrame, digits: int = 2) -> DataFram
 
 def dfm_docs(counts: DataFrame, ids: DataFrame) -> DataFrame:
     """Keep the documents listed in ``ids``."""
-    return counts.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return counts.join(ids.select("doc_id"), "doc_id", "left_semi")
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:

@@ -255,7 +255,7 @@ register(
     "preds",
     """SELECT doc_id, 'flag' AS target, CASE WHEN doc_id % 5 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS pred FROM docs WHERE toxic IS NULL UNION ALL
        SELECT doc_id, 'scale', (1 + doc_id % 3)::DOUBLE FROM docs WHERE toxic IS NULL UNION ALL
-       SELECT doc_id, 'scale_m', length(text) / 1000.0::DOUBLE FROM docs WHERE toxic IS NULL AND doc_id % 2 = 0""",
+       SELECT doc_id, 'scale_m', length(text) / 1000.0::DOUBLE FROM docs WHERE toxic IS NULL AND true_lang = 'en'""",
     "docs",
 )
 register(
@@ -271,7 +271,7 @@ def _preds(x: Inputs):
     d = x.docs().where(F.col("toxic").isNull())
     flag = d.select("doc_id", F.lit("flag").alias("target"), F.when(F.col("doc_id") % 5 == 0, 1.0).otherwise(0.0).alias("pred"))
     scale = d.select("doc_id", F.lit("scale").alias("target"), (1 + F.col("doc_id") % 3).cast("double").alias("pred"))
-    m = d.where(F.col("doc_id") % 2 == 0).select("doc_id", F.lit("scale_m").alias("target"), (F.length("text") / 1000.0).alias("pred"))
+    m = d.where(F.col("true_lang") == "en").select("doc_id", F.lit("scale_m").alias("target"), (F.length("text") / 1000.0).alias("pred"))
     return flag.unionByName(scale).unionByName(m)
 
 

@@ -90,13 +90,13 @@ def _(x):
 @query(
     "s3_append_batches",
     "docs",
-    """SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN quality END AS quality, CASE WHEN doc_id % 2 = 1 THEN toxic END AS toxic FROM docs""",
+    """SELECT doc_id, lang, CASE WHEN lang IS NULL THEN NULL ELSE quality END AS quality, CASE WHEN lang IS NULL THEN toxic END AS toxic FROM docs""",
 )
 def _(x):
     d = x.docs()
-    even = d.where(F.col("doc_id") % 2 == 0).select("doc_id", "lang", "quality")
-    odd = d.where(F.col("doc_id") % 2 == 1).select("doc_id", "toxic", "lang")
-    return post_files.append_batches([even, odd]).select("doc_id", "lang", "quality", "toxic")
+    tagged = d.where(F.col("lang").isNotNull()).select("doc_id", "lang", "quality")
+    untagged = d.where(F.col("lang").isNull()).select("toxic", "doc_id")
+    return post_files.append_batches([tagged, untagged]).select("doc_id", "lang", "quality", "toxic")
 
 
 CSV_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("toxic", T.IntegerType())])
@@ -382,13 +382,14 @@ def _(x):
     "j3_merge_posts_labels",
     "docs",
     """SELECT DISTINCT coalesce(p.doc_id, l.doc_id) AS doc_id, p.lang, l.toxic FROM
-         (SELECT doc_id, lang FROM docs WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, lang FROM docs WHERE doc_id % 10 = 1) p
-         FULL JOIN (SELECT doc_id, toxic FROM docs WHERE toxic IS NOT NULL) l ON p.doc_id = l.doc_id""",
+         (SELECT doc_id, lang FROM docs UNION ALL SELECT doc_id, lang FROM docs) p
+         FULL JOIN (SELECT doc_id * 2 AS doc_id, toxic FROM labels) l ON p.doc_id = l.doc_id""",
 )
 def _(x):
-    d = x.docs().select("doc_id", "lang", "toxic")
-    posts = d.where(F.col("doc_id") % 3 != 0).unionByName(d.where(F.col("doc_id") % 10 == 1)).drop("toxic")
-    return merge.merge_posts_labels(posts, d.where(F.col("toxic").isNotNull()), "doc_id", text="lang")
+    # Posts are listed twice, as reposts are; doubled ids leave some labels without a post.
+    posts = x.docs().select("doc_id", "lang")
+    labels = x.table("labels").select((F.col("doc_id") * 2).alias("doc_id"), F.lit("label").alias("lang"), "toxic")
+    return merge.merge_posts_labels(posts.unionByName(posts), labels, "doc_id", text="lang")
 
 
 @query("j8_listed_or", "docs", "SELECT doc_id FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) OR lang = 'fr'")

@@ -151,14 +151,14 @@ def _(x):
     "ratings",
     """WITH a AS (SELECT r.subject, r.rater, r.scale, d.lang || ' seen by ' || CAST(r.rater AS VARCHAR) AS text,
            'batch ' || CAST(r.subject % 3 AS VARCHAR) AS batch FROM ratings r JOIN documents d ON r.subject = d.doc_id
-           WHERE (r.subject + r.rater) % 4 <> 0)
+           WHERE r.scale IS NOT NULL)
        SELECT v.subject, v.scale, t.text, t.batch FROM
          (SELECT subject, CAST(round_even(median(scale), 0) AS DOUBLE) AS scale FROM ratings GROUP BY subject) v
          LEFT JOIN (SELECT subject, arg_min(text, rater) AS text, arg_min(batch, rater) AS batch FROM a GROUP BY subject) t USING (subject)""",
 )
 def _(x):
     ratings = x.ratings()
-    seen = ratings.where((F.col("subject") + F.col("rater")) % 4 != 0).join(
+    seen = ratings.where(F.col("scale").isNotNull()).join(
         x.table("documents").select(F.col("doc_id").alias("subject"), "lang"), "subject"
     )
     shown = seen.select(
