@@ -436,7 +436,7 @@ def _(x):
 @query(
     "o2_top_k",
     "content docs",
-    """SELECT true_lang AS lang, term, n, rank FROM (SELECT true_lang, term, CAST(sum(n) AS BIGINT) AS n,
+    """SELECT true_lang AS lang, term, n, CAST(rank AS INT) AS rank FROM (SELECT true_lang, term, CAST(sum(n) AS BIGINT) AS n,
          row_number() OVER (PARTITION BY true_lang ORDER BY sum(n) DESC, term) AS rank FROM content JOIN docs USING (doc_id) GROUP BY 1, 2) t WHERE rank <= 10""",
 )
 def _(x):

@@ -225,7 +225,7 @@ def _(x):
 )
 def _(x):
     pairs = raters.pair_agreement(_r(x), COMPLETE)
-    return pairs.select(F.col("pos").cast("bigint").alias("r"), F.col("other").cast("bigint").alias("s"), "n", "hit")
+    return pairs.select(F.col("pos").alias("r"), F.col("other").alias("s"), "n", "hit")
 
 
 @query(

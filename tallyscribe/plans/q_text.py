@@ -231,7 +231,7 @@ def detected(x: Inputs):
     return language.identify_language(x.docs(), _profiles(x), LANGUAGES)
 
 
-@query("t16_language_profiles", "profiles", "SELECT lang, ngram, rank FROM profiles")
+@query("t16_language_profiles", "profiles", "SELECT lang, ngram, CAST(rank AS INT) AS rank FROM profiles")
 def _(x):
     return _profiles(x)
 
