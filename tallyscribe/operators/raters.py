@@ -6,7 +6,7 @@ combine map-side; nothing larger than a rater-by-rater table is ever gathered.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -25,13 +25,46 @@ def keep_complete_raters(df: DataFrame, n: int, rater: str = "rater") -> DataFra
     return df.join(complete_raters(df, n, rater).select(rater), rater, "left_semi")
 
 
-def majority_vote(df: DataFrame, keys: Sequence[str], cols: Sequence[str], digits: int = 0) -> DataFrame:
+def _median_of_levels(counts: str, levels: Sequence[int]) -> Column:
+    """Median from an array of counts per level (ascending): the mean of the two middle answers."""
+    below = [sum((F.element_at(counts, j + 1) for j in range(i + 1)), F.lit(0)) for i in range(len(levels))]
+    n = below[-1]
+
+    def at(position: Column) -> Column:
+        out = F.lit(None).cast("double")
+        for i in range(len(levels) - 1, -1, -1):
+            out = F.when(below[i] >= position, F.lit(float(levels[i]))).otherwise(out)
+        return out
+
+    return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2)
+
+
+def majority_vote(
+    df: DataFrame,
+    keys: Sequence[str],
+    cols: Sequence[str],
+    digits: int = 0,
+    levels: Mapping[str, Sequence[int]] | None = None,
+) -> DataFrame:
     """Median of each column per key, missing answers ignored, rounded half to even.
 
-    The median aggregate keeps a count per distinct answer and combines map-side, so its state is
-    the answer scale and not the number of answers.
+    For a column whose possible answers are listed in ``levels`` the vote is one sum per answer, which
+    stays in the hash aggregate with a fixed state per key; an answer that is not listed is an error.
+    Other columns use the exact median aggregate, which keeps a counter per distinct value.
     """
-    return df.groupBy(*keys).agg(*[half_even(F.median(c), digits).alias(c) for c in cols])
+    levels = {c: sorted(v) for c, v in (levels or {}).items()}
+    aggs, out = [], []
+    for c in cols:
+        if c in levels:
+            aggs.append(F.array(*[F.sum(F.when(F.col(c) == v, 1).otherwise(0)) for v in levels[c]]).alias(c))
+            aggs.append(F.sum(F.when(F.col(c).isNotNull() & ~F.col(c).isin(*levels[c]), 1).otherwise(0)).alias(f"_bad_{c}"))
+            problem = F.raise_error(F.lit(f"{c} has an answer that is not among its levels"))
+            median = F.when(F.col(f"_bad_{c}") > 0, problem.cast("double")).otherwise(_median_of_levels(c, levels[c]))
+            out.append(half_even(median, digits).alias(c))
+        else:
+            aggs.append(half_even(F.median(c), digits).alias(c))
+            out.append(F.col(c))
+    return df.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
 def crosstab_na(df: DataFrame, a: str, b: str) -> DataFrame:

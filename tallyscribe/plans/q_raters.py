@@ -117,7 +117,9 @@ def _(x):
     }
     # The four votes read the ratings once: each rating is tagged with the groups it belongs to.
     tagged = rated.select("subject", "scale", "binary", F.explode(F.array(*groups.values())).alias("gender"))
-    return raters.majority_vote(tagged, ["subject", "gender"], ["scale", "binary"])
+    return raters.majority_vote(
+        tagged, ["subject", "gender"], ["scale", "binary"], levels={"scale": range(1, 6), "binary": (0, 1)}
+    )
 
 
 @query(

@@ -118,6 +118,21 @@ def test_majority_vote(spark):
     assert got == {"a": 2.0, "b": 2.0, "c": 4.0, "d": None}
 
 
+def test_vote_by_levels_equals_median(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(k), None if v == 0 else int(v)) for k, v in zip(rng.integers(0, 60, 500), rng.integers(0, 6, 500), strict=True)]
+    df = spark.createDataFrame([*rows, (99, None)], "k int, v int")
+    plain = raters.majority_vote(df, ["k"], ["v"])
+    counted = raters.majority_vote(df, ["k"], ["v"], levels={"v": [5, 3, 1, 2, 4]})
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, counted.collect()))
+
+
+def test_unlisted_answer_is_an_error(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 7)], "k string, v int")
+    with pytest.raises(Exception, match="not among its levels"):
+        raters.majority_vote(df, ["k"], ["v"], levels={"v": [1, 2, 3]}).collect()
+
+
 @pytest.fixture(scope="module")
 def sample(spark):
     rng = np.random.default_rng(11)
