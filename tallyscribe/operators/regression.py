@@ -1,7 +1,8 @@
 """Least squares on Spark sums.
 
 A pass over the rows reduces them to sums of products of k columns; the k x k solve is all that
-happens on the driver. Robust covariances take a second pass with the coefficients as literals.
+happens on the driver. Robust covariances take a second pass with the coefficients as literals, so pass
+a stored frame if the rows are expensive to derive.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ from tallyscribe.operators import prep, regression, series
 from tallyscribe.operators.prep import date_slice, incident_features, positive_posts
 from tallyscribe.plans.fixtures import FLAGS, LANGUAGE, SUBJECTS, TYPES, Inputs, register
 from tallyscribe.plans.registry import query, r6, rounded, s6
+from tallyscribe.sources.storage import cut_lineage
 
 ALL_FLAGS = list(FLAGS)
 CATEGORIES = ["events", "action other", "action subject"]
@@ -374,8 +375,9 @@ def _(x):
 
 
 def _incident_frame(x: Inputs):
+    """One row per day, stored: a fit passes over its rows two or three times, over the posts once."""
     days = series.with_lead_lag(_daily(x).select("date", "positives"), "positives")
-    return incident_features(series.join_calendar(days, x.calendar()))
+    return cut_lineage(incident_features(series.join_calendar(days, x.calendar())), "days")
 
 
 @query(
@@ -413,13 +415,14 @@ def _(x):
 
 
 def _panel(x: Inputs):
-    """Language ratio per (date, scale) with the type counts, and the interaction of total and scale."""
+    """Language ratio per (date, scale) with the type counts, and the interaction of total and scale; stored."""
     posts = x.posts()
     by = positive_posts(posts).where(F.col("scale").isNotNull()).groupBy("date", "scale").agg(
         F.count(F.lit(1)).alias("n_positive"), *[F.sum(c).alias(c) for c in [*TYPES, *LANGUAGE]]
     )
     ratio = share(F.col("x5_explicitlanguage"), F.col("x5_implicitlanguage"))
-    return by.withColumn("explicit_ratio", ratio).withColumn("total_x_scale", F.col("n_positive") * F.col("scale"))
+    panel = by.withColumn("explicit_ratio", ratio).withColumn("total_x_scale", F.col("n_positive") * F.col("scale"))
+    return cut_lineage(panel, "panel")
 
 
 PANEL_X = ["n_positive", "scale", "total_x_scale", "x3_violence", "x3_insult", "x3_disparagement", "x3_prejudice", "x3_mocking"]
