@@ -6,13 +6,15 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,29 +114,29 @@ class Vectors:
     train: DataFrame  # with fold, if folds were asked for
     test: DataFrame
     refit: DataFrame  # the test part up-sampled, to be added to the training part for the final fit
-    unlabelled: DataFrame
+    index: DataFrame  # term, df, idx, size
 
 
-def _part(df: DataFrame, name: str, y: str | None, copy_no: str | None, fold: str | None) -> DataFrame:
+def _part(df: DataFrame, name: str, y: str, copy_no: str | None, fold: str | None) -> DataFrame:
     """Rows of one part in the common layout."""
 
-    def pick(col: str | None, kind: str, default):
-        return F.col(col).cast(kind) if col else F.lit(default).cast(kind)
+    def pick(col: str | None):
+        return F.col(col).cast("int") if col else F.lit(0)
 
     return df.select(
         "doc_id",
-        pick(y, "double", None).alias("label"),
-        pick(copy_no, "int", 0).alias("copy_no"),
-        pick(fold, "int", 0).alias("fold"),
+        F.col(y).cast("double").alias("label"),
+        pick(copy_no).alias("copy_no"),
+        pick(fold).alias("fold"),
         F.lit(name).alias("part"),
     )
 
 
 def target_vectors(target: Target, kind: str = BINARY, folds: int | None = None, leak_safe: bool = False) -> Vectors:
-    """All parts from one pass over the features.
+    """Vectors of the labelled documents, from one pass over their features.
 
     Copies and folds are decided on ids; vectors join last. With ``leak_safe`` the copies of a
-    document share a fold.
+    document share a fold. Documents to predict need no vectors, see ``predict_targets``.
     """
     train = target.train
     if folds and leak_safe:
@@ -147,11 +149,10 @@ def target_vectors(target: Target, kind: str = BINARY, folds: int | None = None,
         _part(train, "train", "y", "copy_no", "fold" if folds else None)
         .unionByName(_part(target.test, "test", "y", None, None))
         .unionByName(_part(refit, "refit", "y", "copy_no", None))
-        .unionByName(_part(target.unlabelled, "unlabelled", None, None, None))
     )
     index = cut_lineage(term_index(target.vocab), "terms")
-    vectors = to_vectors(target.counts, index, parts)
-    return Vectors(*[vectors.where(F.col("part") == p).drop("part") for p in ("train", "test", "refit", "unlabelled")])
+    vectors = to_vectors(dfm_docs(target.counts, parts), index, parts)
+    return Vectors(*[vectors.where(F.col("part") == p).drop("part") for p in ("train", "test", "refit")], index)
 
 
 # ---- models ------------------------------------------------------------------------------
@@ -246,6 +247,18 @@ def fit_kind(train: DataFrame, kind: str, costs: Sequence[float], folds: int, ma
     return svm_fit(train, costs, folds, max_iter)
 
 
+@dataclass
+class Fitted:
+    """A fitted target: one linear function of the term counts per class to tell apart."""
+
+    target: str
+    kind: str
+    weights: DataFrame  # term, df, w: one weight per linear function
+    intercepts: list[float]
+    classes: list[float]
+    metrics: DataFrame  # target, metric, value
+
+
 @dataclass
 class Outcome:
     """Result of one target."""
@@ -255,7 +268,24 @@ class Outcome:
     metrics: DataFrame  # target, metric, value
 
 
-def fit_and_predict(
+def _linear_parts(model, kind: str):
+    """(coefficients, intercepts, classes) of a linear model."""
+    if kind == ORDINAL:
+        parts = model.model.models
+        return [m.coefficients.toArray() for m in parts], [m.intercept for m in parts], list(model.classes)
+    return [model.coefficients.toArray()], [model.intercept], [0.0, 1.0]
+
+
+def weight_table(coefficients: Sequence[np.ndarray], index: DataFrame) -> DataFrame:
+    """``(term, df, w)`` from coefficient vectors in the order of ``index``; only as large as the model."""
+    spark = index.sparkSession
+    columns = {f"w{i}": c for i, c in enumerate(coefficients)}
+    by_id = spark.createDataFrame(pa.table({"idx": np.arange(len(coefficients[0]), dtype="int32"), **columns}))
+    by_id = by_id.select("idx", F.array(*columns).alias("w"))
+    return index.join(by_id, "idx").select("term", "df", "w")
+
+
+def fit_target(
     counts: DataFrame,
     labels: DataFrame,
     target: str,
@@ -264,30 +294,88 @@ def fit_and_predict(
     folds: int = 10,
     max_iter: int = 100,
     leak_safe: bool = False,
-) -> Outcome:
-    """Tune on the training part, score on the test part, refit on both, predict the unlabelled."""
+) -> Fitted:
+    """Tune on the training part, score on the test part, refit on both."""
     tuned = kind == BINARY and len(costs) > 1
-    ready = prepare_target(counts, labels, target, kind)
-    vectors = target_vectors(ready, kind, folds if tuned else None, leak_safe)
+    vectors = target_vectors(prepare_target(counts, labels, target, kind), kind, folds if tuned else None, leak_safe)
     model, cost = fit_kind(vectors.train, kind, costs, folds, max_iter)
-    metrics = score(_predict(model, vectors.test), kind, target)
+    metrics = cut_lineage(score(_predict(model, vectors.test), kind, target), "metrics")
     final, _ = fit_kind(vectors.train.unionByName(vectors.refit), kind, (cost,), folds, max_iter)
-    preds = _predict(final, vectors.unlabelled).select("doc_id", F.lit(target).alias("target"), F.col("yhat").alias("pred"))
-    return Outcome(target, preds, metrics)
+    coefficients, intercepts, classes = _linear_parts(final, kind)
+    weights = cut_lineage(weight_table(coefficients, vectors.index), "weights")
+    return Fitted(target, kind, weights, intercepts, classes, metrics)
+
+
+def predict_targets(fitted: Sequence[Fitted], counts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``docs`` ids with one prediction column per target, all targets in one pass over the features.
+
+    The weights of all models stand side by side in one term table, so the documents to predict are
+    joined once, however many targets there are, and are never turned into vectors.
+    """
+    heads = [(f, i) for f in fitted for i in range(len(f.intercepts))]
+    first, every = 0, None
+    for f in fitted:
+        here = range(first, first + len(f.intercepts))
+        first += len(f.intercepts)
+        row = f.weights.select(
+            "term", "df", *[F.element_at("w", h - here.start + 1).alias(f"w{h}") if h in here else F.lit(None).cast("double").alias(f"w{h}") for h in range(len(heads))]
+        )
+        every = row if every is None else every.unionByName(row)
+    table = every.groupBy("term").agg(F.max("df").alias("df"), *[F.max(f"w{h}").alias(f"w{h}") for h in range(len(heads))])
+    table = cut_lineage(table, "weights") if len(fitted) > 1 else table
+    cells = join_term_stats(dfm_docs(counts, docs), table, "term", "df", spread=["doc_id"])
+    sums = cells.groupBy("doc_id").agg(*[F.sum(F.col("n") * F.coalesce(f"w{h}", F.lit(0.0))).alias(f"s{h}") for h in range(len(heads))])
+    scored = docs.select("doc_id").join(sums, "doc_id", "left")
+    out, first = [], 0
+    for f in fitted:
+        margins = [F.coalesce(f"s{first + i}", F.lit(0.0)) + F.lit(float(b)) for i, b in enumerate(f.intercepts)]
+        first += len(margins)
+        if f.kind == NUMERIC:
+            pred = margins[0]
+        elif f.kind == BINARY:
+            pred = F.when(margins[0] > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+        else:
+            best = F.greatest(*margins) if len(margins) > 1 else margins[0]
+            pred = F.lit(f.classes[-1])
+            for m, c in reversed(list(zip(margins, f.classes, strict=True))):
+                pred = F.when(m == best, F.lit(c)).otherwise(pred)
+        out.append(pred.alias(f.target))
+    return scored.select("doc_id", *out)
+
+
+def fit_and_predict(counts: DataFrame, labels: DataFrame, target: str, kind: str = BINARY, **how) -> Outcome:
+    """Fit one target and predict the documents that have no label for it."""
+    fitted = fit_target(counts, labels, target, kind, **how)
+    preds = predict_targets([fitted], counts, labels.where(F.col(target).isNull()))
+    return Outcome(target, preds.select("doc_id", F.lit(target).alias("target"), F.col(target).alias("pred")), fitted.metrics)
 
 
 def run_targets(targets: Sequence, fn: Callable, parallelism: int = 4) -> list:
     """Run one function per target from driver threads; the cluster shares their jobs."""
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        futures = [pool.submit(inheritable_thread_target(fn), t) for t in targets]
+        task = inheritable_thread_target(SparkSession.active())(fn)
+        futures = [pool.submit(task, t) for t in targets]
         return [f.result() for f in futures]
 
 
 def predict_all(
     counts: DataFrame, labels: DataFrame, targets: dict[str, str], parallelism: int = 4, **how
-) -> list[Outcome]:
-    """``fit_and_predict`` for every ``{target: kind}``."""
-    return run_targets(list(targets.items()), lambda t: fit_and_predict(counts, labels, t[0], t[1], **how), parallelism)
+) -> tuple[DataFrame, DataFrame]:
+    """Every ``{target: kind}``: (predictions, metrics).
+
+    Models are fitted from driver threads on the labelled documents; then all targets are predicted in
+    one pass over the documents that lack a label. A document keeps NULL where it has a label.
+    """
+    fitted = run_targets(list(targets.items()), lambda t: fit_target(counts, labels, t[0], t[1], **how), parallelism)
+    missing = F.lit(False)
+    for t in targets:
+        missing = missing | F.col(t).isNull()
+    known = labels.select("doc_id", *[F.col(t).alias(f"_{t}") for t in targets])
+    preds = predict_targets(fitted, counts, labels.where(missing)).join(known, "doc_id")
+    metrics = fitted[0].metrics
+    for f in fitted[1:]:
+        metrics = metrics.unionByName(f.metrics)
+    return preds.select("doc_id", *[F.when(F.col(f"_{t}").isNull(), F.col(t)).alias(t) for t in targets]), metrics
 
 
 def run_grid(

@@ -504,11 +504,9 @@ def _(x):
     chosen = cut_lineage(_second_stage(x), "chosen")
     feats = cut_lineage(tokens.dfm_trim(tokens.dfm_docs(content(x), chosen), 2, 2), "features")
     docs = x.docs().join(chosen, "doc_id", "left_semi")
-    outcomes = models.predict_all(feats, docs, {"toxic": models.BINARY, "quality": models.BINARY, "degree": models.ORDINAL}, costs=(1.0,), max_iter=10)
-    preds = outcomes[0].preds
-    for o in outcomes[1:]:
-        preds = preds.unionByName(o.preds)
-    return merge.assemble_predictions(docs.select("doc_id"), preds, [o.target for o in outcomes])
+    kinds = {"toxic": models.BINARY, "quality": models.BINARY, "degree": models.ORDINAL}
+    preds, _ = models.predict_all(feats, docs, kinds, costs=(1.0,), max_iter=10)
+    return docs.select("doc_id").join(preds, "doc_id", "left")
 
 
 @query("x2_run_targets")

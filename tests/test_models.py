@@ -150,6 +150,22 @@ def test_svm_learns_and_predicts(spark, data):
     assert got["Accuracy"] > 0.9 and set(got) == {"Accuracy", "Precision_2", "Recall_2", "F1_2"}
 
 
+def test_joined_weights_predict_like_the_models(spark, data):
+    """One pass over the long table gives what each model gives on vectors."""
+    counts, labels, _, _ = data
+    both = labels.withColumn("z", F.when(F.col("y").isNotNull(), F.col("doc_id") % 3 + 1).cast("int"))
+    preds, scores = models.predict_all(counts, both, {"y": models.BINARY, "z": models.ORDINAL}, costs=(1.0,), max_iter=10)
+    got = {r.doc_id: (r.y, r.z) for r in preds.collect()}
+    assert set(got) == set(range(120, 140))
+    assert {r.target for r in scores.collect()} == {"y", "z"}
+    unlabelled = both.where("y is null")
+    for at, (target, kind) in enumerate([("y", models.BINARY), ("z", models.ORDINAL)]):
+        vectors = models.target_vectors(models.prepare_target(counts, both, target, kind), kind)
+        model, _ = models.fit_kind(vectors.train.unionByName(vectors.refit), kind, (1.0,), 2, 10)
+        rows = model.transform(models.to_vectors(counts, vectors.index, unlabelled.select("doc_id"))).collect()
+        assert {r.doc_id: r.prediction for r in rows} == {d: v[at] for d, v in got.items()}
+
+
 def test_ordinal_model_uses_occurring_classes(spark, data):
     counts, labels, _, _ = data
     ordinal = labels.withColumn("z", F.when(F.col("y").isNotNull(), F.col("truth") * 3 + 2).cast("int"))
