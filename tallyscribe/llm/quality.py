@@ -52,7 +52,7 @@ RULES = (
     Rule("long_words", "word_chars", ">", 15, per="n_words"),
     Rule("symbols", "n_symbols", ">", 10, per="n_words", scale=100),
     Rule("exclamations", "n_exclaims", ">", 30, per="n_words", scale=100),
-    Rule("repeated_lines", "n_dup_lines", ">", 30, per="n_lines", scale=100),
+    Rule("repeated_lines", "n_dup_lines", ">", 50, per="n_lines", scale=100),
     Rule("no_stop_words", "n_stop_words", "<", 1, least_words=60),
 )
 
