@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscribe.llm import exact, lines, packing, quality, tokenfiles
+from tallyscribe.llm import bpe, exact, lines, packing, quality, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +95,8 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2).drop("ids")
+
+
+@query("op6_bpe_codec")
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
