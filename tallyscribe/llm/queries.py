@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscribe.llm import bpe, exact, lines, packing, quality, tokenfiles
+from tallyscribe.llm import bpe, exact, lines, minhash, packing, quality, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,3 +100,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_bpe_codec")
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
+@query(
+    "op1_minhash_dedup",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {SQL_FOLD}), '{WORD}') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos, len(ws) AS n FROM d),
+g AS (SELECT doc_id, n, pos, w || ' ' || lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS gram, w FROM w),
+s AS (SELECT DISTINCT doc_id, CASE WHEN n = 1 THEN w ELSE gram END AS gram FROM g WHERE n = 1 OR pos < n),
+z AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS same FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN z zx ON zx.doc_id = x JOIN z zy ON zy.doc_id = y WHERE 100 * same >= 80 * (zx.size + zy.size - same)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reached)
+SELECT doc_id, coalesce(max(size), 0) AS n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept
+FROM r LEFT JOIN z USING (doc_id) GROUP BY doc_id""",
+)
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(documents(spark, sf_dir), shingle=2, similarity=80)
