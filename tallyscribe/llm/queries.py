@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscribe.llm import bpe, exact, lines, minhash, packing, quality, tokenfiles
+from tallyscribe.llm import bpe, exact, lines, minhash, packing, quality, suffix, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -117,3 +117,8 @@ FROM r LEFT JOIN z USING (doc_id) GROUP BY doc_id""",
 )
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(documents(spark, sf_dir), shingle=2, similarity=80)
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir), digests=True).withColumnRenamed("kept", "kept_sha256")
