@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscribe.llm import bpe, exact, lines, minhash, packing, quality, suffix, tokenfiles
+from tallyscribe.llm import bpe, exact, lines, lm, minhash, packing, quality, suffix, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,3 +122,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_suffix_dedup")
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir), digests=True).withColumnRenamed("kept", "kept_sha256")
+
+
+@query("op8_lm_scoring")
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
+    docs = documents(spark, sf_dir)
+    model, counts = lm.fit(docs.where(fold != 2))
+    return lm.score(docs, model, counts).select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
