@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscribe.llm import bpe, exact, lines, lm, minhash, packing, quality, suffix, tokenfiles
+from tallyscribe.llm import bpe, exact, lines, lm, minhash, packing, quality, suffix, tokenfiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,3 +130,17 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model, counts = lm.fit(docs.where(fold != 2))
     return lm.score(docs, model, counts).select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def toxicity_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Index:
+    """Learnt from the labels of the rows whose crc32 of the id leaves no 1 when divided by 3."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    return toxicity.fit(docs, labels)
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    out = toxicity.score(docs, toxicity_index(spark, docs, sf_dir))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
