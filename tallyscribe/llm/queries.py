@@ -133,7 +133,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Index:
-    """Learnt from the labels of the rows whose crc32 of the id leaves no 1 when divided by 3."""
+    """The index of ``docs``, learnt from the labels of the rows whose crc32 of the id leaves no 1 when divided by 3."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     return toxicity.fit(docs, labels)
 

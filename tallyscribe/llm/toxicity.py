@@ -211,24 +211,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return out
 
 
+class _Scorer:
+    """Scores of the texts of a slice; texts with the same terms are looked up once."""
+
+    def __init__(self, index: Index, limit: int = 50_000):
+        self.index, self.limit = index, limit
+        self.known: dict[bytes, tuple[float, np.ndarray]] = {}
+
+    def __call__(self, texts: pa.Array) -> list[tuple[float, np.ndarray]]:
+        doc, at, n = _per_text(pa.RecordBatch.from_arrays([texts], ["text"]), self.index.vocabulary)
+        bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+        out = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            key = at[a:b].tobytes() + n[a:b].tobytes()
+            if key not in self.known:
+                if len(self.known) >= self.limit:
+                    self.known.clear()
+                self.known[key] = self.index.score(at[a:b], n[a:b])
+            out.append(self.known[key])
+        return out
+
+
 def _apply(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[float, np.ndarray]] = {}
+        scorer = _Scorer(index)
         for part in slices(batches):
-            doc, at, n = _per_text(part, index.vocabulary)
-            bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            score, near = [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                key = at[a:b].tobytes() + n[a:b].tobytes()
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = index.score(at[a:b], n[a:b])
-                score.append(known[key][0])
-                near.append(known[key][1])
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(score, pa.float64()), pa.array(near, pa.list_(part.schema.field("doc_id").type))], ["doc_id", "score", "evidence"]
-            )
+            found = scorer(part.column("text"))
+            near = pa.array([x[1] for x in found], pa.list_(part.schema.field("doc_id").type))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[0] for x in found], pa.float64()), near], ["doc_id", "score", "evidence"])
 
     return run
 
@@ -236,8 +246,8 @@ def _apply(index: Index):
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: ``doc_id, score, predicted, evidence`` (ids of the neighbours, nearest first).
 
-    Null and empty text have no terms and get the overall rate of toxic labels, as does everything if there was nothing
-    to learn from. Rows are scored one by one, null and repeated ids too; an empty table gives no rows.
+    Null and empty text have no terms and get the score of a text without neighbours; with no labels at all every score
+    is 0. Rows are scored one by one, null and repeated ids too; an empty table gives no rows.
     """
     rows = pick(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -245,22 +255,12 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
-def clean(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns. Nothing moves between tasks."""
+def clean(docs: DataFrame, index: Index, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is under ``threshold``, with all their columns. Nothing moves between tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
+        scorer = _Scorer(index)
         for part in slices(batches, text_col):
-            doc, at, n = _per_text(pa.RecordBatch.from_arrays([part.column(text_col)], ["text"]), index.vocabulary)
-            bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            keep = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                key = at[a:b].tobytes() + n[a:b].tobytes()
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = index.score(at[a:b], n[a:b])[0]
-                keep.append(known[key] < threshold)
-            yield part.filter(pa.array(keep, pa.bool_()))
+            yield part.filter(pa.array([x[0] < threshold for x in scorer(part.column(text_col))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
