@@ -1,19 +1,49 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``: clean, unique texts packed into sequences of one length."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscribe.llm import exact
+from tallyscribe.llm import exact, minhash, packing, suffix, toxicity
+from tallyscribe.llm.queries import toxicity_index
 from tallyscribe.sources.storage import cut_lineage
 
 
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples call toxic go."""
+    return toxicity.clean(docs, toxicity_index(spark, docs, sf_dir))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of identical texts the row with the largest id stays."""
     return exact.survivors(docs)
 
 
-STAGES = [("exact dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    return minhash.survivors(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes or more that occur again anywhere leave their texts; every document stays."""
+    return suffix.without_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boundary records of all tokens in sequences of 4096."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("suffix dedup", repeated_passages),
+    ("packing", packed),
+]
+
+#: Learnt scores, MinHash buckets and token ids have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

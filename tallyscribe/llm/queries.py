@@ -121,7 +121,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_suffix_dedup")
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(documents(spark, sf_dir), digests=True).withColumnRenamed("kept", "kept_sha256")
+    return suffix.remove_repeats(documents(spark, sf_dir), form="sha256").drop("others").withColumnRenamed("kept", "kept_sha256")
 
 
 @query("op8_lm_scoring")

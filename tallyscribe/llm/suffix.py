@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscribe.llm.frames import pick, slices, utf8
+from tallyscribe.llm.frames import slices, utf8
 from tallyscribe.llm.words import mix
 from tallyscribe.sources.storage import cut_lineage
 
@@ -35,6 +35,9 @@ GRAM = 50
 #: An anchor with more classes than this has its windows ranked by Spark instead of inside one task.
 GROUP = 4096
 
+#: Forms of what is left: the bytes, their digest in hex, or the text without characters that were cut.
+ARROW = {"bytes": pa.binary(), "sha256": pa.string(), "text": pa.string()}
+
 #: Bytes of text that are ranked at a time.
 BLOCK = 1 << 18
 
@@ -136,17 +139,21 @@ def _merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], far[np.append(at[1:], len(spans)) - 1]], axis=1)
 
 
-def _cut_out(raw: np.ndarray, spans: np.ndarray, digests: bool):
-    """(bytes, removed bytes, spans, what is left or its digest) of one text."""
+def _cut_out(raw: np.ndarray, spans: np.ndarray, form: str):
+    """(bytes, removed bytes, spans, what is left in the form asked for) of one text."""
     spans = _merge(spans)
     keep = np.ones(len(raw), bool)
     for a, b in spans:
         keep[a:b] = False
     left = raw[keep].tobytes()
-    return len(raw), int((~keep).sum()), len(spans), hashlib.sha256(left).hexdigest() if digests else left
+    if form == "sha256":
+        left = hashlib.sha256(left).hexdigest()
+    elif form == "text":
+        left = left.decode("utf-8", "ignore")
+    return len(raw), int((~keep).sum()), len(spans), left
 
 
-def _settle(length: int, digests: bool):
+def _settle(length: int, form: str):
     """Finish the texts without open runs; of the others, list the spans known so far and the strings still open."""
     opened = pa.list_(pa.struct([("gram", pa.int64()), ("single", pa.bool_()), ("hot", pa.bool_()), ("first", pa.int64()), ("bytes", pa.binary())]))
 
@@ -169,7 +176,7 @@ def _settle(length: int, digests: bool):
                     twice[np.unique(kind[ask], return_index=True)[1]] = True
                     ask = ask[twice]
                 pending = bool((state & 2).any())
-                n, gone, n_spans, left = _cut_out(raw, spans, digests) if not pending else (len(raw), None, None, None)
+                n, gone, n_spans, left = _cut_out(raw, spans, form) if not pending else (len(raw), None, None, None)
                 rows = [
                     {"gram": int(gram[k].view(np.int64)), "single": bool(state[k] & 2), "hot": bool(state[k] & 8), "first": int(first[k]), "bytes": raw[first[k] : last[k] + length].tobytes()}
                     for k in ask
@@ -177,9 +184,9 @@ def _settle(length: int, digests: bool):
                 values = n, gone, n_spans, left, raw.tobytes() if pending else None, spans.ravel() if pending else None, rows or None
                 for name, value in zip(out, values, strict=True):
                     out[name].append(value)
-            kinds_of = [pa.int64()] * 3 + [pa.string() if digests else pa.binary(), pa.binary(), pa.list_(pa.int64()), opened]
+            kinds_of = [pa.int64()] * 3 + [ARROW[form], pa.binary(), pa.list_(pa.int64()), opened]
             columns = [pa.array(v, t) for v, t in zip(out.values(), kinds_of, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *columns], ["doc_id", "key", *out])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("others"), part.column("key"), *columns], ["doc_id", "others", "key", *out])
 
     return run
 
@@ -243,7 +250,7 @@ def _rank_rows(length: int):
     return run
 
 
-def _finish(digests: bool):
+def _finish(form: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             out = []
@@ -251,29 +258,34 @@ def _finish(digests: bool):
                 known = spans.values.to_numpy() if spans.is_valid else np.zeros(0, np.int64)
                 extra = more.values.to_numpy() if more.is_valid else np.zeros(0, np.int64)
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
-                out.append(_cut_out(raw, np.concatenate([known, extra]).reshape(-1, 2), digests))
-            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string() if digests else pa.binary()], strict=True)] if out else []
+                out.append(_cut_out(raw, np.concatenate([known, extra]).reshape(-1, 2), form))
             if out:
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [ARROW[form]], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("others"), *columns], ["doc_id", "others", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digests: bool = False, group: int = GROUP
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, form: str = "bytes", group: int = GROUP
 ) -> DataFrame:
-    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept``.
+    """One row per input row: ``doc_id, others, n_bytes, n_removed, n_spans, kept``.
 
     Every byte that a string of ``length`` bytes covers which also starts anywhere else in the input goes; overlaps
     count, and matches stay inside a text. ``kept`` is what is left of the UTF-8 bytes (which may cut a character), or
-    with ``digests`` its SHA-256 in lowercase hex. Null text is empty; texts under ``length`` bytes stay whole. Every row
+    with ``form`` "sha256" their digest in lowercase hex, or with "text" the text without cut characters. ``others`` is
+    a struct of the input's other columns. Null text is empty; texts under ``length`` bytes stay whole. Every row
     counts: repeated rows are each other's repeats, whatever their ids, null ones too. An empty table gives no rows.
     """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
-    rows = pick(docs, id_col, text_col)
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    keyed = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    others = F.struct(*rest) if rest and form != "sha256" else F.lit(None).cast("int")
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), others.alias("others")
+    )
+    id_type, others_type = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "others"))
+    keyed = rows.select("doc_id", "text", "others", F.xxhash64("doc_id", "text").alias("key"))
     listed = keyed.select("key", "text").mapInArrow(_list_runs(length), "key bigint, gram bigint, kind bigint, n bigint")
     # Classes lie with their anchor, so its figures need no further move.
     classes = (
@@ -296,11 +308,11 @@ def remove_repeats(
     mine = F.when(F.col("key") == F.col("shown"), F.col("state")).otherwise(F.col("state").bitwiseAND(F.lit(11)))
     marks = marked.groupBy("key").agg(F.collect_list(F.struct("kind", mine.alias("state"))).alias("m"))
     marks = marks.select("key", F.col("m.kind").alias("kinds"), F.transform("m", lambda x: x["state"].cast("bigint")).alias("states"))
-    kept = "string" if digests else "binary"
+    kept = "binary" if form == "bytes" else "string"
     stage = cut_lineage(
         keyed.join(marks, "key", "left").mapInArrow(
-            _settle(length, digests),
-            f"doc_id {id_type}, key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {kept}, text binary, spans array<bigint>, "
+            _settle(length, form),
+            f"doc_id {id_type}, others {others_type}, key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {kept}, text binary, spans array<bigint>, "
             "open array<struct<gram: bigint, single: boolean, hot: boolean, first: bigint, bytes: binary>>",
         ),
         "op5-settled",
@@ -312,7 +324,14 @@ def remove_repeats(
     twice = hot.groupBy("rank").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("rank")
     more = hot.where("single").join(twice, "rank").select("key", "a", (F.col("a") + length).alias("b"))
     found = spans.unionByName(more).groupBy("key").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("more"))
-    late = stage.where("text IS NOT NULL").select("doc_id", "key", "text", "spans").join(found, "key", "left")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-    rest = late.mapInArrow(_finish(digests), f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {kept}")
+    late = stage.where("text IS NOT NULL").select("doc_id", "others", "key", "text", "spans").join(found, "key", "left")
+    names = ["doc_id", "others", "n_bytes", "n_removed", "n_spans", "kept"]
+    rest = late.mapInArrow(_finish(form), f"doc_id {id_type}, others {others_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {kept}")
     return stage.where("text IS NULL").select(*names).unionByName(rest)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with the repeated strings taken out of their texts, and the number of characters counted again."""
+    out = remove_repeats(docs, id_col, text_col, form="text", **options)
+    new = {id_col: F.col("doc_id"), text_col: F.col("kept"), chars_col: F.char_length("kept").cast(docs.schema[chars_col].dataType) if chars_col in docs.columns else None}
+    return out.select(*[new.get(c, F.col("others").getField(c)).alias(c) for c in docs.columns])
