@@ -1,8 +1,9 @@
 """Least squares on Spark sums.
 
-A pass over the rows reduces them to sums of products of k columns; the k x k solve is all that
-happens on the driver. Robust covariances take a second pass with the coefficients as literals, so pass
-a stored frame if the rows are expensive to derive.
+One pass takes means and spreads, a second the sums of products of the centred, scaled columns, a third the residuals
+with the coefficients as literals; the k x k solve is all that happens on the driver. So columns far from zero keep
+their digits. Columns that depend on earlier ones are left out and get no coefficient, and all factors use the rank.
+Pass a stored frame if the rows are expensive to derive.
 """
 
 from __future__ import annotations
@@ -75,13 +76,15 @@ class Fit:
     r2: float
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """Table of estimate, standard error, t and two-sided p."""
+        """Table of estimate, standard error, t and two-sided p; NULL where there is none."""
         rows = []
         for i, name in enumerate(self.names):
-            se = math.sqrt(max(self.cov[i, i], 0.0))
-            t = float(self.coef[i]) / se if se > 0 else None
-            p = t_two_sided(t, self.df_resid) if t is not None else None
-            rows.append((name, float(self.coef[i]), se, t, p, int(self.n), float(self.r2)))
+            estimate, var = float(self.coef[i]), float(self.cov[i, i])
+            se = math.sqrt(max(var, 0.0)) if math.isfinite(var) else None
+            t = estimate / se if se else None
+            p = t_two_sided(t, self.df_resid) if t is not None and self.df_resid > 0 else None
+            r2 = float(self.r2) if math.isfinite(self.r2) else None
+            rows.append((name, estimate if math.isfinite(estimate) else None, se, t, p, int(self.n), r2))
         return spark.createDataFrame(
             rows, "term string, estimate double, std_error double, t double, p double, n bigint, r2 double"
         )
@@ -106,31 +109,91 @@ def t_two_sided(t: float, df: int) -> float:
     return 1 - beta if swap else beta
 
 
-def _solve(row, k: int):
-    xx = np.zeros((k, k))
-    xy = np.array([row[f"xy_{i}"] for i in range(k)])
+ALIASED = 1e-10  # a column is left out if this share of its sum of squares, or less, is its own
+
+
+@dataclass
+class _Solved:
+    """Least squares on the columns ``used``, in units of the centred and scaled columns."""
+
+    used: list[int]
+    inverse: np.ndarray
+    coef: np.ndarray
+    mean: np.ndarray
+    scale: np.ndarray
+    y_mean: float
+    n: int
+    syy: float
+
+
+def _solve(frame: DataFrame, k: int, centre: bool) -> _Solved:
+    """Solve for ``_y`` on ``_x0``, ``_x1`` ...; with ``centre`` there is an intercept, else the columns have mean zero."""
+    cols = ["_y"] + [f"_x{i}" for i in range(k)]
+    stats = frame.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}{c}") for c in cols for f in (F.avg, F.stddev_pop)]).first()
+    n = stats["n"]
+    mean = np.array([(stats[f"avg_x{i}"] or 0.0) if centre else 0.0 for i in range(k)])
+    scale = np.array([stats[f"stddev_pop_x{i}"] or 1.0 for i in range(k)])
+    y_mean = (stats["avg_y"] or 0.0) if centre else 0.0
+    z = _scaled(k, mean, scale)
+    y = F.col("_y") - F.lit(float(y_mean))
+    sums = [F.sum(y * y).alias("yy")] + [F.sum(z[i] * y).alias(f"xy_{i}") for i in range(k)]
+    sums += [F.sum(z[i] * z[j]).alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k)]
+    row = frame.agg(*sums).first()
+    if not n:
+        return _Solved([], np.zeros((0, 0)), np.zeros(0), mean, scale, y_mean, 0, 0.0)
+    xx, xy = _symmetric(row, k), np.array([row[f"xy_{i}"] for i in range(k)])
+    used: list[int] = []
     for i in range(k):
-        for j in range(i, k):
-            xx[i, j] = xx[j, i] = row[f"xx_{i}_{j}"]
-    inverse = np.linalg.pinv(xx, hermitian=True)
-    return inverse, inverse @ xy, xy
+        if len(used) + centre >= n:
+            break
+        own = xx[i, i]
+        if used:
+            own -= xx[i, used] @ np.linalg.solve(xx[np.ix_(used, used)], xx[used, i])
+        if own > ALIASED * max(xx[i, i], n * 1e-300) and stats[f"stddev_pop_x{i}"]:
+            used.append(i)
+    inverse = np.linalg.inv(xx[np.ix_(used, used)]) if used else np.zeros((0, 0))
+    return _Solved(used, inverse, inverse @ xy[used], mean, scale, y_mean, n, row["yy"])
+
 
+def _scaled(k: int, mean: np.ndarray, scale: np.ndarray) -> list[Column]:
+    return [(F.col(f"_x{i}") - F.lit(float(mean[i]))) / F.lit(float(scale[i])) for i in range(k)]
 
-def _residual(coef: np.ndarray, intercept: bool) -> Column:
-    fitted = F.lit(float(coef[0])) if intercept else F.lit(0.0)
-    for i, b in enumerate(coef[1:] if intercept else coef):
-        fitted = fitted + F.lit(float(b)) * F.col(f"_x{i}")
+
+def _residual(s: _Solved, z: list[Column]) -> Column:
+    fitted = F.lit(float(s.y_mean))
+    for b, i in zip(s.coef, s.used, strict=True):
+        fitted = fitted + F.lit(float(b)) * z[i]
     return F.col("_y") - fitted
 
 
-def _meat(row, k: int) -> np.ndarray:
+def _symmetric(row, k: int) -> np.ndarray:
     out = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
-            out[i, j] = out[j, i] = row[f"m_{i}_{j}"]
+            out[i, j] = out[j, i] = row[f"m_{i}_{j}"] or 0.0
     return out
 
 
+def _fit(s: _Solved, names: list[str], cov: np.ndarray, centre: bool, df_resid: int, r2: float) -> Fit:
+    """Back to the columns' own units. ``cov`` belongs to (mean of y, scaled coefficients); left-out terms become NaN."""
+    k, lead = len(s.scale), int(centre)
+    back = np.zeros((k + lead, len(s.used) + lead))
+    for at, i in enumerate(s.used):
+        back[i + lead, at + lead] = 1 / s.scale[i]
+        if centre:
+            back[0, at + lead] = -s.mean[i] / s.scale[i]
+    if centre:
+        back[0, 0] = 1.0
+    coef = back @ np.concatenate([[s.y_mean] * lead, s.coef])
+    full = back @ cov @ back.T
+    gone = [i + lead for i in range(k) if i not in s.used] + ([0] if centre and not s.n else [])
+    coef[gone] = np.nan
+    full[gone, :] = full[:, gone] = np.nan
+    if df_resid <= 0:
+        full[:] = np.nan
+    return Fit(([INTERCEPT] if centre else []) + names, coef, full, s.n, df_resid, r2)
+
+
 def ols(
     df: DataFrame,
     y: str,
@@ -138,26 +201,30 @@ def ols(
     factors: Mapping[str, tuple[str, Sequence[str]]] | None = None,
     cov: str | None = None,
 ) -> Fit:
-    """Multiple regression with an intercept; ``cov='HC1'`` gives heteroskedasticity-robust errors."""
+    """Multiple regression with an intercept; ``cov='HC1'`` gives heteroskedasticity-robust errors.
+
+    Columns without a part of their own (an unused level, a multiple of others) have no coefficient. With no more rows
+    than coefficients there are no standard errors.
+    """
+    if cov not in (None, "HC1"):
+        raise ValueError(f"unknown covariance {cov!r}")
     frame, names = design(df, y, x, factors)
-    k = len(names) + 1
-    row = cross_products(frame, len(names)).first()
-    inverse, coef, xy = _solve(row, k)
-    n = row["n"]
-    sse = row["yy"] - float(coef @ xy)
-    sst = row["yy"] - row["s_y"] ** 2 / n
-    r2 = 1 - sse / sst if sst > 0 else float("nan")
+    s = _solve(frame, len(names), centre=True)
+    z = _scaled(len(names), s.mean, s.scale)
+    rank = len(s.used) + 1
+    terms = [F.lit(1.0)] + [z[i] for i in s.used]
+    e2 = F.pow("_e", F.lit(2.0))
+    sums = [F.sum(e2).alias("sse")]
     if cov == "HC1":
-        xs = [F.lit(1.0)] + [F.col(f"_x{i}") for i in range(len(names))]
-        e2 = F.pow("_e", F.lit(2.0))
-        sums = [F.sum(e2 * xs[i] * xs[j]).alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k)]
-        meat = _meat(frame.withColumn("_e", _residual(coef, True)).agg(*sums).first(), k)
-        covariance = n / (n - k) * inverse @ meat @ inverse
-    elif cov is None:
-        covariance = sse / (n - k) * inverse
-    else:
-        raise ValueError(f"unknown covariance {cov!r}")
-    return Fit([INTERCEPT] + names, coef, covariance, n, n - k, r2)
+        sums += [F.sum(e2 * terms[i] * terms[j]).alias(f"m_{i}_{j}") for i in range(rank) for j in range(i, rank)]
+    row = frame.withColumn("_e", _residual(s, z)).agg(*sums).first()
+    sse, df_resid = row["sse"] or 0.0, s.n - rank
+    bread = np.zeros((rank, rank))
+    bread[0, 0] = 1 / max(s.n, 1)
+    bread[1:, 1:] = s.inverse
+    scale = 1 / df_resid if df_resid > 0 else float("nan")
+    covariance = sse * scale * bread if cov is None else s.n * scale * bread @ _symmetric(row, rank) @ bread
+    return _fit(s, names, covariance, True, df_resid, 1 - sse / s.syy if s.syy > 0 else float("nan"))
 
 
 def demean(df: DataFrame, cols: Sequence[str], group: str) -> DataFrame:
@@ -185,20 +252,19 @@ def panel_within(
     frame, names = design(df.where(F.col(group).isNotNull()), y, x, factors)
     k = len(names)
     within = demean(frame, ["_y"] + [f"_x{i}" for i in range(k)], group)
-    row = cross_products(within, k, intercept=False).first()
-    inverse, coef, xy = _solve(row, k)
-    n = row["n"]
-    sse = row["yy"] - float(coef @ xy)
+    s = _solve(within, k, centre=False)
+    z = _scaled(k, s.mean, s.scale)
+    rank = len(s.used)
+    scored = within.withColumn("_e", _residual(s, z))
+    sse = scored.agg(F.sum(F.pow("_e", F.lit(2.0))).alias("sse")).first()["sse"] or 0.0
     groups = frame.agg(F.count_distinct(group).alias("g")).first()["g"]
-    df_resid = n - groups - k
-    r2 = 1 - sse / row["yy"] if row["yy"] > 0 else float("nan")
+    df_resid = s.n - groups - rank
+    r2 = 1 - sse / s.syy if s.syy > 0 else float("nan")
     if cluster is None:
-        return Fit(names, coef, sse / df_resid * inverse, n, df_resid, r2)
-    scores = within.withColumn("_e", _residual(coef, False)).groupBy(cluster).agg(
-        *[F.sum(F.col("_e") * F.col(f"_x{i}")).alias(f"_s{i}") for i in range(k)]
-    )
-    sums = [F.sum(F.col(f"_s{i}") * F.col(f"_s{j}")).alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k)]
+        return _fit(s, names, (sse / df_resid if df_resid > 0 else float("nan")) * s.inverse, False, df_resid, r2)
+    scores = scored.groupBy(cluster).agg(*[F.sum(F.col("_e") * z[i]).alias(f"_s{at}") for at, i in enumerate(s.used)])
+    sums = [F.sum(F.col(f"_s{i}") * F.col(f"_s{j}")).alias(f"m_{i}_{j}") for i in range(rank) for j in range(i, rank)]
     outer = scores.agg(F.count(F.lit(1)).alias("g"), *sums).first()
     g = outer["g"]
-    scale = g / (g - 1) * (n - 1) / (n - k)
-    return Fit(names, coef, scale * inverse @ _meat(outer, k) @ inverse, n, df_resid, r2)
+    scale = g / (g - 1) * (s.n - 1) / (s.n - rank) if g > 1 and s.n > rank else float("nan")
+    return _fit(s, names, scale * s.inverse @ _symmetric(outer, rank) @ s.inverse, False, df_resid, r2)
