@@ -6,7 +6,9 @@ could draw again. A hash of the key gives the same answer on any cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 4294967296  # 2^32
@@ -27,3 +29,14 @@ def key_hash(key: Column, purpose: int) -> Column:
 def text_key(key: Column) -> Column:
     """Integer key in [0, 2^32) for a string id."""
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+
+
+def row_hash(df: DataFrame, keys: Sequence[str], purpose: int) -> Column:
+    """Hash of the key columns in [0, 2^32): of one integer as is, of anything else through its text.
+
+    Several columns are hashed as a tuple, so (1, 11) and (11, 1) or sums that agree do not meet.
+    """
+    if len(keys) == 1 and df.schema[keys[0]].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return key_hash(F.col(keys[0]), purpose)
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return text_key(F.concat_ws("|", *parts, F.lit(str(purpose))))

@@ -142,8 +142,7 @@ def target_vectors(target: Target, kind: str = BINARY, folds: int | None = None,
     if folds and leak_safe:
         train = assign_folds(train, "y", "doc_id", folds, group_key="doc_id")
     elif folds:
-        keyed = train.withColumn("_k", F.col("doc_id") + F.col("copy_no") * 7919)
-        train = assign_folds(keyed, "y", "_k", folds)
+        train = assign_folds(train, "y", ["doc_id", "copy_no"], folds)
     refit = target.test.withColumn("copy_no", F.lit(0)) if kind == NUMERIC else upsample(target.test, "y", "doc_id")
     parts = (
         _part(train, "train", "y", "copy_no", "fold" if folds else None)
