@@ -52,6 +52,7 @@ def identify_language(
 ) -> DataFrame:
     """``(doc_id, detected_lang, distance)``: the language with the smallest out-of-place distance.
 
+    Every document of ``df`` is in the answer; both values are NULL for a text without letters.
     The texts are hash-partitioned by document once; counting, ranking and scoring then stay inside
     the partition. The profile table has at most ``size`` rows per listed language and is broadcast.
     """
@@ -60,15 +61,17 @@ def identify_language(
         .groupBy("ngram")
         .agg(F.array(*[F.max(F.when(F.col(lang) == k, F.col("rank"))) for k in languages]).alias("ranks"))
     )
-    grams = ranked(ngram_counts(df.select(doc_id, text).repartition(doc_id), doc_id, text), doc_id, size)
+    texts = df.select(doc_id, text).repartition(doc_id)
+    grams = ranked(ngram_counts(texts, doc_id, text), doc_id, size)
     placed = grams.join(F.broadcast(known), "ngram", "left")
     distance = [
         F.sum(F.coalesce(F.abs(F.col("rank") - F.element_at("ranks", i + 1)), F.lit(size))).alias(f"d{i}")
         for i in range(len(languages))
     ]
     best = F.array_min(F.array(*[F.struct(F.col(f"d{i}").alias("d"), F.lit(k).alias("lang")) for i, k in enumerate(languages)]))
-    return (
+    found = (
         placed.groupBy(doc_id)
         .agg(*distance)
         .select(doc_id, best["lang"].alias("detected_lang"), best["d"].cast("bigint").alias("distance"))
     )
+    return texts.select(doc_id).join(found, doc_id, "left")

@@ -186,7 +186,8 @@ def event_windows(daily: DataFrame, calendar: DataFrame, ranges: Mapping[str, tu
     """Slices ``[start, end)`` of the daily series with the incidents in them, one label per slice.
 
     Every day is matched with the few ranges it lies in by an array filter, so overlapping slices
-    come out of one pass and no range join is planned.
+    come out of one pass and no range join is planned. The ranges also stand as a plain condition on the date, which
+    passes the daily aggregate and reaches the scan.
     """
     slices = F.array(
         *[
@@ -195,5 +196,8 @@ def event_windows(daily: DataFrame, calendar: DataFrame, ranges: Mapping[str, tu
         ]
     )
     hits = F.filter(slices, lambda s: (F.col(date) >= s["start"]) & (F.col(date) < s["stop"]))
-    sliced = daily.withColumn("_s", F.explode(hits)).withColumn("slice", F.col("_s.name")).drop("_s")
+    inside = F.lit(False)
+    for a, b in ranges.values():
+        inside = inside | ((F.col(date) >= F.lit(a).cast("date")) & (F.col(date) < F.lit(b).cast("date")))
+    sliced = daily.where(inside).withColumn("_s", F.explode(hits)).withColumn("slice", F.col("_s.name")).drop("_s")
     return join_calendar(sliced, calendar, date)

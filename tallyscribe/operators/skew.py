@@ -18,7 +18,6 @@ from tallyscribe.functions.hashing import SPAN
 
 HASH_BUCKETS = 4096
 HOT_PARTS = 1024
-DIMENSION_ROWS = 100_000
 
 
 def rank_by_hash(
@@ -54,15 +53,6 @@ def rank_by_hash(
     )
 
 
-def join_dimension(facts: DataFrame, dim: DataFrame, on, how: str = "left", max_rows: int = DIMENSION_ROWS) -> DataFrame:
-    """Join a dimension. It is broadcast only if it was counted to have at most ``max_rows`` rows.
-
-    A larger one is joined by a shuffle, in which AQE splits the partitions of hot keys.
-    """
-    small = dim.limit(max_rows + 1).count() <= max_rows
-    return facts.join(F.broadcast(dim) if small else dim, on, how)
-
-
 def join_term_stats(
     facts: DataFrame,
     stats: DataFrame,
@@ -70,14 +60,16 @@ def join_term_stats(
     weight: str,
     spread: Sequence[str],
     how: str = "inner",
-    hot_parts: int = HOT_PARTS,
+    hot_parts: int | None = None,
 ) -> DataFrame:
     """Equi-join ``facts`` to ``stats`` (one row per ``key``) without hot partitions.
 
     ``weight`` is the column of ``stats`` that counts the facts of a key; ``spread`` is the
     list of fact columns that scatter a hot key over its salts. ``weight`` may undercount: the split
-    is then coarser and the result the same.
+    is then coarser and the result the same. ``hot_parts`` is at least the session's number of shuffle partitions.
     """
+    if hot_parts is None:
+        hot_parts = max(HOT_PARTS, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = stats.agg(F.sum(weight)).scalar()
     part = F.ceil(F.col(weight) * F.lit(hot_parts) / total).cast("int")
     salted = stats.withColumn("_salts", F.greatest(part, F.lit(1)))

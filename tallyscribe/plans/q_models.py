@@ -269,10 +269,14 @@ PRED_TARGETS = ("flag", "scale", "scale_m")
 
 def _preds(x: Inputs):
     d = x.docs().where(F.col("toxic").isNull())
-    flag = d.select("doc_id", F.lit("flag").alias("target"), F.when(F.col("doc_id") % 5 == 0, 1.0).otherwise(0.0).alias("pred"))
-    scale = d.select("doc_id", F.lit("scale").alias("target"), (1 + F.col("doc_id") % 3).cast("double").alias("pred"))
-    m = d.where(F.col("true_lang") == "en").select("doc_id", F.lit("scale_m").alias("target"), (F.length("text") / 1000.0).alias("pred"))
-    return flag.unionByName(scale).unionByName(m)
+    rules = {
+        "flag": F.when(F.col("doc_id") % 5 == 0, 1.0).otherwise(0.0),
+        "scale": (1 + F.col("doc_id") % 3).cast("double"),
+        "scale_m": F.when(F.col("true_lang") == "en", F.length("text") / 1000.0),
+    }
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("target"), v.alias("pred")) for k, v in rules.items()])).alias("p")
+    one = d.select("doc_id", rows).select("doc_id", "p.target", "p.pred")
+    return one.where((F.col("target") != "scale_m") | F.col("pred").isNotNull())
 
 
 @query(

@@ -168,8 +168,9 @@ def _(x):
 @query(
     "t14_dfm_match",
     "content",
-    """SELECT doc_id, term, n FROM content WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-       AND term IN (SELECT term FROM content WHERE doc_id IN (SELECT doc_id FROM labels))""",
+    """SELECT doc_id, term, n FROM (
+         SELECT c.doc_id, c.term, c.n, l.doc_id IS NOT NULL AS labelled, max(CASE WHEN l.doc_id IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY c.term) AS known
+         FROM content c LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = c.doc_id) t WHERE NOT labelled AND known = 1""",
 )
 def _(x):
     c, labels = cut_lineage(content(x), "counts"), x.table("labels")
@@ -236,9 +237,16 @@ def _(x):
     return _profiles(x)
 
 
-@query("t16_identify_language", "detected", "SELECT doc_id, detected_lang, distance FROM detected")
+@query(
+    "t16_identify_language",
+    "docs detected",
+    """SELECT doc_id, CASE WHEN doc_id % 50 <> 0 THEN detected_lang END AS detected_lang, CASE WHEN doc_id % 50 <> 0 THEN distance END AS distance
+       FROM docs LEFT JOIN detected USING (doc_id)""",
+)
 def _(x):
-    return detected(x)
+    # Every fiftieth document has no letter: it stays, without a language.
+    letters = F.when(F.col("doc_id") % 50 == 0, F.lit("12 34 !")).otherwise(F.col("text"))
+    return language.identify_language(x.docs().withColumn("text", letters), _profiles(x), LANGUAGES)
 
 
 @query(
@@ -250,7 +258,7 @@ def _(x):
     from tallyscribe.operators.prep import filter_language
 
     d = x.docs()
-    # Only untagged posts need the identifier; the others pass or fail on their tag.
+    # Posts tagged with another language fail on their tag; the rest get a detected language beside theirs.
     found = language.identify_language(d.where(F.col("lang").isNull() | F.col("lang").isin("en", "und")), _profiles(x), LANGUAGES)
     return filter_language(d.select("doc_id", "lang").join(found, "doc_id", "left")).select("doc_id", "lang", "detected_lang")
 

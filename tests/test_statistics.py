@@ -228,3 +228,57 @@ def test_lead_lag_over_a_gap(spark):
     assert rows[0].next_n == 6 and rows[1].prev_n == 5
     rows = series.with_lead_lag(daily, "n", calendar=True).orderBy("date").collect()
     assert rows[0].next_n is None and rows[1].prev_n is None
+
+
+def test_least_squares_keeps_digits_and_rank(spark):
+    """Shifted columns give the same slopes; unused levels and multiples get no coefficient and cost no degree of freedom."""
+    import numpy as np
+
+    from tallyscribe.operators import regression
+
+    rng = np.random.default_rng(8)
+    x, e = rng.normal(0, 1, 30), rng.normal(0, 1, 30)
+    rows = [(float(a), float(a + 1.7e9), float(2 * a), float(1 + 0.5 * a + b), "u" if k % 2 else "v", k % 5) for k, (a, b) in enumerate(zip(x, e))]
+    df = spark.createDataFrame(rows, "x double, far double, twice double, y double, f string, g int")
+    plain, far = (regression.ols(df, "y", [c], cov="HC1") for c in ("x", "far"))
+    assert np.allclose(plain.coef[1], far.coef[1], rtol=1e-5) and np.allclose(plain.cov[1, 1], far.cov[1, 1], rtol=1e-5)
+    design = np.column_stack([np.ones(30), x])
+    beta = np.linalg.lstsq(design, np.array([r[3] for r in rows]), rcond=None)[0]
+    assert np.allclose(plain.coef, beta)
+    double = regression.ols(df, "y", ["x", "twice"], {"f": ("u", ["v", "never"])})
+    single = regression.ols(df, "y", ["x"], {"f": ("u", ["v"])})
+    assert double.df_resid == single.df_resid == 27 and np.isnan(double.coef[[2, 4]]).all()
+    assert np.allclose(double.coef[[0, 1, 3]], single.coef) and np.allclose(double.cov[1, 1], single.cov[1, 1])
+    assert double.table(spark).where("estimate IS NULL AND std_error IS NULL").count() == 2
+    tiny = regression.ols(df.limit(2), "y", ["x"])
+    assert tiny.table(spark).where("std_error IS NOT NULL").count() == 0
+    panel, moved = (regression.panel_within(df, "y", [c], "g", cluster="g") for c in ("x", "far"))
+    assert np.allclose(panel.coef, moved.coef, rtol=1e-5) and np.allclose(panel.cov, moved.cov, rtol=1e-4)
+
+
+def test_naive_bayes_leaves_out_classes_that_never_occur(spark):
+    from tallyscribe.operators import bayes
+
+    counts = spark.createDataFrame([(1, "a", 90), (1, "b", 10), (2, "b", 95), (2, "a", 5), (3, "a", 3), (4, "b", 3)], "doc_id long, term string, n long")
+    labels = spark.createDataFrame([(1, 1), (2, 2)], "doc_id long, y int")
+    model = bayes.nb_fit(counts, labels, [1, 2, 3, 4, 5])
+    got = bayes.nb_predict(model, counts, spark.createDataFrame([(3,), (4,)], "doc_id long"))
+    assert {r.doc_id: r.yhat for r in got.collect()} == {3: 1, 4: 2}
+
+
+def test_draws_on_text_ids_and_pairs(spark):
+    """Text ids work like numbers; folds of copies do not depend on partitions; copies leave one task."""
+    from tallyscribe.operators import sampling
+
+    df = spark.createDataFrame([(f"p{k}", k % 2 if k else 7, "s") for k in range(200)], "doc_id string, y int, s string")
+    assert sampling.stratified_sample(df, ["s"], 0.3, "doc_id").count() == 60
+    train, test = sampling.train_test_split(df, "doc_id")
+    assert train.count() + test.count() == 200 and 130 < train.count() < 190
+    up = sampling.upsample(df, "y", "doc_id")
+    assert {r["count"] for r in up.groupBy("y").count().collect()} == {100}
+    pairs = spark.range(400).selectExpr("id % 100 * 7919 AS doc_id", "cast(id DIV 100 AS int) AS copy_no", "cast(id % 2 AS int) AS y")
+    folds = [sorted(map(tuple, sampling.assign_folds(pairs.repartition(n), "y", ["doc_id", "copy_no"], 5).collect())) for n in (1, 5, 8)]
+    assert folds[0] == folds[1] == folds[2]
+    big = spark.range(50_001).selectExpr("id AS doc_id", "cast(id = 0 AS int) AS y")
+    parts = sampling.upsample(big, "y", "doc_id").where("y = 1").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 50_000 and len(parts) > 1
