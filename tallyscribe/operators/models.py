@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -25,7 +25,7 @@ from tallyscribe.operators.prep import where_label_valid
 from tallyscribe.operators.sampling import assign_folds, is_train, upsample
 from tallyscribe.operators.skew import join_term_stats, rank_by_hash
 from tallyscribe.operators.tokens import dfm_docs, dfm_match, vocabulary
-from tallyscribe.sources.storage import cut_lineage, new_path
+from tallyscribe.sources.storage import cut_lineage, load_stage, new_path, save_stage
 
 COSTS = (0.1, 1.0, 10.0, 100.0)
 BINARY, ORDINAL, NUMERIC = "binary", "ordinal", "numeric"
@@ -141,6 +141,8 @@ def target_vectors(target: Target, kind: str = BINARY, folds: int | None = None,
     train = target.train
     if folds and leak_safe:
         train = assign_folds(train, "y", "doc_id", folds, group_key="doc_id")
+    elif folds and kind == NUMERIC:  # values of a scale are no classes to be even in
+        train = assign_folds(train.withColumn("_all", F.lit(0)), "_all", [c for c in ("doc_id", "copy_no") if c in train.columns], folds)
     elif folds:
         train = assign_folds(train, "y", ["doc_id", "copy_no"], folds)
     refit = target.test.withColumn("copy_no", F.lit(0)) if kind == NUMERIC else upsample(target.test, "y", "doc_id")
@@ -171,17 +173,17 @@ def svm_fit(train: DataFrame, costs: Sequence[float] = COSTS, folds: int = 10, m
     if len(costs) == 1:
         return LinearSVC(maxIter=max_iter, regParam=_reg_param(costs[0], n)).fit(train), costs[0]
     svm = LinearSVC(maxIter=max_iter)
-    by_reg = {_reg_param(c, n): c for c in costs}
+    return _tuned(svm, svm.regParam, train, costs, n, MulticlassClassificationEvaluator(metricName="accuracy"), folds, parallelism)
+
+
+def _tuned(estimator, param, train: DataFrame, costs: Sequence[float], n: int, evaluator, folds: int, parallelism: int):
+    """(model, cost) of the best cost over the given folds."""
+    grid = ParamGridBuilder().addGrid(param, [_reg_param(c, n) for c in costs]).build()
     search = CrossValidator(
-        estimator=svm,
-        estimatorParamMaps=ParamGridBuilder().addGrid(svm.regParam, list(by_reg)).build(),
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-    best = search.fit(train).bestModel
-    return best, by_reg[best.getRegParam()]
+        estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism
+    ).fit(train)
+    pick = np.argmax if evaluator.isLargerBetter() else np.argmin
+    return search.bestModel, costs[int(pick(search.avgMetrics))]
 
 
 class OrdinalModel:
@@ -198,17 +200,39 @@ class OrdinalModel:
 
 def svm_multiclass(train: DataFrame, cost: float = 1.0, max_iter: int = 100, parallelism: int = 4) -> OrdinalModel:
     """One linear SVM per class against the rest."""
+    return tuned_multiclass(train, (cost,), 1, max_iter, parallelism)[0]
+
+
+def tuned_multiclass(
+    train: DataFrame, costs: Sequence[float] = COSTS, folds: int = 10, max_iter: int = 100, parallelism: int = 4
+) -> tuple[OrdinalModel, float]:
+    """The same with the cost, one for all classes, chosen by cross-validation. Returns (model, cost)."""
     sizes = train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()
     classes = [row["label"] for row in sizes]
     code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
-    base = LinearSVC(maxIter=max_iter, regParam=_reg_param(cost, sum(row["n"] for row in sizes)))
+    n = sum(row["n"] for row in sizes)
+    base = LinearSVC(maxIter=max_iter, regParam=_reg_param(costs[0], n))
+    one_vs_rest = OneVsRest(classifier=base, parallelism=parallelism)
     coded = train.withColumn("label", code.cast("double"))
-    return OrdinalModel(OneVsRest(classifier=base, parallelism=parallelism).fit(coded), classes)
+    if len(costs) == 1:
+        return OrdinalModel(one_vs_rest.fit(coded), classes), costs[0]
+    accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
+    model, cost = _tuned(one_vs_rest, base.regParam, coded, costs, n, accuracy, folds, parallelism)
+    return OrdinalModel(model, classes), cost
 
 
 def scale_regression(train: DataFrame, cost: float = 1.0, max_iter: int = 100):
     """Robust linear regression (Huber loss) for the numeric scale."""
-    return LinearRegression(loss="huber", maxIter=max_iter, regParam=_reg_param(cost, train.count())).fit(train)
+    return tuned_regression(train, (cost,), 1, max_iter)[0]
+
+
+def tuned_regression(train: DataFrame, costs: Sequence[float] = COSTS, folds: int = 10, max_iter: int = 100, parallelism: int = 4):
+    """The same with the cost chosen by cross-validated error. Returns (model, cost)."""
+    n = train.count()
+    line = LinearRegression(loss="huber", maxIter=max_iter, regParam=_reg_param(costs[0], n))
+    if len(costs) == 1:
+        return line.fit(train), costs[0]
+    return _tuned(line, line.regParam, train, costs, n, RegressionEvaluator(metricName="rmse"), folds, parallelism)
 
 
 def rf_fit(train: DataFrame, kind: str, num_trees: int = 500, max_depth: int = 30, seed: int = 124):
@@ -240,9 +264,9 @@ def _predict(model, vectors: DataFrame) -> DataFrame:
 def fit_kind(train: DataFrame, kind: str, costs: Sequence[float], folds: int, max_iter: int):
     """The SVM-family model of a target kind. Returns (model, cost); ``train`` carries ``fold`` if costs compete."""
     if kind == NUMERIC:
-        return scale_regression(train, max_iter=max_iter), 1.0
+        return tuned_regression(train, costs, folds, max_iter)
     if kind == ORDINAL:
-        return svm_multiclass(train, max_iter=max_iter), 1.0
+        return tuned_multiclass(train, costs, folds, max_iter)
     return svm_fit(train, costs, folds, max_iter)
 
 
@@ -295,7 +319,7 @@ def fit_target(
     leak_safe: bool = False,
 ) -> Fitted:
     """Tune on the training part, score on the test part, refit on both."""
-    tuned = kind == BINARY and len(costs) > 1
+    tuned = len(costs) > 1
     vectors = target_vectors(prepare_target(counts, labels, target, kind), kind, folds if tuned else None, leak_safe)
     model, cost = fit_kind(vectors.train, kind, costs, folds, max_iter)
     metrics = cut_lineage(score(_predict(model, vectors.test), kind, target), "metrics")
@@ -362,13 +386,15 @@ def predict_all(
 ) -> tuple[DataFrame, DataFrame]:
     """Every ``{target: kind}``: (predictions, metrics).
 
-    Models are fitted from driver threads on the labelled documents; then all targets are predicted in
-    one pass over the documents that lack a label. A document keeps NULL where it has a label.
+    Models are fitted from driver threads on the features of documents with any label, which are picked out
+    once; then all targets are predicted in one pass over the documents that lack a label. A document keeps NULL where it
+    has a label.
     """
-    fitted = run_targets(list(targets.items()), lambda t: fit_target(counts, labels, t[0], t[1], **how), parallelism)
-    missing = F.lit(False)
+    missing, labelled = F.lit(False), F.lit(False)
     for t in targets:
-        missing = missing | F.col(t).isNull()
+        missing, labelled = missing | F.col(t).isNull(), labelled | F.col(t).isNotNull()
+    some = cut_lineage(dfm_docs(counts, labels.where(labelled)), "labelled-features")
+    fitted = run_targets(list(targets.items()), lambda t: fit_target(some, labels, t[0], t[1], **how), parallelism)
     known = labels.select("doc_id", *[F.col(t).alias(f"_{t}") for t in targets])
     preds = predict_targets(fitted, counts, labels.where(missing)).join(known, "doc_id")
     metrics = fitted[0].metrics
@@ -394,14 +420,18 @@ def run_grid(
     Naive Bayes has no numeric target. Variants are written once; the vectors of a (variant, target)
     are shared by the algorithms that need them.
     """
-    stored = cut_lineage(variants, "variants")
+    labelled = F.lit(False)
+    for t in targets:
+        labelled = labelled | F.col(t).isNotNull()
+    spark = variants.sparkSession
+    stored = load_stage(spark, save_stage(dfm_docs(variants, labels.where(labelled)), new_path(spark, "variants"), "variant"))
 
     def one(cell: tuple[str, str, str]) -> list[DataFrame]:
         name, target, kind = cell
         counts = stored.where(F.col("variant") == name).select("doc_id", "term", F.col("weight").alias("n"))
         ready = prepare_target(counts, labels, target, kind)
         out = []
-        tuned = kind == BINARY and len(costs) > 1
+        tuned = len(costs) > 1
         vectors = target_vectors(ready, kind, folds if tuned else None) if {"svm", "rf"} & set(algorithms) else None
         for algorithm in algorithms:
             if algorithm == "nb":

@@ -204,7 +204,7 @@ def _(x):
     return rounded(metrics.binary_slots(scores, 1), ["value"])
 
 
-FOLDS = 5
+FOLDS = 10
 register(
     "folds",
     f"SELECT doc_id, y, (row_number() OVER (PARTITION BY y ORDER BY {h('doc_id', hashing.FOLD)}, doc_id) - 1) % {FOLDS} AS fold FROM labelled",
