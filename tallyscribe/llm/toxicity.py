@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscribe.llm.frames import pick, slices, utf8
-from tallyscribe.llm.words import Words, mix, powers
+from tallyscribe.llm.words import SLICE, Words, mix, powers
 
 #: The classifier is fitted on at most so many labelled rows of each label, those with the smallest hash of their id.
 EXAMPLES = 6_000
@@ -64,7 +64,7 @@ def _per_text(part: pa.RecordBatch, vocabulary: np.ndarray | None = None):
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
+    for part in slices(batches, size=SLICE):
         doc, code, _ = _per_text(part)
         toxic = part.column("toxic").to_numpy()[doc]
         code, back = np.unique(code, return_inverse=True)
@@ -75,7 +75,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vectors(vocabulary: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, size=SLICE):
             doc, at, n = _per_text(part, vocabulary)
             bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
             lists = [[x[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for x in (at, n)]
@@ -235,7 +235,7 @@ class _Scorer:
 def _apply(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(index)
-        for part in slices(batches):
+        for part in slices(batches, size=SLICE):
             found = scorer(part.column("text"))
             near = pa.array([x[1] for x in found], pa.list_(part.schema.field("doc_id").type))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[0] for x in found], pa.float64()), near], ["doc_id", "score", "evidence"])
@@ -260,7 +260,7 @@ def clean(docs: DataFrame, index: Index, text_col: str = "text", threshold: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(index)
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, SLICE):
             yield part.filter(pa.array([x[0] < threshold for x in scorer(part.column(text_col))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Bytes of text to take apart at a time: the arrays below need about 50 bytes for each.
+SLICE = 1 << 20
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D  # odd, so its powers lose no bits
 _IS_WORD = np.ones(256, bool)
