@@ -22,8 +22,12 @@ def _fingerprint() -> list:
 
 
 def _numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The distinct values of ``keys`` in sorted order with an integer name, stored so that a retry can't renumber them."""
-    named = rows.select(*keys).distinct().orderBy(*keys).withColumn("name", F.monotonically_increasing_id())
+    """The distinct values of ``keys``, sorted within each part of a split by hash, with an integer name.
+
+    Equal values meet in one part, so part and place in it are a name that no other value has; no range has to be sampled
+    on the driver for that. The names are stored so that a retry can't renumber them.
+    """
+    named = rows.select(*keys).distinct().sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
     return cut_lineage(named, name)
 
 
