@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscribe.llm.frames import pick, slices, utf8
-from tallyscribe.llm.words import Words, mix
+from tallyscribe.llm.words import SLICE, Words, mix
 from tallyscribe.sources.storage import cut_lineage
 
 #: Classes: the end, single words, and groups by last letters. Their product of three bounds what training gathers.
@@ -47,7 +47,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.bincount(back, n, len(code)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(code), pa.array(group[at]), pa.array(total)], ["code", "group", "n"])
 
-    for part in slices(batches):
+    for part in slices(batches, size=SLICE):
         code, group, _ = _tokens(part)
         code, at, n = np.unique(np.append(code, END), return_index=True, return_counts=True)
         n[code == END] += part.num_rows - 1  # one end per text
@@ -93,7 +93,7 @@ def _line(classes: Classes, part: pa.RecordBatch):
 def _triples(classes: Classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
-        for part in slices(batches):
+        for part in slices(batches, size=SLICE):
             kind, one, two, _, _ = _line(classes, part)
             total += np.bincount((two * CLASSES + one) * CLASSES + kind, minlength=CLASSES**3)
         cell = np.flatnonzero(total)
@@ -196,7 +196,7 @@ def _score(model: Model):
         table = log_table(model.params)
         in_class = np.log10(model.frequent_n + 1.0)
         end_share = model.share[0]  # the end is a class of its own, of weight count + 1
-        for part in slices(batches):
+        for part in slices(batches, size=SLICE):
             kind, one, two, text, (code, bounds, n) = _line(model.classes, part)
             per_class = np.bincount(text, table[two, one, kind].astype(np.float64) - model.share[kind], part.num_rows)
             known = np.full(part.num_rows, int(model.tokens > 0), np.int64)  # the end
