@@ -15,7 +15,7 @@ from functools import lru_cache
 from tokenizers import Tokenizer
 
 #: Pieces and pre-tokens a worker remembers (up to about 200 bytes each); the older half goes when they are this many.
-KNOWN_PIECES, KNOWN_WORDS = 600_000, 1_000_000
+KNOWN_PIECES, KNOWN_WORDS = 800_000, 1_400_000
 
 _SPACE = "\\t-\\r \\x85\\xa0"
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -74,7 +74,7 @@ class Encoder:
         self.map = str.maketrans(dict(enumerate(byte_chars())))
         self.words = Recent(self._word, KNOWN_WORDS)
         self.kind = self._kind(layout)
-        self.pieces = Recent({"word": self._word_piece, "byte": self._byte_piece}.get(self.kind, self._whole), KNOWN_PIECES)
+        self.pieces = Recent({"word": self._word_piece, "byte": self._later_piece}.get(self.kind, self._whole), KNOWN_PIECES)
 
     def _kind(self, layout: dict) -> str:
         pre, norm = layout.get("pre_tokenizer") or {}, layout.get("normalizer") or {}
@@ -90,6 +90,8 @@ class Encoder:
         return "other"
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():  # these letters stand for themselves
+            return array("I", self.word_ids(word)).tobytes()
         mapped = word.encode().decode("latin-1").translate(self.map)
         return array("I", self.word_ids(mapped)).tobytes()
 
@@ -110,6 +112,11 @@ class Encoder:
             return self.words[piece]
         return b"".join(map(self.words.__getitem__, _WORDS.findall(piece)))
 
+    def _later_piece(self, piece: str) -> bytes:
+        """A piece that follows a space; a single word is a pre-token with it."""
+        spaced = " " + piece
+        return self._word(spaced) if piece.isalpha() and max(piece) < "Ā" else self._byte_piece(spaced)
+
     def _byte_piece(self, piece: str) -> bytes:
         if not piece:
             return b""
@@ -126,7 +133,7 @@ class Encoder:
             return self._whole(text)
         # A space between two visible characters begins a pre-token; any other white space stays inside its piece.
         parts = _INNER_SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
-        return self.pieces[parts[0]] + b"".join(map(self.pieces.__getitem__, [" " + p for p in parts[1:]]))
+        return self._byte_piece(parts[0]) + b"".join(map(self.pieces.__getitem__, parts[1:]))
 
 
 SEPARATORS = re.compile("[\x1c-\x1f]")
