@@ -5,7 +5,8 @@ signature from one hash: the hash range is cut into bins, the smallest number of
 takes the value of the first full one in an order of its own (optimal densification). Bands of a few bins make buckets.
 Inside a bucket every class is compared with one centre, not with every other; each band has another centre. Compared
 pairs are confirmed on the full sets, and confirmed links give the components. Where a bucket still holds more than one
-component, the rounds of ``_open_pairs`` compare across them.
+component, further turns compare across them: first in the same buckets, then in finer ones made of two, three and more
+bands together, in which texts that are almost similar enough seldom meet, so that a star is left with the true links.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from tallyscribe.sources.storage import cut_lineage
 
 BANDS, ROWS = 32, 4
 SHINGLE = 5
-TURNS = 1
+TURNS = 5
 SIMILARITY = 80  # per cent
 
+#: Steps between the bands that make one finer bucket; the differences of any two are all different.
+STEPS = (0, 1, 4, 9, 15, 22, 32, 34)
+
 #: Rows that one copy of a centre's set serves in a join; a busier centre has several copies.
 FAN = 256
 
@@ -120,17 +124,43 @@ def _star(members: DataFrame, similarity: int) -> DataFrame:
     return members.join(centre, "bucket").where(fits).select("a", F.col("node").alias("b")).distinct()
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, similarity: int, turn: int) -> DataFrame:
-    """The same for buckets that hold several components: the centre is of a smallest one, the others of other ones."""
-    tagged = members.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+def _finer(nodes: DataFrame, width: int, bands: int) -> DataFrame:
+    """Buckets of ``width`` bands together for nodes with their ``bands``: again one per band."""
+    def joint(i):
+        picked = [F.element_at("bands", F.pmod(i + F.lit(STEPS[k % len(STEPS)]), F.lit(bands)) + 1) for k in range(width)]
+        return F.xxhash64(*picked, i, F.lit(width))
+
+    return nodes.select("node", "n_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), joint)).alias("bucket"))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their component."""
+    tagged = members.join(labels, "node", "left").select("node", "n_shingles", "bucket", F.coalesce("component", "node").alias("comp"))
+    several = tagged.groupBy("bucket").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other")
+    return tagged.join(several.select("bucket"), "bucket", "left_semi")
+
+
+def _open_pairs(tagged: DataFrame, similarity: int, turn: int) -> DataFrame:
+    """A star for each open bucket: the centre is of a smallest component, the others are of other ones."""
     one = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node", "n_shingles")).alias("c")
     parts = tagged.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"), one)
     first = F.min(F.struct("size", F.col("c.h").alias("h"), F.col("c.node").alias("a"), F.col("c.n_shingles").alias("na"), "comp")).alias("c")
-    centre = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), first).where("comps > 1").select("bucket", "c.a", "c.na", F.col("c.comp").alias("own"))
+    centre = parts.groupBy("bucket").agg(first).select("bucket", "c.a", "c.na", F.col("c.comp").alias("own"))
     fits = (F.least("na", "n_shingles") * 100 >= F.greatest("na", "n_shingles") * similarity) & (F.col("comp") != F.col("own"))
     return tagged.join(centre, "bucket").where(fits).select("a", F.col("node").alias("b")).distinct()
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links`` between nodes of different components: only the components are linked anew."""
+    ends = links
+    for end in ("a", "b"):
+        mine = labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        ends = ends.join(mine, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    moved = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(moved)
+
+
 def near_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -145,7 +175,7 @@ def near_dedup(
 
     Texts with Jaccard similarity of at least ``similarity`` per cent are linked; ``component_id`` is the smallest id
     reachable, and the row that has it as its id is ``kept``. A pair at the threshold shares no bucket once in 20 million.
-    Further ``turns`` over buckets with several components end early when one finds no link. Texts without a word (null, empty, blank) have no shingles
+    ``turns`` is how often buckets with several components get another star, the n-th time in buckets of n bands. Texts without a word (null, empty, blank) have no shingles
     and stay alone. Rows of one id and one text are the same node and share its fate; a null id is smaller than all
     others. An empty table gives no rows.
     """
@@ -179,11 +209,20 @@ def near_dedup(
     pairs = cut_lineage(_star(members, similarity), "op1-pairs")
     labels = components(_confirmed(pairs, sets, similarity))
     for turn in range(turns):
-        pairs = cut_lineage(_open_pairs(members, labels, similarity, turn), "op1-pairs")
+        if turn:
+            members = _finer(banded, turn + 1, bands)
+        tagged = cut_lineage(_open(members, labels), "op1-open")
+        if tagged.isEmpty():  # nodes of a finer bucket share plain ones too
+            if not turn:
+                break
+            continue
+        if not turn:  # finer buckets of other nodes hold nothing new
+            banded = classes.join(tagged.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "bands")
+            banded = cut_lineage(banded, "op1-banded")
+        pairs = cut_lineage(_open_pairs(tagged, similarity, turn), "op1-pairs")
         links = cut_lineage(_confirmed(pairs, sets, similarity), "op1-links")
-        if links.isEmpty():
-            break
-        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        if not links.isEmpty():
+            labels = cut_lineage(_merged(labels, links), "op1-labels")
     classes = classes.select("code", "code2", "n_shingles", "node").join(labels, "node", "left")
     found = classes.select("code", "code2", "n_shingles", F.coalesce("component", "node")["doc_id"].alias("component_id"), F.lit(True).alias("_in"))
     out = sketch.select("doc_id", "n_shingles", "code", "code2").join(found, ["code", "code2", "n_shingles"], "left")

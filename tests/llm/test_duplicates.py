@@ -183,3 +183,21 @@ def test_long_texts_are_ranked_in_blocks_alike(monkeypatch):
     monkeypatch.setattr(suffix, "BLOCK", 700)
     first, last, _, _ = suffix.runs(raw, 200)
     assert np.array_equal(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]), np.arange(len(raw) - 199))
+
+
+def test_near_dedup_turns_find_links_between_almost_similar_texts(spark):
+    """Many variants of one text, most of them not similar enough: further turns find links that one star leaves."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(200)]
+    docs = []
+    for i in range(240):
+        words = list(base)
+        for k in rng.choice(200, 15, replace=False):
+            words[k] = f"v{i}x{k}"
+        docs.append((2 * i, " ".join(words)))
+        if i % 3 == 0:  # a true partner
+            words[rng.integers(200)] = "partner"
+            docs.append((2 * i + 1, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = brute_near(docs)
+    assert rows_of(minhash.near_dedup(df, shingle=2)) == want
