@@ -25,7 +25,7 @@ from tallyscribe.sources.storage import cut_lineage
 
 BANDS, ROWS = 32, 4
 SHINGLE = 5
-TURNS = 5
+TURNS = 4
 SIMILARITY = 80  # per cent
 
 #: Steps between the bands that make one finer bucket; the differences of any two are all different.
