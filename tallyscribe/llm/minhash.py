@@ -4,9 +4,9 @@ A text is the set of its distinct shingles. Texts with equal sets are one class
 signature from one hash: the hash range is cut into bins, the smallest number of a bin is its value, and an empty bin
 takes the value of the first full one in an order of its own (optimal densification). Bands of a few bins make buckets.
 Inside a bucket every class is compared with one centre, not with every other; each band has another centre. Compared
-pairs are confirmed on the full sets, and confirmed links give the components. Where a bucket still holds more than one
-component, further turns compare across them: first in the same buckets, then in finer ones made of two, three and more
-bands together, in which texts that are almost similar enough seldom meet, so that a star is left with the true links.
+pairs are confirmed on the full sets, and confirmed links give the components. The nodes of buckets that still hold more
+than one component then go through an exact prefix-filter join, which leaves out pairs of one component only: no link
+between two texts that share a bucket is lost.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from tallyscribe.sources.storage import cut_lineage
 
 BANDS, ROWS = 32, 4
 SHINGLE = 5
-TURNS = 4
 SIMILARITY = 80  # per cent
 
-#: Steps between the bands that make one finer bucket; the differences of any two are all different.
-STEPS = (0, 1, 4, 9, 15, 22, 32, 34)
+#: Counters by which shingles are ordered, rare ones first; shingles that share one only cost more comparisons.
+COUNTERS = 1 << 20
+
+#: Parts of one shingle's rows where they are told how many there are.
+SALTS = 16
 
 #: Rows that one copy of a centre's set serves in a join; a busier centre has several copies.
 FAN = 256
@@ -124,15 +126,6 @@ def _star(members: DataFrame, similarity: int) -> DataFrame:
     return members.join(centre, "bucket").where(fits).select("a", F.col("node").alias("b")).distinct()
 
 
-def _finer(nodes: DataFrame, width: int, bands: int) -> DataFrame:
-    """Buckets of ``width`` bands together for nodes with their ``bands``: again one per band."""
-    def joint(i):
-        picked = [F.element_at("bands", F.pmod(i + F.lit(STEPS[k % len(STEPS)]), F.lit(bands)) + 1) for k in range(width)]
-        return F.xxhash64(*picked, i, F.lit(width))
-
-    return nodes.select("node", "n_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), joint)).alias("bucket"))
-
-
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, with their component."""
     tagged = members.join(labels, "node", "left").select("node", "n_shingles", "bucket", F.coalesce("component", "node").alias("comp"))
@@ -140,14 +133,60 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return tagged.join(several.select("bucket"), "bucket", "left_semi")
 
 
-def _open_pairs(tagged: DataFrame, similarity: int, turn: int) -> DataFrame:
-    """A star for each open bucket: the centre is of a smallest component, the others are of other ones."""
-    one = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node", "n_shingles")).alias("c")
-    parts = tagged.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"), one)
-    first = F.min(F.struct("size", F.col("c.h").alias("h"), F.col("c.node").alias("a"), F.col("c.n_shingles").alias("na"), "comp")).alias("c")
-    centre = parts.groupBy("bucket").agg(first).select("bucket", "c.a", "c.na", F.col("c.comp").alias("own"))
-    fits = (F.least("na", "n_shingles") * 100 >= F.greatest("na", "n_shingles") * similarity) & (F.col("comp") != F.col("own"))
-    return tagged.join(centre, "bucket").where(fits).select("a", F.col("node").alias("b")).distinct()
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int64)
+    for part in batches:
+        total += np.bincount(part.column("members").flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    for a in range(0, len(at), 100_000):
+        some = at[a : a + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["counter", "n"])
+
+
+def _prefixes(counts: np.ndarray, similarity: int):
+    """The rarest shingles of each set, so many that two sets with a link share one of them; rarest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            members = part.column("members")
+            flat, n = members.flatten().to_numpy(), np.diff(members.offsets.to_numpy())
+            first = []
+            for to, size in zip(np.cumsum(n), n, strict=True):
+                own = flat[to - size : to]
+                first.append(own[np.lexsort((own, counts[own & (COUNTERS - 1)]))[: size + (-size * similarity) // 100 + 1]])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("node"), part.column("comp"), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["node", "comp", "n", "first"]
+            )
+
+    return run
+
+
+def _rest_pairs(open_sets: DataFrame, similarity: int) -> DataFrame:
+    """Every pair ``(a, b)`` of different components of ``open_sets (node, comp, members)`` that can have a link.
+
+    Sets with a link share one of their prefixes, and the first shared shingle leaves enough of both behind it. The order
+    is by how often a shingle's counter was hit: rare ones are first, and it is the same everywhere. Members of a hot
+    shingle are dealt to blocks of about ``FAN``, and every two blocks meet.
+    """
+    rows = open_sets.select("members").mapInArrow(_bucket_counts, "counter bigint, n bigint")
+    hits = rows.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[hits.column("counter").to_numpy()] = hits.column("n").to_numpy()
+    kinds = {f.name: f.dataType.simpleString() for f in open_sets.schema}
+    first = open_sets.mapInArrow(_prefixes(counts, similarity), f"node {kinds['node']}, comp {kinds['comp']}, n int, first array<bigint>")
+    first = cut_lineage(first.select("node", "comp", "n", F.posexplode("first").alias("place", "shingle")), "op1-prefixes")
+    met = first.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other")
+    met = met.select("shingle", F.ceil(F.col("m") / F.lit(FAN)).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = first.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(met, ["shingle", "salt"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = cut_lineage(dealt.select("shingle", "node", "comp", "n", "place", "block", "blocks"), "op1-dealt")
+    low = dealt.select("shingle", *(F.col(c).alias(f"{c}1") for c in ("node", "comp", "n", "place")), F.col("block").alias("lo"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("hi"))
+    high = dealt.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("node", "comp", "n", "place")), F.explode(F.sequence(F.lit(0), "block")).alias("lo"), F.col("block").alias("hi"))
+    enough = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) * (100 + similarity) >= (F.col("n1") + F.col("n2")) * similarity
+    keys = [low[c] == high[c] for c in ("shingle", "lo", "hi")]
+    once = (low["lo"] < low["hi"]) | (F.col("node1") < F.col("node2"))
+    both = low.join(high, [*keys, F.col("comp1") != F.col("comp2"), once, enough])
+    return both.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -169,15 +208,13 @@ def near_dedup(
     similarity: int = SIMILARITY,
     bands: int = BANDS,
     rows_of: int = ROWS,
-    turns: int = TURNS,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Texts with Jaccard similarity of at least ``similarity`` per cent are linked; ``component_id`` is the smallest id
     reachable, and the row that has it as its id is ``kept``. A pair at the threshold shares no bucket once in 20 million.
-    ``turns`` is how often buckets with several components get another star, the n-th time in buckets of n bands. Texts without a word (null, empty, blank) have no shingles
-    and stay alone. Rows of one id and one text are the same node and share its fate; a null id is smaller than all
-    others. An empty table gives no rows.
+    Texts without a word (null, empty, blank) have no shingles and stay alone. Rows of one id and one text are the same node and share its fate; a null id is smaller
+    than all others. An empty table gives no rows.
     """
     rows = pick(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -208,21 +245,12 @@ def near_dedup(
     sets = cut_lineage(sets, "op1-sets")
     pairs = cut_lineage(_star(members, similarity), "op1-pairs")
     labels = components(_confirmed(pairs, sets, similarity))
-    for turn in range(turns):
-        if turn:
-            members = _finer(banded, turn + 1, bands)
-        tagged = cut_lineage(_open(members, labels), "op1-open")
-        if tagged.isEmpty():  # nodes of a finer bucket share plain ones too
-            if not turn:
-                break
-            continue
-        if not turn:  # finer buckets of other nodes hold nothing new
-            banded = classes.join(tagged.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "bands")
-            banded = cut_lineage(banded, "op1-banded")
-        pairs = cut_lineage(_open_pairs(tagged, similarity, turn), "op1-pairs")
-        links = cut_lineage(_confirmed(pairs, sets, similarity), "op1-links")
-        if not links.isEmpty():
-            labels = cut_lineage(_merged(labels, links), "op1-labels")
+    several = cut_lineage(_open(members, labels).select("node", "comp").distinct(), "op1-open")
+    open_sets = cut_lineage(sets.join(several, "node").select("node", "comp", "members"), "op1-open-sets")
+    rest = cut_lineage(_rest_pairs(open_sets, similarity), "op1-rest")
+    links = cut_lineage(_confirmed(rest, sets, similarity), "op1-links")
+    if not links.isEmpty():
+        labels = cut_lineage(_merged(labels, links), "op1-labels")
     classes = classes.select("code", "code2", "n_shingles", "node").join(labels, "node", "left")
     found = classes.select("code", "code2", "n_shingles", F.coalesce("component", "node")["doc_id"].alias("component_id"), F.lit(True).alias("_in"))
     out = sketch.select("doc_id", "n_shingles", "code", "code2").join(found, ["code", "code2", "n_shingles"], "left")

@@ -201,3 +201,24 @@ def test_near_dedup_turns_find_links_between_almost_similar_texts(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     want = brute_near(docs)
     assert rows_of(minhash.near_dedup(df, shingle=2)) == want
+
+
+def test_near_dedup_loses_no_link_in_a_group_of_almost_similar_texts(spark, monkeypatch):
+    """Pairs at the threshold inside a large group whose other pairs are just under it; the blocks of hot shingles are small."""
+    monkeypatch.setattr(minhash, "FAN", 64)
+    rng = np.random.default_rng(11)
+    docs = []
+    for i in range(300):
+        words = [f"w{k}" for k in range(400)]
+        places = rng.permutation(133) * 3
+        for k in places[:15]:
+            words[k] = f"v{i}x{k}"
+        docs.append((2 * i, " ".join(words)))
+        if i % 3 == 0:  # a partner just similar enough
+            for k in places[15:37]:
+                words[k] = f"u{i}x{k}"
+            docs.append((2 * i + 1, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = brute_near(docs)
+    assert 100 <= sum(not r[3] for r in want) < 200
+    assert rows_of(minhash.near_dedup(df, shingle=2)) == want
