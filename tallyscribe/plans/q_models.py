@@ -15,6 +15,8 @@ from tallyscribe.plans.q_text import content, trimmed
 from tallyscribe.plans.registry import query, r6, rounded, s6
 from tallyscribe.sources.storage import cut_lineage
 
+#: Folds that the tuning functions take when they are told nothing else.
+FOLDS = 10
 TRAIN_BELOW = int(0.8 * hashing.SPAN)
 
 
@@ -463,29 +465,31 @@ def _scored(model, vectors, kind: str, target: str):
 
 @query("k2_linear_svm")
 def _(x):
-    v = _vectors(x, "toxic", models.BINARY, folds=3)
-    model, _cost = models.fit_kind(v.train, models.BINARY, costs=models.COSTS, folds=3, max_iter=20)
+    v = _vectors(x, "toxic", models.BINARY, folds=FOLDS)
+    model, _cost = models.svm_fit(v.train)
     return _scored(model, v, models.BINARY, "toxic")
 
 
 @query("k3_ordinal_svm")
 def _(x):
-    v = _vectors(x, "degree", models.ORDINAL)
-    return _scored(models.svm_multiclass(v.train, max_iter=20), v, models.ORDINAL, "degree")
+    v = _vectors(x, "degree", models.ORDINAL, folds=FOLDS)
+    model, _cost = models.tuned_multiclass(v.train)
+    return _scored(model, v, models.ORDINAL, "degree")
 
 
 @query("k4_scale_regression")
 def _(x):
-    v = _vectors(x, "size_k", models.NUMERIC)
-    return _scored(models.scale_regression(v.train, max_iter=50), v, models.NUMERIC, "size_k")
+    v = _vectors(x, "size_k", models.NUMERIC, folds=FOLDS)
+    model, _cost = models.tuned_regression(v.train)
+    return _scored(model, v, models.NUMERIC, "size_k")
 
 
 @query("k5_random_forest")
 def _(x):
     v = _vectors(x, "toxic", models.BINARY)
-    out = _scored(models.rf_fit(v.train, models.BINARY, num_trees=100), v, models.BINARY, "toxic")
+    out = _scored(models.rf_fit(v.train, models.BINARY), v, models.BINARY, "toxic")
     w = _vectors(x, "size_k", models.NUMERIC)
-    return out.unionByName(_scored(models.rf_fit(w.train, models.NUMERIC, num_trees=20, max_depth=8), w, models.NUMERIC, "size_k"))
+    return out.unionByName(_scored(models.rf_fit(w.train, models.NUMERIC), w, models.NUMERIC, "size_k"))
 
 
 @query("k7_experiment_grid")
@@ -493,13 +497,13 @@ def _(x):
     labelled = x.docs().where(F.col("toxic").isNotNull())
     sample = cut_lineage(sampling.stratified_sample(labelled, ["date"], 0.3, "doc_id"), "sample")
     kinds = {"toxic": models.BINARY, "degree": models.ORDINAL, "size_k": models.NUMERIC}
-    grid = models.run_grid(tokens.feature_variants(sample), sample, kinds, costs=(1.0,), max_iter=10, num_trees=20)
+    grid = models.run_grid(tokens.feature_variants(sample), sample, kinds)
     return rounded(grid, ["value"])
 
 
 @query("k8_fit_and_predict")
 def _(x):
-    out = models.fit_and_predict(_features(x), x.docs(), "toxic", costs=(0.1, 1.0), folds=3, max_iter=20)
+    out = models.fit_and_predict(_features(x), x.docs(), "toxic")
     return out.preds
 
 
@@ -508,8 +512,8 @@ def _(x):
     chosen = cut_lineage(_second_stage(x), "chosen")
     feats = cut_lineage(tokens.dfm_trim(tokens.dfm_docs(content(x), chosen), 2, 2), "features")
     docs = x.docs().join(chosen, "doc_id", "left_semi")
-    kinds = {"toxic": models.BINARY, "quality": models.BINARY, "degree": models.ORDINAL}
-    preds, _ = models.predict_all(feats, docs, kinds, costs=(1.0,), max_iter=10)
+    kinds = {"toxic": models.BINARY, "quality": models.BINARY, "degree": models.ORDINAL, "size_k": models.NUMERIC}
+    preds, _ = models.predict_all(feats, docs, kinds)
     return docs.select("doc_id").join(preds, "doc_id", "left")
 
 
@@ -518,11 +522,15 @@ def _(x):
     """One job per target from driver threads, each scoring a naive Bayes model of its label."""
     feats, docs = _features(x), x.docs()
 
-    def one(target: str):
-        ready = models.prepare_target(feats, docs, target)
-        model = bayes.nb_fit(ready.counts, ready.train, (0, 1))
+    def one(target: tuple[str, str]):
+        name, kind = target
+        ready = models.prepare_target(feats, docs, name, kind)
+        model = bayes.nb_fit(ready.counts, ready.train, (1, 2, 3, 4, 5) if kind == models.ORDINAL else (0, 1))
         preds = bayes.nb_predict(model, tokens.dfm_docs(ready.counts, ready.test), ready.test).join(ready.test, "doc_id")
-        return cut_lineage(models.score(preds, models.BINARY, target), "scores")
+        return cut_lineage(models.score(preds, kind, name), "scores")
 
-    parts = models.run_targets(["toxic", "quality"], one)
-    return rounded(parts[0].unionByName(parts[1]), ["value"])
+    kinds = {"toxic": models.BINARY, "quality": models.BINARY, "degree": models.ORDINAL}
+    first, *others = models.run_targets(list(kinds.items()), one)
+    for part in others:
+        first = first.unionByName(part)
+    return rounded(first, ["value"])

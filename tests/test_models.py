@@ -1,12 +1,15 @@
 """Classifiers, importance and language identification on small rows."""
 
+import inspect
 import math
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from tallyscribe.operators import bayes, importance, language, merge, metrics, models, sampling, tokens
+from tallyscribe.plans import q_models
 
 WORDS = {1: ["bad", "awful", "poor"], 0: ["good", "fine", "nice"]}
 
@@ -213,3 +216,44 @@ def test_language_is_recognised(spark):
     docs = spark.createDataFrame([(1, "the house of the dog"), (2, "das haus ist nicht mit der katze"), (3, "le chien est dans la maison")], "doc_id long, text string")
     got = {r.doc_id: r.detected_lang for r in language.identify_language(docs, profiles, ["de", "en", "fr"]).collect()}
     assert got == {1: "en", 2: "de", 3: "fr"}
+
+
+@pytest.mark.parametrize("name", ["k2_linear_svm", "k3_ordinal_svm", "k4_scale_regression", "k5_random_forest", "k7_experiment_grid", "k8_fit_and_predict", "k10_predict_all"])
+def test_model_queries_do_the_whole_job(spark, monkeypatch, name):
+    """Queries tune, and call the operators with their defaults; nothing is fitted here."""
+    made = {
+        "svm_fit": (None, 1.0), "tuned_multiclass": (None, 1.0), "tuned_regression": (None, 1.0), "rf_fit": None,
+        "run_grid": spark.createDataFrame([], "value double"),
+        "fit_and_predict": models.Outcome("toxic", spark.range(0), spark.range(0)),
+        "predict_all": (spark.createDataFrame([], "doc_id bigint"), None),
+    }
+    calls, folds = [], []
+    default = inspect.signature(models.tuned_multiclass).parameters["folds"].default
+
+    def stand_in(fn, out):
+        def call(*args, **kwargs):
+            bound = inspect.signature(fn).bind(*args, **kwargs).arguments
+            calls.append((fn.__name__, set(bound) | set(bound.get("how", {}))))
+            return out
+
+        return call
+
+    def cut(*args, **kwargs):
+        raise AssertionError("a fit without tuning or with numbers of its own")
+
+    for fn, out in made.items():
+        monkeypatch.setattr(models, fn, stand_in(getattr(models, fn), out))
+    for fn in ("fit_kind", "svm_multiclass", "scale_regression"):
+        monkeypatch.setattr(models, fn, cut)
+    monkeypatch.setattr(q_models, "_scored", lambda *a: spark.createDataFrame([], "value double"))
+    real = models.target_vectors
+    monkeypatch.setattr(models, "target_vectors", lambda t, kind, n=None, *a: (folds.append(n), real(t, kind, n, *a))[1])
+    contract.queries()[name](spark, "/root/testdata/sf0.001")
+    assert calls and not any(given & {"costs", "folds", "max_iter", "num_trees", "max_depth", "how"} for _, given in calls)
+    if name[:2] in ("k2", "k3", "k4"):
+        assert folds == [default]
+
+
+def test_every_naive_bayes_target_is_run(spark):
+    rows = contract.queries()["x2_run_targets"](spark, "/root/testdata/sf0.001").select("target").distinct().collect()
+    assert {r.target for r in rows} == {"toxic", "quality", "degree"}
