@@ -164,3 +164,23 @@ def test_pipeline_stages(spark):
 def test_contract():
     names = list(contract.queries())
     assert all(sum(x.startswith(f"op{n}_") for x in names) == 1 for n in range(1, 11)) and "pipeline" in names
+
+
+def test_pipeline_near_copies_in_a_group_of_similar_texts(spark):
+    """Five words, pairs at the threshold inside a large group just under it: one of each pair goes."""
+    rng = np.random.default_rng(12)
+    docs = []
+    for i in range(300):
+        words = [f"w{k}" for k in range(400)]
+        places = rng.permutation(66) * 6
+        for k in places[:6]:
+            words[k] = f"v{i}x{k}"
+        docs.append((2 * i, " ".join(words)))
+        if i % 3 == 0:
+            for k in places[6:14]:
+                words[k] = f"u{i}x{k}"
+            docs.append((2 * i + 1, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = [r[0] for r in brute_near(docs, shingle=5) if r[3]]
+    assert 200 < len(want) < 300
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, df, SF).collect()) == want
