@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscribe.llm import bpe, exact, lines, lm, minhash, packing, quality, suffix, tokenfiles, toxicity
+from tallyscribe.llm import bpe, exact, fim, langid, lines, lm, minhash, packing, quality, spelling, suffix, tokenfiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,3 +144,67 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
     out = toxicity.score(docs, toxicity_index(spark, docs, sf_dir))
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
+def _fim_sql() -> str:
+    """Tokens as a list, numbers from the hex digest, parts as slices of the list."""
+    p, s, m = fim.PREFIX, fim.SUFFIX, fim.MIDDLE
+    marked = " OR ".join(f"contains(t, '{x}')" for x in (p, s, m))
+    draw = lambda k: f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)"
+    part = lambda a, b: f"array_to_string(list_slice(ts, {a} + 1, {b}), '')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fim.SEED}:' || doc_id) AS h FROM documents),
+k AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts FROM d),
+f AS (SELECT *, len(ts) AS n, CASE WHEN t = '' OR {marked} OR {draw(2)} % 100 >= {fim.RATE} THEN 'plain'
+  WHEN {draw(3)} % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM k),
+c AS (SELECT *, least({draw(0)} % (n + 1), {draw(1)} % (n + 1)) AS a, greatest({draw(0)} % (n + 1), {draw(1)} % (n + 1)) AS b FROM f),
+p AS (SELECT *, {part(0, 'a')} AS pre, {part('a', 'b')} AS mid, {part('b', 'n')} AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{p}' || pre || '{s}' || suf || '{m}' || mid ELSE '{s}' || suf || '{p}' || pre || '{m}' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
+
+@query("op11_fill_in_middle", _fim_sql())
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(documents(spark, sf_dir))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored()).alias("restored_sha256")
+    )
+
+
+DROP_EVERY = 199
+
+
+def _spelling_sql() -> str:
+    """crc32 byte by byte from its table; near words by equal strings after one deletion; roots by recursion."""
+    return f"""WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), {SQL_FOLD}) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS times FROM r WHERE length(run) >= {spelling.MIN_CHARS} GROUP BY doc_id, run),
+x AS (SELECT *, hex(encode(doc_id || ':' || run)) AS hx FROM u),
+h AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(hx), 2), lambda k: CAST('0x' || substr(hx, k, 2) AS BIGINT))),
+    lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM x, tab),
+o AS (SELECT times, CASE WHEN h % {DROP_EVERY} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM o WHERE length(word) >= {spelling.MIN_CHARS} GROUP BY word HAVING sum(times) >= {spelling.MIN_COUNT}),
+g AS (SELECT word, n, k, left(word, k - 1) || substr(word, k + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n FROM g a JOIN g b ON a.less = b.less AND a.k = b.k AND a.word <> b.word
+  UNION SELECT g.word, v.word, v.n FROM g JOIN v ON g.less = v.word UNION SELECT v.word, g.word, g.n FROM g JOIN v ON g.less = v.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= {spelling.RATIO} * v.n THEN most END AS form_n FROM v LEFT JOIN best USING (word)),
+l AS (SELECT f.*, (SELECT min(other) FROM near WHERE near.word = f.word AND near.n = f.form_n) AS form FROM f),
+chain(word, last) AS (SELECT word, word FROM l UNION ALL SELECT chain.word, l.form FROM chain JOIN l ON l.word = chain.last WHERE l.form IS NOT NULL)
+SELECT l.word, l.form, c.last AS root, l.n, l.n_near, l.form_n FROM l JOIN chain c ON c.word = l.word
+WHERE NOT EXISTS (SELECT 1 FROM l e WHERE e.word = c.last AND e.form IS NOT NULL)"""
+
+
+@query("op12_spelling_variants", _spelling_sql())
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir), drop_every=DROP_EVERY)
+
+
+@query("op13_language_id")
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    model = langid.fit(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
