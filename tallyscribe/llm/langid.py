@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,36 +32,71 @@ TURNS = 3
 #: Pieces that each language borrows from all languages together, and those that these borrow from the even distribution.
 BORROWED, EVEN = 200.0, 1000.0
 
-#: Words that a task counts before it hands them on, and their code points; words that a worker remembers the scores of.
-HELD, HELD_CHARS = 200_000, 8_000_000
-KNOWN_WORDS, KNOWN_CHARS = 150_000, 4_000_000
+#: Words that a task counts before it hands them on, and code points of their texts; words that a worker remembers the scores of.
+HELD, HELD_CHARS = 200_000, 32_000_000
+KNOWN_WORDS, KNOWN_CHARS = 400_000, 10_000_000
 #: Bytes of words that are summed at a time (a longer word comes alone), code points from which a text is not listed at once.
 BATCH_BYTES, LONG = 1 << 18, 1 << 20
 
 _RUN = re.compile(r"[^\W\d_]+")
 _BEGIN = "▁"  # fixed value: the mark of the model file for the beginning of a word
-_BETWEEN = "Ā"  # stands between words; bytes are the characters below it
 
 
 class Pieces:
-    """The vocabulary of a model file as byte strings, and the automaton that finds all of them in a text."""
+    """The pieces of a model file that can stand in words, as byte strings, and a trie of the longer ones.
+
+    A node of the trie is a row of ``step``; a byte leads to another row by its class, and 0 is the end. ``piece`` is the piece that
+    ends at a node, or -1. Pieces of one byte stand aside in ``single``: there are all 256 of them.
+    """
 
     def __init__(self, path: str):
         model = SentencePieceProcessor(model_file=path)
         found = {bytes([b]).decode("latin-1") for b in range(256)}
         for i in range(model.get_piece_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
-                found.add(model.id_to_piece(i).encode().decode("latin-1"))
-        self.pieces = sorted(found - {""})
+                piece = model.id_to_piece(i)
+                rest = piece.removeprefix(_BEGIN)
+                if not rest or rest == rest.lower() and _RUN.fullmatch(rest):
+                    found.add(piece.encode().decode("latin-1"))
+        self.pieces = sorted(found)
         self.size = np.array([len(p) for p in self.pieces])
-        self.automaton = ahocorasick.Automaton()
-        for k, p in enumerate(self.pieces):
-            self.automaton.add_word(p, k)
-        self.automaton.make_automaton()
+        place = {p: k for k, p in enumerate(self.pieces)}
+        self.single = np.array([place[chr(b)] for b in range(256)])
+        longer = [p.encode("latin-1") for p in self.pieces if len(p) > 1]
+        used = sorted({b for p in longer for b in p})
+        self.kind = np.zeros(256, np.int64)
+        self.kind[used] = np.arange(1, len(used) + 1)
+        nodes: dict[bytes, int] = {b"": 1}  # by what leads there
+        for p in longer:
+            for n in range(1, len(p) + 1):
+                nodes.setdefault(p[:n], len(nodes) + 1)
+        self.step = np.zeros((len(nodes) + 1, len(used) + 1), np.int32)
+        self.piece = np.full(len(nodes) + 1, -1)
+        for way, node in nodes.items():
+            if way:
+                self.step[nodes[way[:-1]], self.kind[way[-1]]] = node
+                if len(way) > 1:
+                    self.piece[node] = place.get(way.decode("latin-1"), -1)
 
     def __len__(self) -> int:
         return len(self.pieces)
 
+    def inside(self, raw: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where it begins, piece) of all pieces in some bytes; a piece that begins at ``i`` ends at ``last[i]`` at most."""
+        at = np.arange(len(raw))
+        kind, node = self.kind[raw], np.ones(len(raw), np.int32)
+        begins, pieces, n = [at], [self.single[raw]], 0
+        while len(at):
+            node = self.step[node, kind[at + n]]
+            n += 1
+            whole = self.piece[node]
+            hit = whole >= 0
+            begins.append(at[hit])
+            pieces.append(whole[hit])
+            go = (node > 0) & (at + n < last[at])
+            at, node = at[go], node[go]
+        return np.concatenate(begins), np.concatenate(pieces)
+
 
 @lru_cache(maxsize=2)
 def pieces_of(path: str) -> Pieces:
@@ -81,20 +115,23 @@ class Lattice:
     """All pieces inside some words; nodes are the places between bytes, edges the pieces."""
 
     def __init__(self, words: list[str], pieces: Pieces):
-        coded = [(_BEGIN + w).encode().decode("latin-1") for w in words]
+        coded = [(_BEGIN + w).encode() for w in words]
         sizes = np.array([len(c) for c in coded])
-        self.first = np.append(0, np.cumsum(sizes + 1)[:-1])
+        begins = np.append(0, np.cumsum(sizes)[:-1])
+        raw = np.frombuffer(b"".join(coded), np.uint8)
+        word = np.repeat(np.arange(len(words)), sizes)
+        at, self.piece = pieces.inside(raw, (begins + sizes)[word])
+        self.word = word[at]
+        # One node more than bytes in each word.
+        self.first, self.at = begins + np.arange(len(words)), at + self.word
         self.last = self.first + sizes
-        hits = np.fromiter((x for hit in pieces.automaton.iter(_BETWEEN.join(coded)) for x in hit), np.int64).reshape(-1, 2)
-        self.to, self.piece = hits[:, 0] + 1, hits[:, 1]
-        self.at = self.to - pieces.size[self.piece]
-        self.word = np.searchsorted(self.first, self.at, side="right") - 1
+        self.to = self.at + pieces.size[self.piece]
         self.nodes = int(self.last[-1]) + 1
 
-    def _turns(self, place: np.ndarray, other: np.ndarray):
+    def _turns(self, place: np.ndarray):
         """Groups of edges by the distance of ``place`` from the beginning of the word, and the runs of equal ``place`` in each."""
         far = place - self.first[self.word]
-        order = np.lexsort((other, place, far))
+        order = np.argsort(far * np.int64(self.nodes) + place, kind="stable")
         cuts = np.flatnonzero(np.diff(far[order])) + 1
         for edges in np.split(order, cuts):
             spot = place[edges]
@@ -104,24 +141,48 @@ class Lattice:
     def forward(self, weights: np.ndarray) -> np.ndarray:
         """Per node the log of the sum over all ways to it; ``weights``: edges x columns, logs of probabilities."""
         out = np.zeros((self.nodes, weights.shape[1]))
-        for edges, starts, spots in self._turns(self.to, self.at):
+        for edges, starts, spots in self._turns(self.to):
             out[spots] = _log_sums(out[self.at[edges]] + weights[edges], starts)
         return out
 
+    def plain_forward(self, weights: np.ndarray) -> np.ndarray:
+        """The same with numbers instead of logs; it can run out of their range."""
+        out = np.ones((self.nodes, weights.shape[1]))
+        for edges, starts, spots in self._turns(self.to):
+            out[spots] = np.add.reduceat(out[self.at[edges]] * weights[edges], starts)
+        return out
+
     def backward(self, weights: np.ndarray) -> np.ndarray:
         """Per node the log of the sum over all ways from it to the end of its word."""
         out = np.zeros((self.nodes, weights.shape[1]))
-        for edges, starts, spots in reversed(list(self._turns(self.at, self.to))):
+        for edges, starts, spots in reversed(list(self._turns(self.at))):
             out[spots] = _log_sums(out[self.to[edges]] + weights[edges], starts)
         return out
 
 
-def word_logs(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
-    """Words x languages: the log of the probability of each word, all its segmentations together."""
+#: Each byte counts so many times while numbers are summed as they are, which keeps them in range; smaller sums are repeated as logs.
+LIFT, SMALLEST = 16.0, 1e-200
+
+
+def lifted(table: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Probabilities of a table of logs, lifted by the bytes of the pieces."""
+    return np.exp(table + pieces.size[:, None] * np.log(LIFT))
+
+
+def word_logs(words: list[str], pieces: Pieces, table: np.ndarray, plain: np.ndarray | None = None) -> np.ndarray:
+    """Words x languages: the log of the probability of each word, all its segmentations together. ``plain``: the lifted table."""
     if not words:
         return np.zeros((0, table.shape[1]))
     lattice = Lattice(words, pieces)
-    return lattice.forward(table[lattice.piece])[lattice.last]
+    plain = lifted(table, pieces) if plain is None else plain
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        sums = lattice.plain_forward(plain[lattice.piece])[lattice.last]
+        out = np.log(sums) - ((lattice.last - lattice.first) * np.log(LIFT))[:, None]
+    far = np.flatnonzero(~((sums > SMALLEST) & (sums < 1 / SMALLEST)).all(axis=1))
+    if len(far):
+        again = lattice if len(far) == len(words) else Lattice([words[k] for k in far], pieces)
+        out[far] = again.forward(table[again.piece])[again.last]
+    return out
 
 
 def _portions(words: list[str]) -> Iterator[slice]:
@@ -142,8 +203,8 @@ def words_of(text: str) -> Counter:
     text = text.lower()
     runs = _RUN.findall(text) if len(text) < LONG else (m.group() for m in _RUN.finditer(text))
     found = Counter(runs)
-    for w in [w for w in found if not w.isalpha() and not any(c.isalpha() for c in w)]:
-        del found[w]  # numerals that are no digits
+    if found and not "".join(found).isalpha():  # numerals that are no digits
+        found = Counter({w: n for w, n in found.items() if any(c.isalpha() for c in w)})
     return found
 
 
@@ -151,24 +212,26 @@ def words_of(text: str) -> Counter:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], int] = {}
+    held: dict[str, dict[str, int]] = {}
     chars = 0
 
-    def out() -> pa.RecordBatch:
-        columns = [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(held.values(), pa.int64())]
+    def out(lang: str, counts: dict[str, int]) -> pa.RecordBatch:
+        columns = [pa.array([lang] * len(counts), pa.string()), pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
     for part in slices(batches):
         for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+            own = held.setdefault(lang, {})
+            before = own.get
             for w, n in words_of(text).items():
-                before = held.get((lang, w), 0)
-                held[lang, w] = before + n
-                chars += len(w) if not before else 0
-            if len(held) >= HELD or chars >= HELD_CHARS:
-                yield out()
+                own[w] = before(w, 0) + n
+            chars += len(text)
+            if chars >= HELD_CHARS or sum(map(len, held.values())) >= HELD:
+                for item in held.items():
+                    yield out(*item)
                 held, chars = {}, 0
-    if held:
-        yield out()
+    for item in held.items():
+        yield out(*item)
 
 
 def _expected(path: str, languages: list[str], table: np.ndarray):
@@ -243,51 +306,57 @@ def fit(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lan
 
 
 class Scorer:
-    """Log probabilities of texts by language; the words that come up most are remembered."""
+    """Log probabilities of texts by language; the words that came up lately are remembered."""
 
     def __init__(self, model: Model):
         self.model, self.pieces = model, pieces_of(model.path)
-        self.new: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        self.plain = lifted(model.table, self.pieces)
+        self.known: list[tuple[dict[str, int], np.ndarray]] = [self._table(), self._table()]  # newer and older words
         self.chars = 0
 
-    def _learn(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Logs of the words, remembered or summed now."""
-        out, open_ = {}, []
-        for w in words:
-            found = self.new.get(w)
-            if found is None:
-                found = self.old.get(w)
-                if found is None:
-                    open_.append(w)
-                    continue
-                self._keep(w, found)
-            out[w] = found
-        open_.sort(key=len)
-        for part in _portions(open_):
-            some = open_[part]
-            for w, logs in zip(some, word_logs(some, self.pieces, self.model.table), strict=True):
-                out[w] = logs
-                self._keep(w, logs.copy())
+    def _table(self) -> tuple[dict[str, int], np.ndarray]:
+        return {}, np.zeros((KNOWN_WORDS // 2, len(self.model.languages)))
+
+    def _logs(self, words: list[str]) -> np.ndarray:
+        """Words x languages, remembered or summed now."""
+        out = np.zeros((len(words), len(self.model.languages)))
+        (new, recent), (old, before) = self.known
+        found: tuple[list[int], ...] = ([], [], [], [])  # place and row of newer words, of older words
+        open_: list[int] = []
+        for k, w in enumerate(words):
+            if (row := new.get(w)) is not None:
+                found[0].append(k)
+                found[1].append(row)
+            elif (row := old.get(w)) is not None:
+                found[2].append(k)
+                found[3].append(row)
+            else:
+                open_.append(k)
+        out[found[0]], out[found[2]] = recent[found[1]], before[found[3]]
+        open_.sort(key=lambda k: len(words[k]))
+        some = [words[k] for k in open_]
+        for part in _portions(some):
+            out[open_[part]] = word_logs(some[part], self.pieces, self.model.table, self.plain)
+        for k in (*found[2], *open_):
+            if len(self.known[0][0]) >= KNOWN_WORDS // 2 or 2 * self.chars >= KNOWN_CHARS:
+                self.known, self.chars = [self._table(), self.known[0]], 0
+            places, table = self.known[0]
+            table[len(places)] = out[k]
+            places[words[k]] = len(places)
+            self.chars += len(words[k])
         return out
 
-    def _keep(self, word: str, logs: np.ndarray) -> None:
-        if 2 * len(self.new) >= KNOWN_WORDS or 2 * self.chars >= KNOWN_CHARS:
-            self.old, self.new, self.chars = self.new, {}, 0
-        self.new[word] = logs
-        self.chars += len(word)
-
     def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
         """Predicted language and its share for each text."""
         counted = [words_of(t) for t in texts]
-        logs = self._learn(list(dict.fromkeys(w for c in counted for w in c))) if self.model.languages else {}
+        place = {w: k for k, w in enumerate(dict.fromkeys(w for c in counted for w in c))}
+        logs = self._logs(list(place)) if self.model.languages else None
         out = []
         for c in counted:
-            if not c or not logs:
+            if not c or logs is None:
                 out.append((UNKNOWN, 0.0))
                 continue
-            words = np.array([logs[w] for w in c])
-            total = self.model.prior + np.array(list(c.values()), float) @ words
+            total = self.model.prior + np.array(list(c.values()), float) @ logs[[place[w] for w in c]]
             best = int(np.argmax(total))
             out.append((self.model.languages[best], float(1 / np.exp(total - total[best]).sum())))
         return out
