@@ -1,4 +1,4 @@
-"""MLlib models on the long feature table: linear SVM, ordinal SVM, regression, forests, grids."""
+"""Classifiers on the long feature table: tuned linear machines for all targets at once, forests, grids, cascades."""
 
 from __future__ import annotations
 
@@ -9,26 +9,27 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyscribe.functions import hashing
+from tallyscribe.operators import linear
 from tallyscribe.operators.bayes import nb_fit, nb_predict
+from tallyscribe.operators.forest import DEPTH, TREES, forest_predictions
+from tallyscribe.operators.linear import BINARY, NUMERIC, ONE_VS_ONE, ORDINAL
 from tallyscribe.operators.metrics import binary_slots, classification_metrics, rmse
 from tallyscribe.operators.prep import where_label_valid
-from tallyscribe.operators.sampling import assign_folds, is_train, upsample
+from tallyscribe.operators.sampling import is_train, upsample
 from tallyscribe.operators.skew import join_term_stats, rank_by_hash
 from tallyscribe.operators.tokens import dfm_docs, dfm_match, vocabulary
 from tallyscribe.sources.storage import cut_lineage, load_stage, new_path, save_stage
 
 COSTS = (0.1, 1.0, 10.0, 100.0)
-BINARY, ORDINAL, NUMERIC = "binary", "ordinal", "numeric"
+FOLDS = 10
+#: Labelled documents that one task of a pass takes, as long as there are fewer tasks than shuffle partitions.
+TASK_ROWS = 64
 
 
 # ---- features ----------------------------------------------------------------------------
@@ -96,152 +97,185 @@ def prepare_target(counts: DataFrame, labels: DataFrame, y: str, kind: str = BIN
     """
     known = labels.select("doc_id", F.col(y).alias("y"))
     labelled = known.where(F.col("y").isNotNull()) if kind == NUMERIC else where_label_valid(known, "y")
-    chosen = labelled.where(is_train("doc_id", p))
+    chosen = labelled.where(is_train("doc_id", p, labels))
     train = chosen.withColumn("copy_no", F.lit(0)) if kind == NUMERIC else upsample(chosen, "y", "doc_id")
     return Target(
         train=cut_lineage(train, "train"),
-        test=labelled.where(~is_train("doc_id", p)),
+        test=labelled.where(~is_train("doc_id", p, labels)),
         unlabelled=known.where(F.col("y").isNull()).select("doc_id"),
         vocab=cut_lineage(vocabulary(dfm_docs(counts, chosen)), "vocabulary"),
         counts=counts,
     )
 
 
+# ---- labelled documents of many targets --------------------------------------------------
+
+
 @dataclass
-class Vectors:
-    """Vectors of one target."""
+class Labelled:
+    """The labelled documents of some targets: a stored table of their features and of their part in each target."""
 
-    train: DataFrame  # with fold, if folds were asked for
-    test: DataFrame
-    refit: DataFrame  # the test part up-sampled, to be added to the training part for the final fit
+    rows: DataFrame  # doc_id, idx, val, t0, t1, ...: one struct (train, y, copies) per target, NULL without a label
     index: DataFrame  # term, df, idx, size
+    size: int
+    names: list[str]
+    kinds: list[str]
+    classes: list[tuple[float, ...]]
+    folds: int
 
 
-def _part(df: DataFrame, name: str, y: str, copy_no: str | None, fold: str | None) -> DataFrame:
-    """Rows of one part in the common layout."""
+def _in_fold(fold, start, stride, copies, k: int):
+    """How many of the places ``start + j * stride`` (j below ``copies``) are ``fold`` modulo ``k``: they repeat after ``k``."""
 
-    def pick(col: str | None):
-        return F.col(col).cast("int") if col else F.lit(0)
+    def add(total, j):
+        here = (F.pmod(start + j * stride, F.lit(k)) == fold) & (j < copies)
+        return total + F.when(here, F.floor((copies - 1 - j) / k) + 1).otherwise(F.lit(0).cast("bigint"))
 
-    return df.select(
-        "doc_id",
-        F.col(y).cast("double").alias("label"),
-        pick(copy_no).alias("copy_no"),
-        pick(fold).alias("fold"),
-        F.lit(name).alias("part"),
-    )
+    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")), F.lit(0).cast("bigint"), add)
 
 
-def target_vectors(target: Target, kind: str = BINARY, folds: int | None = None, leak_safe: bool = False) -> Vectors:
-    """Vectors of the labelled documents, from one pass over their features.
+def mark_targets(labels: DataFrame, targets: dict[str, str], folds: int = FOLDS, p: float = 0.8, leak_safe: bool = False) -> DataFrame:
+    """``(doc_id, target, kind, train, y, class, copies)`` for every valid label of the targets, numbered in their order.
 
-    Copies and folds are decided on ids; vectors join last. With ``leak_safe`` the copies of a
-    document share a fold. Documents to predict need no vectors, see ``predict_targets``.
+    The parts are those of ``prepare_target``: split by a hash, classes evened out by copies inside each part. Copies are numbers,
+    one per fold, and never rows. Folds count through the copies of all classes of a part one after the other, so each
+    fold gets its share of every class, and no fold is empty if there are at least as many copies as folds. With
+    ``leak_safe`` all copies of a document are in one fold. A numeric target has one copy of each document.
     """
-    train = target.train
-    if folds and leak_safe:
-        train = assign_folds(train, "y", "doc_id", folds, group_key="doc_id")
-    elif folds and kind == NUMERIC:  # values of a scale are no classes to be even in
-        train = assign_folds(train.withColumn("_all", F.lit(0)), "_all", [c for c in ("doc_id", "copy_no") if c in train.columns], folds)
-    elif folds:
-        train = assign_folds(train, "y", ["doc_id", "copy_no"], folds)
-    refit = target.test.withColumn("copy_no", F.lit(0)) if kind == NUMERIC else upsample(target.test, "y", "doc_id")
-    parts = (
-        _part(train, "train", "y", "copy_no", "fold" if folds else None)
-        .unionByName(_part(target.test, "test", "y", None, None))
-        .unionByName(_part(refit, "refit", "y", "copy_no", None))
+    cells = [
+        F.struct(F.lit(i).alias("target"), F.lit(kind).alias("kind"), F.col(f"`{name}`").cast("double").alias("y"))
+        for i, (name, kind) in enumerate(targets.items())
+    ]
+    long = labels.select("doc_id", F.explode(F.array(*cells)).alias("c")).select("doc_id", "c.*").where(F.col("y").isNotNull() & ~F.isnan("y"))
+    valid = long.where((F.col("kind") == NUMERIC) | F.col("y").isin(0.0, 1.0, 2.0, 3.0, 4.0, 5.0))
+    tagged = valid.withColumn("train", is_train("doc_id", p, labels)).withColumn("class", F.when(F.col("kind") != NUMERIC, F.col("y")))
+    tagged = tagged.withColumn("_h", hashing.row_hash(tagged, ["doc_id"], hashing.UPSAMPLE))
+    ranked = rank_by_hash(tagged, ["target", "train", "class"], "_h", ["doc_id"], "_r")
+    part = Window.partitionBy("target", "train")
+    groups = tagged.groupBy("target", "train", "class").agg(F.count(F.lit(1)).alias("_n"))
+    groups = groups.select(
+        "target", "train", F.coalesce("class", F.lit(-1.0)).alias("_key"), F.max("_n").over(part).alias("_most"), (F.dense_rank().over(part.orderBy("class")) - 1).alias("_before")
+    )
+    both = ranked.withColumn("_key", F.coalesce("class", F.lit(-1.0))).join(groups, ["target", "train", "_key"])
+    size, most = F.col("_r_of"), F.col("_most")
+    whole = F.floor(most / size)
+    number = whole + F.when(F.col("_r") <= most - whole * size, 1).otherwise(0)
+    start = F.col("_before") * most + F.col("_r") - 1
+    stride = F.lit(0).cast("bigint") if leak_safe else size
+    counted = both.withColumn("_start", start).withColumn("_number", number)
+    in_folds = F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: _in_fold(f, F.col("_start"), stride, F.col("_number"), folds).cast("int"))
+    return counted.select("doc_id", "target", "kind", "train", "y", "class", in_folds.alias("copies"))
+
+
+def labelled_rows(
+    counts: DataFrame, labels: DataFrame, targets: dict[str, str], folds: int = FOLDS, p: float = 0.8, leak_safe: bool = False
+) -> Labelled:
+    """Everything that models of ``{target: kind}`` are fitted to, from one pass over the features of labelled documents.
+
+    Terms are those of the documents that any of the targets trains on. A term that a model never sees gets no weight.
+    """
+    spark = counts.sparkSession
+    marks = cut_lineage(mark_targets(labels, targets, folds, p, leak_safe), "marks")
+    n = marks.select("doc_id").distinct().count()
+    found = marks.where(F.col("train") & F.col("class").isNotNull()).select("target", "class").distinct().collect()
+    mine = dfm_docs(counts, marks.select("doc_id").distinct())
+    index = cut_lineage(term_index(vocabulary(dfm_docs(mine, marks.where("train")))), "terms")
+    value = F.col("n" if "n" in counts.columns else "weight").cast("double")
+    cells = join_term_stats(mine.select("doc_id", "term", value.alias("v")), index, "term", "df", spread=["doc_id"])
+    features = cells.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("c"))
+    empty = F.array().cast("array<struct<idx:int,v:double>>")
+    per_target = [
+        F.max(F.when(F.col("target") == i, F.struct("train", "y", "copies"))).alias(f"t{i}") for i in range(len(targets))
+    ]
+    rows = marks.groupBy("doc_id").agg(*per_target).join(features, "doc_id", "left").withColumn("c", F.coalesce("c", empty))
+    tasks = max(1, min(-(-n // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = rows.select(
+        "doc_id", F.transform("c", lambda x: x["idx"]).alias("idx"), F.transform("c", lambda x: x["v"]).alias("val"), *[f"t{i}" for i in range(len(targets))]
     )
-    index = cut_lineage(term_index(target.vocab), "terms")
-    vectors = to_vectors(dfm_docs(target.counts, parts), index, parts)
-    return Vectors(*[vectors.where(F.col("part") == p).drop("part") for p in ("train", "test", "refit")], index)
+    classes = [tuple(sorted(r["class"] for r in found if r["target"] == i)) for i in range(len(targets))]
+    return Labelled(cut_lineage(rows.repartition(tasks), "labelled"), index, index.count(), list(targets), list(targets.values()), classes, folds)
+
+
+# ---- linear machines ---------------------------------------------------------------------
+
+
+@dataclass
+class Tuned:
+    """A target with its chosen cost and the machine fitted to its training part."""
+
+    target: int
+    cost: float
+    machine: linear.Machine
 
 
-# ---- models ------------------------------------------------------------------------------
+def _heads(data: Labelled, target: int, how: str) -> list[linear.Head]:
+    classes = data.classes[target]
+    if data.kinds[target] != NUMERIC and len(classes) < 2:
+        return []  # nothing to tell apart
+    return linear.heads_of(data.kinds[target], classes, how)
 
 
-def _reg_param(cost: float, n: int) -> float:
-    """MLlib's penalty for a cost C: its objective is a mean over rows where C weighs a sum."""
-    return 1.0 / (cost * n)
+def _machine(data: Labelled, target: int, heads: Sequence[linear.Head], weights: np.ndarray) -> linear.Machine:
+    return linear.Machine(target, tuple(heads), data.classes[target], weights)
 
 
-def svm_fit(train: DataFrame, costs: Sequence[float] = COSTS, folds: int = 10, max_iter: int = 100, parallelism: int = 4):
-    """Linear SVM, cost chosen by cross-validation. Returns (model, cost).
+def _costs(data: Labelled, costs: Sequence[float], max_iter: int, how: str) -> list[float]:
+    """The cost of smallest mean error over the folds, per target; the first of equally good ones."""
+    at = [(t, c, f, h) for t in range(len(data.names)) for c in range(len(costs)) for f in range(data.folds) for h in _heads(data, t, how)]
+    weights = linear.fit(data.rows, data.size, [linear.Problem(t, h, costs[c], f) for t, c, f, h in at], data.folds, max_iter)
+    machines, first = [], 0
+    for t in range(len(data.names)):
+        heads = _heads(data, t, how)
+        for c in range(len(costs)):
+            for f in range(data.folds):
+                machines.append((c, f, _machine(data, t, heads, weights[first : first + len(heads)])))
+                first += len(heads)
+    errors = linear.left_out(data.rows, machines, data.folds)
+    return [costs[min(range(len(costs)), key=lambda c: (errors.get((t, c), np.inf), c))] for t in range(len(data.names))]
 
-    ``train`` has ``label`` in {0, 1}, ``features`` and, if more than one cost is tried, ``fold``.
+
+def _fitted(data: Labelled, chosen: Sequence[float], max_iter: int, how: str, final: Sequence[bool]) -> list[list[linear.Machine]]:
+    """Machines of all targets at their costs, fitted to the training part or (``final``) to both parts, in one go."""
+    problems = [linear.Problem(t, h, cost, None, last) for last in final for t, cost in enumerate(chosen) for h in _heads(data, t, how)]
+    weights = linear.fit(data.rows, data.size, problems, data.folds, max_iter)
+    out, first = [], 0
+    for _ in final:
+        out.append([])
+        for t in range(len(chosen)):
+            heads = _heads(data, t, how)
+            out[-1].append(_machine(data, t, heads, weights[first : first + len(heads)]))
+            first += len(heads)
+    return out
+
+
+def svm_fit(data: Labelled, costs: Sequence[float] = COSTS, max_iter: int = 100, how: str = ONE_VS_ONE) -> list[Tuned]:
+    """Linear support vector machines of all targets: classifiers, pairwise ones with a vote, and regressions.
+
+    If more than one cost is given, the folds of the training part choose between them.
     """
-    n = train.count()
-    if len(costs) == 1:
-        return LinearSVC(maxIter=max_iter, regParam=_reg_param(costs[0], n)).fit(train), costs[0]
-    svm = LinearSVC(maxIter=max_iter)
-    return _tuned(svm, svm.regParam, train, costs, n, MulticlassClassificationEvaluator(metricName="accuracy"), folds, parallelism)
-
-
-def _tuned(estimator, param, train: DataFrame, costs: Sequence[float], n: int, evaluator, folds: int, parallelism: int):
-    """(model, cost) of the best cost over the given folds."""
-    grid = ParamGridBuilder().addGrid(param, [_reg_param(c, n) for c in costs]).build()
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism
-    ).fit(train)
-    pick = np.argmax if evaluator.isLargerBetter() else np.argmin
-    return search.bestModel, costs[int(pick(search.avgMetrics))]
-
-
-class OrdinalModel:
-    """One-vs-rest model over the classes that occur, whatever their numbers are."""
-
-    def __init__(self, model, classes: list[float]):
-        self.model, self.classes = model, classes
-
-    def transform(self, vectors: DataFrame) -> DataFrame:
-        at = F.col("prediction").cast("int") + 1
-        back = F.element_at(F.array(*[F.lit(c) for c in self.classes]), at)
-        return self.model.transform(vectors).withColumn("prediction", back)
-
-
-def svm_multiclass(train: DataFrame, cost: float = 1.0, max_iter: int = 100, parallelism: int = 4) -> OrdinalModel:
-    """One linear SVM per class against the rest."""
-    return tuned_multiclass(train, (cost,), 1, max_iter, parallelism)[0]
-
-
-def tuned_multiclass(
-    train: DataFrame, costs: Sequence[float] = COSTS, folds: int = 10, max_iter: int = 100, parallelism: int = 4
-) -> tuple[OrdinalModel, float]:
-    """The same with the cost, one for all classes, chosen by cross-validation. Returns (model, cost)."""
-    sizes = train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()
-    classes = [row["label"] for row in sizes]
-    code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
-    n = sum(row["n"] for row in sizes)
-    base = LinearSVC(maxIter=max_iter, regParam=_reg_param(costs[0], n))
-    one_vs_rest = OneVsRest(classifier=base, parallelism=parallelism)
-    coded = train.withColumn("label", code.cast("double"))
-    if len(costs) == 1:
-        return OrdinalModel(one_vs_rest.fit(coded), classes), costs[0]
-    accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
-    model, cost = _tuned(one_vs_rest, base.regParam, coded, costs, n, accuracy, folds, parallelism)
-    return OrdinalModel(model, classes), cost
-
-
-def scale_regression(train: DataFrame, cost: float = 1.0, max_iter: int = 100):
-    """Robust linear regression (Huber loss) for the numeric scale."""
-    return tuned_regression(train, (cost,), 1, max_iter)[0]
-
-
-def tuned_regression(train: DataFrame, costs: Sequence[float] = COSTS, folds: int = 10, max_iter: int = 100, parallelism: int = 4):
-    """The same with the cost chosen by cross-validated error. Returns (model, cost)."""
-    n = train.count()
-    line = LinearRegression(loss="huber", maxIter=max_iter, regParam=_reg_param(costs[0], n))
-    if len(costs) == 1:
-        return line.fit(train), costs[0]
-    return _tuned(line, line.regParam, train, costs, n, RegressionEvaluator(metricName="rmse"), folds, parallelism)
-
-
-def rf_fit(train: DataFrame, kind: str, num_trees: int = 500, max_depth: int = 30, seed: int = 124):
-    """Random forest: classification, or regression for a numeric target."""
-    if kind == NUMERIC:
-        forest = RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, seed=seed, featureSubsetStrategy="onethird")
-    else:
-        forest = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, featureSubsetStrategy="sqrt")
-    return forest.fit(train)
+    chosen = _costs(data, costs, max_iter, how) if len(costs) > 1 else [costs[0]] * len(data.names)
+    (machines,) = _fitted(data, chosen, max_iter, how, (False,))
+    return [Tuned(t, cost, machine) for t, (cost, machine) in enumerate(zip(chosen, machines, strict=True))]
+
+
+def svm_metrics(data: Labelled, tuned: Sequence[Tuned]) -> DataFrame:
+    """``(target, metric, value)`` of all machines on the test rows."""
+    out = None
+    for t in tuned:
+        rows = score(linear.tested(data.rows, t.machine, data.folds), data.kinds[t.target], data.names[t.target])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def rf_metrics(data: Labelled, num_trees: int = TREES, max_depth: int = DEPTH) -> DataFrame:
+    """``(target, metric, value)`` of random forests of all targets on the test rows."""
+    targets = [(i, kind, data.classes[i]) for i, kind in enumerate(data.kinds)]
+    preds = cut_lineage(forest_predictions(data.rows, targets, data.size, num_trees, max_depth), "forest")
+    out = None
+    for i, kind, _ in targets:
+        rows = score(preds.where(F.col("target") == i), kind, data.names[i])
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def score(predictions: DataFrame, kind: str, target: str) -> DataFrame:
@@ -257,119 +291,102 @@ def score(predictions: DataFrame, kind: str, target: str) -> DataFrame:
     return out.select(F.lit(target).alias("target"), "metric", "value")
 
 
-def _predict(model, vectors: DataFrame) -> DataFrame:
-    return model.transform(vectors).select("doc_id", F.col("label").alias("y"), F.col("prediction").alias("yhat"))
-
-
-def fit_kind(train: DataFrame, kind: str, costs: Sequence[float], folds: int, max_iter: int):
-    """The SVM-family model of a target kind. Returns (model, cost); ``train`` carries ``fold`` if costs compete."""
-    if kind == NUMERIC:
-        return tuned_regression(train, costs, folds, max_iter)
-    if kind == ORDINAL:
-        return tuned_multiclass(train, costs, folds, max_iter)
-    return svm_fit(train, costs, folds, max_iter)
-
-
 @dataclass
 class Fitted:
-    """A fitted target: one linear function of the term counts per class to tell apart."""
-
-    target: str
-    kind: str
-    weights: DataFrame  # term, df, w: one weight per linear function
-    intercepts: list[float]
-    classes: list[float]
-    metrics: DataFrame  # target, metric, value
-
-
-@dataclass
-class Outcome:
-    """Result of one target."""
+    """Fitted targets, ready to predict: all linear functions side by side in one term table."""
 
-    target: str
-    preds: DataFrame  # doc_id, target, pred
+    names: list[str]
+    kinds: list[str]
+    machines: list[linear.Machine]
+    weights: DataFrame  # term, df, w: one weight per linear function, targets one after the other
+    costs: list[float]
     metrics: DataFrame  # target, metric, value
 
 
-def _linear_parts(model, kind: str):
-    """(coefficients, intercepts, classes) of a linear model."""
-    if kind == ORDINAL:
-        parts = model.model.models
-        return [m.coefficients.toArray() for m in parts], [m.intercept for m in parts], list(model.classes)
-    return [model.coefficients.toArray()], [model.intercept], [0.0, 1.0]
-
-
 def weight_table(coefficients: Sequence[np.ndarray], index: DataFrame) -> DataFrame:
     """``(term, df, w)`` from coefficient vectors in the order of ``index``; only as large as the model."""
     spark = index.sparkSession
+    size = len(coefficients[0]) if len(coefficients) else 0
     columns = {f"w{i}": c for i, c in enumerate(coefficients)}
-    by_id = spark.createDataFrame(pa.table({"idx": np.arange(len(coefficients[0]), dtype="int32"), **columns}))
-    by_id = by_id.select("idx", F.array(*columns).alias("w"))
+    by_id = spark.createDataFrame(pa.table({"idx": np.arange(size, dtype="int32"), **columns}))
+    by_id = by_id.select("idx", F.array(*columns).cast("array<double>").alias("w"))
     return index.join(by_id, "idx").select("term", "df", "w")
 
 
-def fit_target(
+def fit_targets(
     counts: DataFrame,
     labels: DataFrame,
-    target: str,
-    kind: str = BINARY,
+    targets: dict[str, str],
     costs: Sequence[float] = COSTS,
-    folds: int = 10,
+    folds: int = FOLDS,
     max_iter: int = 100,
     leak_safe: bool = False,
+    how: str = ONE_VS_ONE,
 ) -> Fitted:
-    """Tune on the training part, score on the test part, refit on both."""
-    tuned = len(costs) > 1
-    vectors = target_vectors(prepare_target(counts, labels, target, kind), kind, folds if tuned else None, leak_safe)
-    model, cost = fit_kind(vectors.train, kind, costs, folds, max_iter)
-    metrics = cut_lineage(score(_predict(model, vectors.test), kind, target), "metrics")
-    final, _ = fit_kind(vectors.train.unionByName(vectors.refit), kind, (cost,), folds, max_iter)
-    coefficients, intercepts, classes = _linear_parts(final, kind)
-    weights = cut_lineage(weight_table(coefficients, vectors.index), "weights")
-    return Fitted(target, kind, weights, intercepts, classes, metrics)
-
-
-def predict_targets(fitted: Sequence[Fitted], counts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Tune every ``{target: kind}`` on its training part, score it on its test part, refit it on both. All targets at once."""
+    data = labelled_rows(counts, labels, targets, folds, leak_safe=leak_safe)
+    chosen = _costs(data, costs, max_iter, how) if len(costs) > 1 else [costs[0]] * len(data.names)
+    trained, final = _fitted(data, chosen, max_iter, how, (False, True))
+    tuned = [Tuned(t, c, m) for t, (c, m) in enumerate(zip(chosen, trained, strict=True))]
+    metrics = cut_lineage(svm_metrics(data, tuned), "metrics")
+    weights = cut_lineage(weight_table([row[:-1] for m in final for row in m.weights], data.index), "weights")
+    return Fitted(data.names, data.kinds, final, weights, list(chosen), metrics)
+
+
+def _decision(machine: linear.Machine, kind: str, margins: list):
+    """The prediction of a target as an expression of its margins; what ``linear.decide`` does in tasks."""
+    if not margins:
+        return F.lit(machine.classes[0] if machine.classes else None).cast("double")
+    if kind == NUMERIC:
+        return margins[0]
+    if machine.heads[0].negative is None:
+        value = dict(zip(machine.classes, margins, strict=True))
+    else:
+        value = {c: F.lit(0) for c in machine.classes}
+        for h, m in zip(machine.heads, margins, strict=True):
+            value[h.positive] = value[h.positive] + (m > 0).cast("int")
+            value[h.negative] = value[h.negative] + (m <= 0).cast("int")
+    best = F.greatest(*value.values())
+    pred = F.lit(machine.classes[-1])
+    for c in reversed(machine.classes):
+        pred = F.when(value[c] == best, F.lit(c)).otherwise(pred)
+    return pred
+
+
+def predict_targets(fitted: Fitted, counts: DataFrame, docs: DataFrame) -> DataFrame:
     """``docs`` ids with one prediction column per target, all targets in one pass over the features.
 
-    The weights of all models stand side by side in one term table, so the documents to predict are
+    The weights of all machines stand side by side in one term table, so the documents to predict are
     joined once, however many targets there are, and are never turned into vectors.
     """
-    heads = [(f, i) for f in fitted for i in range(len(f.intercepts))]
-    first, every = 0, None
-    for f in fitted:
-        here = range(first, first + len(f.intercepts))
-        first += len(f.intercepts)
-        row = f.weights.select(
-            "term", "df", *[F.element_at("w", h - here.start + 1).alias(f"w{h}") if h in here else F.lit(None).cast("double").alias(f"w{h}") for h in range(len(heads))]
-        )
-        every = row if every is None else every.unionByName(row)
-    table = every.groupBy("term").agg(F.max("df").alias("df"), *[F.max(f"w{h}").alias(f"w{h}") for h in range(len(heads))])
-    table = cut_lineage(table, "weights") if len(fitted) > 1 else table
-    cells = join_term_stats(dfm_docs(counts, docs), table, "term", "df", spread=["doc_id"])
-    sums = cells.groupBy("doc_id").agg(*[F.sum(F.col("n") * F.coalesce(f"w{h}", F.lit(0.0))).alias(f"s{h}") for h in range(len(heads))])
+    intercepts = [float(row[-1]) for m in fitted.machines for row in m.weights]
+    cells = join_term_stats(dfm_docs(counts, docs), fitted.weights, "term", "df", spread=["doc_id"])
+    value = F.col("n" if "n" in counts.columns else "weight")
+    sums = cells.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_terms"), *[F.sum(value * F.element_at("w", i + 1)).alias(f"s{i}") for i in range(len(intercepts))])
     scored = docs.select("doc_id").join(sums, "doc_id", "left")
+    margins = [(F.coalesce(f"s{i}", F.lit(0.0)) + F.lit(b)).alias(f"m{i}") for i, b in enumerate(intercepts)]
+    scored = scored.select("doc_id", *margins)
     out, first = [], 0
-    for f in fitted:
-        margins = [F.coalesce(f"s{first + i}", F.lit(0.0)) + F.lit(float(b)) for i, b in enumerate(f.intercepts)]
-        first += len(margins)
-        if f.kind == NUMERIC:
-            pred = margins[0]
-        elif f.kind == BINARY:
-            pred = F.when(margins[0] > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-        else:
-            best = F.greatest(*margins) if len(margins) > 1 else margins[0]
-            pred = F.lit(f.classes[-1])
-            for m, c in reversed(list(zip(margins, f.classes, strict=True))):
-                pred = F.when(m == best, F.lit(c)).otherwise(pred)
-        out.append(pred.alias(f.target))
+    for name, kind, machine in zip(fitted.names, fitted.kinds, fitted.machines, strict=True):
+        here = [F.col(f"m{first + i}") for i in range(len(machine.heads))]
+        first += len(here)
+        out.append(_decision(machine, kind, here).alias(name))
     return scored.select("doc_id", *out)
 
 
+@dataclass
+class Outcome:
+    """Result of one target."""
+
+    target: str
+    preds: DataFrame  # doc_id, target, pred
+    metrics: DataFrame  # target, metric, value
+
+
 def fit_and_predict(counts: DataFrame, labels: DataFrame, target: str, kind: str = BINARY, **how) -> Outcome:
     """Fit one target and predict the documents that have no label for it."""
-    fitted = fit_target(counts, labels, target, kind, **how)
-    preds = predict_targets([fitted], counts, labels.where(F.col(target).isNull()))
+    fitted = fit_targets(counts, labels, {target: kind}, **how)
+    preds = predict_targets(fitted, counts, labels.where(F.col(target).isNull()))
     return Outcome(target, preds.select("doc_id", F.lit(target).alias("target"), F.col(target).alias("pred")), fitted.metrics)
 
 
@@ -381,26 +398,19 @@ def run_targets(targets: Sequence, fn: Callable, parallelism: int = 4) -> list:
         return [f.result() for f in futures]
 
 
-def predict_all(
-    counts: DataFrame, labels: DataFrame, targets: dict[str, str], parallelism: int = 4, **how
-) -> tuple[DataFrame, DataFrame]:
+def predict_all(counts: DataFrame, labels: DataFrame, targets: dict[str, str], **how) -> tuple[DataFrame, DataFrame]:
     """Every ``{target: kind}``: (predictions, metrics).
 
-    Models are fitted from driver threads on the features of documents with any label, which are picked out
-    once; then all targets are predicted in one pass over the documents that lack a label. A document keeps NULL where it
-    has a label.
+    All targets are fitted together on the features of documents with any label, and predicted in one
+    pass over the documents that lack a label. A document keeps NULL where it has a label.
     """
-    missing, labelled = F.lit(False), F.lit(False)
+    missing = F.lit(False)
     for t in targets:
-        missing, labelled = missing | F.col(t).isNull(), labelled | F.col(t).isNotNull()
-    some = cut_lineage(dfm_docs(counts, labels.where(labelled)), "labelled-features")
-    fitted = run_targets(list(targets.items()), lambda t: fit_target(some, labels, t[0], t[1], **how), parallelism)
+        missing = missing | F.col(t).isNull()
+    fitted = fit_targets(counts, labels, targets, **how)
     known = labels.select("doc_id", *[F.col(t).alias(f"_{t}") for t in targets])
     preds = predict_targets(fitted, counts, labels.where(missing)).join(known, "doc_id")
-    metrics = fitted[0].metrics
-    for f in fitted[1:]:
-        metrics = metrics.unionByName(f.metrics)
-    return preds.select("doc_id", *[F.when(F.col(f"_{t}").isNull(), F.col(t)).alias(t) for t in targets]), metrics
+    return preds.select("doc_id", *[F.when(F.col(f"_{t}").isNull(), F.col(t)).alias(t) for t in targets]), fitted.metrics
 
 
 def run_grid(
@@ -410,15 +420,16 @@ def run_grid(
     names: Sequence[str] = ("all", "nostop", "stem", "tfidf"),
     algorithms: Sequence[str] = ("svm", "nb", "rf"),
     costs: Sequence[float] = COSTS,
-    folds: int = 10,
+    folds: int = FOLDS,
     max_iter: int = 100,
-    num_trees: int = 500,
+    num_trees: int = TREES,
+    max_depth: int = DEPTH,
     parallelism: int = 4,
 ) -> DataFrame:
     """Every algorithm on every feature variant and target: ``(algorithm, variant, target, metric, value)``.
 
-    Naive Bayes has no numeric target. Variants are written once; the vectors of a (variant, target)
-    are shared by the algorithms that need them.
+    Naive Bayes has no numeric target. Variants are written once; the rows of a variant are shared by all algorithms and
+    targets, and its linear machines are fitted together.
     """
     labelled = F.lit(False)
     for t in targets:
@@ -426,31 +437,28 @@ def run_grid(
     spark = variants.sparkSession
     stored = load_stage(spark, save_stage(dfm_docs(variants, labels.where(labelled)), new_path(spark, "variants"), "variant"))
 
-    def one(cell: tuple[str, str, str]) -> list[DataFrame]:
-        name, target, kind = cell
+    def one(name: str) -> DataFrame:
         counts = stored.where(F.col("variant") == name).select("doc_id", "term", F.col("weight").alias("n"))
-        ready = prepare_target(counts, labels, target, kind)
         out = []
-        tuned = len(costs) > 1
-        vectors = target_vectors(ready, kind, folds if tuned else None) if {"svm", "rf"} & set(algorithms) else None
-        for algorithm in algorithms:
-            if algorithm == "nb":
-                if kind == NUMERIC:
-                    continue
-                classes = (1, 2, 3, 4, 5) if kind == ORDINAL else (0, 1)
-                model = nb_fit(ready.counts, ready.train, classes)
+        if {"svm", "rf"} & set(algorithms):
+            data = labelled_rows(counts, labels, targets, folds)
+        if "svm" in algorithms:
+            out.append(("svm", svm_metrics(data, svm_fit(data, costs, max_iter))))
+        if "rf" in algorithms:
+            out.append(("rf", rf_metrics(data, num_trees, max_depth)))
+        for target, kind in targets.items():
+            if "nb" in algorithms and kind != NUMERIC:
+                ready = prepare_target(counts, labels, target, kind)
+                model = nb_fit(ready.counts, ready.train, (1, 2, 3, 4, 5) if kind == ORDINAL else (0, 1))
                 preds = nb_predict(model, dfm_docs(counts, ready.test), ready.test).join(ready.test, "doc_id")
-            elif algorithm == "svm":
-                preds = _predict(fit_kind(vectors.train, kind, costs, folds, max_iter)[0], vectors.test)
-            else:
-                preds = _predict(rf_fit(vectors.train, kind, num_trees), vectors.test)
-            rows = score(preds, kind, target)
-            out.append(rows.select(F.lit(algorithm).alias("algorithm"), F.lit(name).alias("variant"), *rows.columns))
-        return out
-
-    cells = [(name, target, kind) for name in names for target, kind in targets.items()]
-    frames = [frame for part in run_targets(cells, one, parallelism) for frame in part]
-    table = frames[0]
-    for frame in frames[1:]:
-        table = table.unionByName(frame)
-    return cut_lineage(table, "grid")
+                out.append(("nb", score(preds, kind, target)))
+        table = None
+        for algorithm, rows in out:
+            part = rows.select(F.lit(algorithm).alias("algorithm"), F.lit(name).alias("variant"), *rows.columns)
+            table = part if table is None else table.unionByName(part)
+        return cut_lineage(table, "grid")
+
+    first, *others = run_targets(names, one, parallelism)
+    for table in others:
+        first = first.unionByName(table)
+    return first

@@ -15,8 +15,6 @@ from tallyscribe.plans.q_text import content, trimmed
 from tallyscribe.plans.registry import query, r6, rounded, s6
 from tallyscribe.sources.storage import cut_lineage
 
-#: Folds that the tuning functions take when they are told nothing else.
-FOLDS = 10
 TRAIN_BELOW = int(0.8 * hashing.SPAN)
 
 
@@ -450,46 +448,37 @@ def _(x):
     return importance.top_k(sums, 10, "n", ["lang"], ["term"])
 
 
-# ---- MLlib models (no SQL) ---------------------------------------------------------------
+# ---- fitted machines and forests (no SQL) ------------------------------------------------
 
 
-def _vectors(x: Inputs, target: str, kind: str, folds: int | None = None) -> models.Vectors:
-    labels = x.docs().select("doc_id", target).where(F.col(target).isNotNull())
-    return models.target_vectors(models.prepare_target(_features(x), labels, target, kind), kind, folds)
+def _labelled(x: Inputs, targets: dict[str, str]) -> models.Labelled:
+    return models.labelled_rows(_features(x), x.docs().select("doc_id", *targets), targets)
 
 
-def _scored(model, vectors, kind: str, target: str):
-    preds = model.transform(vectors.test).select("doc_id", F.col("label").alias("y"), F.col("prediction").alias("yhat"))
-    return rounded(models.score(preds, kind, target), ["value"])
+def _tuned(x: Inputs, target: str, kind: str):
+    data = _labelled(x, {target: kind})
+    return rounded(models.svm_metrics(data, models.svm_fit(data)), ["value"])
 
 
 @query("k2_linear_svm")
 def _(x):
-    v = _vectors(x, "toxic", models.BINARY, folds=FOLDS)
-    model, _cost = models.svm_fit(v.train)
-    return _scored(model, v, models.BINARY, "toxic")
+    return _tuned(x, "toxic", models.BINARY)
 
 
 @query("k3_ordinal_svm")
 def _(x):
-    v = _vectors(x, "degree", models.ORDINAL, folds=FOLDS)
-    model, _cost = models.tuned_multiclass(v.train)
-    return _scored(model, v, models.ORDINAL, "degree")
+    return _tuned(x, "degree", models.ORDINAL)
 
 
 @query("k4_scale_regression")
 def _(x):
-    v = _vectors(x, "size_k", models.NUMERIC, folds=FOLDS)
-    model, _cost = models.tuned_regression(v.train)
-    return _scored(model, v, models.NUMERIC, "size_k")
+    return _tuned(x, "size_k", models.NUMERIC)
 
 
 @query("k5_random_forest")
 def _(x):
-    v = _vectors(x, "toxic", models.BINARY)
-    out = _scored(models.rf_fit(v.train, models.BINARY), v, models.BINARY, "toxic")
-    w = _vectors(x, "size_k", models.NUMERIC)
-    return out.unionByName(_scored(models.rf_fit(w.train, models.NUMERIC), w, models.NUMERIC, "size_k"))
+    data = _labelled(x, {"toxic": models.BINARY, "size_k": models.NUMERIC})
+    return rounded(models.rf_metrics(data), ["value"])
 
 
 @query("k7_experiment_grid")

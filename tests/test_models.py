@@ -4,12 +4,12 @@ import inspect
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from tallyscribe.operators import bayes, importance, language, merge, metrics, models, sampling, tokens
-from tallyscribe.plans import q_models
+from tallyscribe.operators import bayes, importance, language, linear, merge, metrics, models, sampling, tokens
 
 WORDS = {1: ["bad", "awful", "poor"], 0: ["good", "fine", "nice"]}
 
@@ -153,43 +153,27 @@ def test_svm_learns_and_predicts(spark, data):
     assert got["Accuracy"] > 0.9 and set(got) == {"Accuracy", "Precision_2", "Recall_2", "F1_2"}
 
 
-def test_joined_weights_predict_like_the_models(spark, data):
-    """One pass over the long table gives what each model gives on vectors."""
+def test_joined_weights_predict_like_the_machines(spark, data):
+    """One pass over the long table gives what the machines give on rows."""
     counts, labels, _, _ = data
     both = labels.withColumn("z", F.when(F.col("y").isNotNull(), F.col("doc_id") % 3 + 1).cast("int"))
-    preds, scores = models.predict_all(counts, both, {"y": models.BINARY, "z": models.ORDINAL}, costs=(1.0,), max_iter=10)
+    fitted = models.fit_targets(counts, both, {"y": models.BINARY, "z": models.ORDINAL}, costs=(1.0,), max_iter=10)
+    preds = models.predict_targets(fitted, counts, both.where("y is null"))
     got = {r.doc_id: (r.y, r.z) for r in preds.collect()}
     assert set(got) == set(range(120, 140))
-    assert {r.target for r in scores.collect()} == {"y", "z"}
-    unlabelled = both.where("y is null")
-    for at, (target, kind) in enumerate([("y", models.BINARY), ("z", models.ORDINAL)]):
-        vectors = models.target_vectors(models.prepare_target(counts, both, target, kind), kind)
-        model, _ = models.fit_kind(vectors.train.unionByName(vectors.refit), kind, (1.0,), 2, 10)
-        rows = model.transform(models.to_vectors(counts, vectors.index, unlabelled.select("doc_id"))).collect()
-        assert {r.doc_id: r.prediction for r in rows} == {d: v[at] for d, v in got.items()}
-
-
-def test_ordinal_model_uses_occurring_classes(spark, data):
-    counts, labels, _, _ = data
-    ordinal = labels.withColumn("z", F.when(F.col("y").isNotNull(), F.col("truth") * 3 + 2).cast("int"))
-    ready = models.prepare_target(counts, ordinal, "z", models.ORDINAL)
-    vectors = models.target_vectors(ready, models.ORDINAL)
-    model = models.svm_multiclass(vectors.train, max_iter=10)
-    seen = {r.prediction for r in model.transform(vectors.test).select("prediction").distinct().collect()}
-    assert seen <= {2.0, 5.0}
-
-
-def test_forest_and_regression(spark, data):
-    counts, labels, _, _ = data
-    ready = models.prepare_target(counts, labels, "y")
-    vectors = models.target_vectors(ready)
-    forest = models.rf_fit(vectors.train, models.BINARY, num_trees=10, max_depth=5)
-    scores = {r.metric: r.value for r in models.score(models._predict(forest, vectors.test), models.BINARY, "y").collect()}
-    assert scores["Accuracy"] > 0.85
-    numeric = labels.withColumn("v", F.when(F.col("y").isNotNull(), F.col("truth") * 4.0 + 1))
-    nv = models.target_vectors(models.prepare_target(counts, numeric, "v", models.NUMERIC), models.NUMERIC)
-    fit = models.scale_regression(nv.train, max_iter=30)
-    assert models.score(models._predict(fit, nv.test), models.NUMERIC, "v").first().value < 1.5
+    assert {r.target for r in fitted.metrics.collect()} == {"y", "z"}
+    terms = [r.term for r in models.term_index(tokens.vocabulary(counts)).orderBy("idx").collect()]
+    table = {r.term: r.w for r in fitted.weights.collect()}
+    first = 0
+    for at, m in enumerate(fitted.machines):
+        w = np.array([[table[t][first + h] for t in terms] for h in range(len(m.heads))])
+        first += len(m.heads)
+        rows = defaultdict(dict)
+        for r in counts.where("doc_id >= 120").collect():
+            rows[r.doc_id][r.term] = r.n
+        x = np.array([[rows[d].get(t, 0) for t in terms] for d in sorted(rows)], float)
+        want = linear.decide(x @ w.T + m.weights[:, -1], m.heads, m.classes)
+        assert [got[d][at] for d in sorted(rows)] == want.tolist()
 
 
 def test_cascade_gate(spark):
@@ -220,15 +204,13 @@ def test_language_is_recognised(spark):
 
 @pytest.mark.parametrize("name", ["k2_linear_svm", "k3_ordinal_svm", "k4_scale_regression", "k5_random_forest", "k7_experiment_grid", "k8_fit_and_predict", "k10_predict_all"])
 def test_model_queries_do_the_whole_job(spark, monkeypatch, name):
-    """Queries tune, and call the operators with their defaults; nothing is fitted here."""
+    """Queries call the operators with their defaults; nothing is fitted here."""
+    metrics_ = spark.createDataFrame([], "target string, metric string, value double")
     made = {
-        "svm_fit": (None, 1.0), "tuned_multiclass": (None, 1.0), "tuned_regression": (None, 1.0), "rf_fit": None,
-        "run_grid": spark.createDataFrame([], "value double"),
-        "fit_and_predict": models.Outcome("toxic", spark.range(0), spark.range(0)),
-        "predict_all": (spark.createDataFrame([], "doc_id bigint"), None),
+        "labelled_rows": None, "svm_fit": None, "svm_metrics": metrics_, "rf_metrics": metrics_, "run_grid": metrics_,
+        "fit_and_predict": models.Outcome("toxic", spark.range(0), spark.range(0)), "predict_all": (spark.createDataFrame([], "doc_id bigint"), None),
     }
-    calls, folds = [], []
-    default = inspect.signature(models.tuned_multiclass).parameters["folds"].default
+    calls = []
 
     def stand_in(fn, out):
         def call(*args, **kwargs):
@@ -238,20 +220,15 @@ def test_model_queries_do_the_whole_job(spark, monkeypatch, name):
 
         return call
 
-    def cut(*args, **kwargs):
-        raise AssertionError("a fit without tuning or with numbers of its own")
-
     for fn, out in made.items():
         monkeypatch.setattr(models, fn, stand_in(getattr(models, fn), out))
-    for fn in ("fit_kind", "svm_multiclass", "scale_regression"):
-        monkeypatch.setattr(models, fn, cut)
-    monkeypatch.setattr(q_models, "_scored", lambda *a: spark.createDataFrame([], "value double"))
-    real = models.target_vectors
-    monkeypatch.setattr(models, "target_vectors", lambda t, kind, n=None, *a: (folds.append(n), real(t, kind, n, *a))[1])
     contract.queries()[name](spark, "/root/testdata/sf0.001")
-    assert calls and not any(given & {"costs", "folds", "max_iter", "num_trees", "max_depth", "how"} for _, given in calls)
-    if name[:2] in ("k2", "k3", "k4"):
-        assert folds == [default]
+    assert calls and not any(given & {"costs", "folds", "max_iter", "num_trees", "max_depth", "how", "p"} for _, given in calls)
+
+
+def test_tuned_query_for_real(spark):
+    rows = {(r.target, r.metric): r.value for r in contract.queries()["k2_linear_svm"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(rows) == {("toxic", m) for m in ("Accuracy", "Precision_2", "Recall_2", "F1_2")} and rows["toxic", "Accuracy"] > 0.8
 
 
 def test_every_naive_bayes_target_is_run(spark):
