@@ -83,6 +83,21 @@ def report_columns(table: DataFrame, order: dict[str, str]) -> DataFrame:
     return table.select([F.col(f"`{old}`").alias(new) for old, new in order.items()])
 
 
+def compare_algorithms(metrics: DataFrame, target: str, runs: Sequence[tuple[str, str]], digits: int = 2) -> DataFrame:
+    """``(algorithm, variant, accuracy, precision, recall, f1)`` of a binary target: one row per chosen run of a grid, rounded.
+
+    ``metrics`` is ``(algorithm, variant, target, metric, value)``. The wide table of the grid, one column per algorithm and
+    variant, keeps the metrics that all runs have and is then turned on its side. A run without a row is NULL throughout.
+    """
+    spark = metrics.sparkSession
+    name = F.concat_ws("|", "algorithm", "variant")
+    wide = assemble_metrics(metrics.where(F.col("target") == target).withColumn("_run", name), ["|".join(r) for r in runs], "_run")
+    turned = transpose_metrics(wide, ["|".join(r) for r in runs], list(GENERAL)[1:])
+    listed = spark.createDataFrame([("|".join(r), *r) for r in runs], "target string, algorithm string, variant string")
+    rows = listed.join(turned, "target", "left")
+    return rows.select("algorithm", "variant", *[half_even(F.col(f"`{m}`"), digits).alias(a) for m, a in list(GENERAL.items())[1:]])
+
+
 GENERAL = {"target": "target", "Accuracy": "accuracy", "Precision_2": "precision", "Recall_2": "recall", "F1_2": "f1"}
 
 

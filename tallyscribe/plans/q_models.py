@@ -23,7 +23,8 @@ def h(key: str, purpose: int) -> str:
 
 
 register("labelled", "SELECT doc_id, toxic AS y FROM labels")
-register("train_once", f"SELECT doc_id, y FROM labelled WHERE {h('doc_id', hashing.SPLIT)} < {TRAIN_BELOW}", "labelled")
+TRAIN_ONCE = f"SELECT doc_id, y FROM labelled WHERE {h('doc_id', hashing.SPLIT)} < {TRAIN_BELOW}"
+register("train_once", TRAIN_ONCE, "labelled")
 register("test_docs", f"SELECT doc_id, y FROM labelled WHERE {h('doc_id', hashing.SPLIT)} >= {TRAIN_BELOW}", "labelled")
 
 
@@ -37,18 +38,11 @@ def _upsampled(frm: str) -> str:
 
 
 register("train_docs", _upsampled("train_once"), "train_once")
-register(
-    "nb_terms",
-    """SELECT term, sum(CASE WHEN y = 0 THEN n ELSE 0 END)::DOUBLE AS n0, sum(CASE WHEN y = 1 THEN n ELSE 0 END)::DOUBLE AS n1
-       FROM trimmed JOIN train_docs USING (doc_id) GROUP BY term""",
-    "trimmed",
-    "train_docs",
-)
-register(
-    "nb_weights",
-    """SELECT term, ln((n0 + 1) / (sum(n0) OVER () + count(*) OVER ())) AS w0, ln((n1 + 1) / (sum(n1) OVER () + count(*) OVER ())) AS w1 FROM nb_terms""",
-    "nb_terms",
-)
+NB_TERMS = """SELECT term, sum(CASE WHEN y = 0 THEN n ELSE 0 END)::DOUBLE AS n0, sum(CASE WHEN y = 1 THEN n ELSE 0 END)::DOUBLE AS n1
+       FROM trimmed JOIN train_docs USING (doc_id) GROUP BY term"""
+NB_WEIGHTS = """SELECT term, ln((n0 + 1) / (sum(n0) OVER () + count(*) OVER ())) AS w0, ln((n1 + 1) / (sum(n1) OVER () + count(*) OVER ())) AS w1 FROM nb_terms"""
+register("nb_terms", NB_TERMS, "trimmed", "train_docs")
+register("nb_weights", NB_WEIGHTS, "nb_terms")
 register(
     "nb_predictions",
     """SELECT d.doc_id, d.y, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS yhat, greatest(s0, s1) AS score FROM test_docs d LEFT JOIN (
@@ -360,6 +354,36 @@ def _(x):
     return metrics.performance_report(_scores(x), ["toxic", "quality"])
 
 
+ALGORITHMS, VARIANTS = ("svm", "nb", "rf"), ("all", "nostop", "stem", "tfidf")
+RUNS = [(a, v) for a in ALGORITHMS for v in VARIANTS]
+register(
+    "grid_scored",
+    """SELECT a.algorithm || '|' || v.variant AS target, toxic AS y, ((doc_id * (2 * a.k + 3) + v.k * 7) % 5 < 1 + a.k + toxic)::INT AS yhat FROM docs,
+       (VALUES ('svm', 0), ('nb', 1), ('rf', 2)) AS a(algorithm, k), (VALUES ('all', 0), ('nostop', 1), ('stem', 2), ('tfidf', 3)) AS v(variant, k) WHERE toxic IS NOT NULL""",
+    "docs",
+)
+
+
+@query(
+    "j7_compare_algorithms",
+    "grid_scored",
+    " UNION ALL ".join(
+        f"""SELECT '{a}' AS algorithm, '{v}' AS variant, round_even(max(CASE WHEN metric = 'Accuracy' THEN value END), 2) AS accuracy, round_even(max(CASE WHEN metric = 'Precision_2' THEN value END), 2) AS precision,
+            round_even(max(CASE WHEN metric = 'Recall_2' THEN value END), 2) AS recall, round_even(max(CASE WHEN metric = 'F1_2' THEN value END), 2) AS f1 FROM ({_binary_sql('grid_scored', f"AND target = '{a}|{v}'")}) t"""
+        for a, v in RUNS
+    ),
+)
+def _(x):
+    """Three algorithms on four feature variants side by side, from the long metrics of a grid."""
+    d = x.docs().where(F.col("toxic").isNotNull())
+    cells = [F.struct(F.lit(a).alias("algorithm"), F.lit(v).alias("variant"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, a in enumerate(ALGORITHMS) for k, v in enumerate(VARIANTS)]
+    rows = d.select("doc_id", F.col("toxic").alias("y"), F.explode(F.array(*cells)).alias("c")).select("doc_id", "y", "c.*")
+    guess = ((F.col("doc_id") * (2 * F.col("i") + 3) + F.col("k") * 7) % 5 < 1 + F.col("i") + F.col("y")).cast("int")
+    by = ["algorithm", "variant"]
+    scores = metrics.binary_slots(metrics.classification_metrics(rows.withColumn("yhat", guess), "y", "yhat", (1,), by=by), 1)
+    return metrics.compare_algorithms(scores.withColumn("target", F.lit("toxic")), "toxic", RUNS)
+
+
 # ---- cascade and final data set ----------------------------------------------------------
 
 register(
@@ -437,6 +461,59 @@ def _(x):
     return rounded(_importance(x), ["importance"])
 
 
+QUALITY = {
+    "train_once_q": TRAIN_ONCE.replace("y FROM labelled", "quality AS y FROM labels"),
+    "train_docs_q": _upsampled("train_once_q"),
+    "nb_terms_q": NB_TERMS.replace("train_docs", "train_docs_q"),
+    "nb_weights_q": NB_WEIGHTS.replace("nb_terms", "nb_terms_q"),
+}
+for _name, _needs in zip(QUALITY, ([], ["train_once_q"], ["trimmed", "train_docs_q"], ["nb_terms_q"]), strict=True):
+    register(_name, QUALITY[_name], *_needs)
+register(
+    "places",
+    f"""SELECT doc_id, row_number() OVER (ORDER BY {h("doc_id", hashing.PERMUTE)}, doc_id) - 1 AS place, count(*) OVER () AS size FROM train_once""",
+    "train_once",
+)
+
+
+def _lost_sql(target: str, suffix: str) -> str:
+    """Importance of one target's naive Bayes weights: documents at places, weighed by their copies."""
+    return f"""SELECT '{target}' AS target, term, CAST(sum(copies * (CASE WHEN (margin > 0) = (y = 1) THEN 1 ELSE 0 END - CASE WHEN (margin + d > 0) = (y = 1) THEN 1 ELSE 0 END)) AS DOUBLE)
+         / (SELECT count(*) FROM train_docs{suffix}) AS importance FROM (
+           SELECT term, place, sum(d) AS d FROM (
+             SELECT term, place, -part AS d FROM (SELECT p.place, p.size, t.term, t.n * (w1 - w0) AS part FROM places p JOIN trimmed t USING (doc_id) JOIN nb_weights{suffix} USING (term)) c UNION ALL
+             SELECT term, ((place - 1 - ('0x' || substr(md5(term), 1, 8))::BIGINT % greatest(size - 1, 1)) % size + size) % size, part
+             FROM (SELECT p.place, p.size, t.term, t.n * (w1 - w0) AS part FROM places p JOIN trimmed t USING (doc_id) JOIN nb_weights{suffix} USING (term)) c) a
+           GROUP BY term, place) b
+         JOIN (SELECT p.place, o.y, (SELECT count(*) FROM train_docs{suffix} u WHERE u.doc_id = p.doc_id) AS copies, coalesce(s.margin, 0) AS margin
+               FROM places p JOIN train_once{suffix} o USING (doc_id) LEFT JOIN (
+                 SELECT doc_id, sum(t.n * (w1 - w0)) AS margin FROM trimmed t JOIN nb_weights{suffix} USING (term) GROUP BY doc_id) s USING (doc_id)) m USING (place)
+       GROUP BY term"""
+
+
+@query(
+    "k11_importance_top10",
+    "places train_docs train_once train_docs_q train_once_q nb_weights nb_weights_q trimmed",
+    f"""SELECT target, term, round(importance, 6) + 0.0 AS importance, CAST(rank AS INT) AS rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(importance, 9) DESC, term) AS rank
+          FROM ({_lost_sql('toxic', '')} UNION ALL {_lost_sql('quality', '_q')}) l) t WHERE rank <= 10""",
+)
+def _(x):
+    """The ten most important terms of each target, both from one pass."""
+    targets = {"toxic": models.BINARY, "quality": models.BINARY}
+    feats, docs = _features(x), x.docs()
+    data = models.labelled_rows(feats, docs.select("doc_id", *targets), targets)
+    weights = None
+    for at, name in enumerate(targets):
+        copies = F.aggregate(f"t{at}.copies", F.lit(0), lambda a, c: a + c)
+        train = data.rows.where(f"t{at}.train").select("doc_id", F.col(f"t{at}.y").cast("int").alias("y"), F.explode(F.sequence(F.lit(1), copies)))
+        w = bayes.nb_fit(feats, train, (0, 1)).weights.select("term", "df", (F.element_at("w", 2) - F.element_at("w", 1)).alias(f"w{at}"))
+        weights = w if weights is None else weights.join(w.drop("df"), "term")
+    weights = cut_lineage(weights.select("term", "df", F.array("w0", "w1").alias("w")), "weights")
+    lost = importance.importance_of_targets(feats, data.rows, weights, list(targets)).withColumn("_by", F.round("importance", 9))
+    return rounded(importance.top_k(lost, 10, "_by", ["target"], ["term"]).drop("_by"), ["importance"])
+
+
 @query(
     "o2_top_k",
     "content docs",
@@ -490,6 +567,18 @@ def _(x):
     return rounded(grid, ["value"])
 
 
+@query("k11_svm_importance")
+def _(x):
+    """The ten terms that matter most to the fitted machine of each binary target."""
+    targets = {"toxic": models.BINARY, "quality": models.BINARY}
+    feats = _features(x)
+    data = models.labelled_rows(feats, x.docs().select("doc_id", *targets), targets)
+    machines = [t.machine for t in models.svm_fit(data)]
+    weights = cut_lineage(models.weight_table([m.weights[0, :-1] for m in machines], data.index), "weights")
+    lost = importance.importance_of_targets(feats, data.rows, weights, list(targets), [m.weights[0, -1] for m in machines])
+    return rounded(importance.top_k(lost, 10, "importance", ["target"], ["term"]), ["importance"])
+
+
 @query("k8_fit_and_predict")
 def _(x):
     out = models.fit_and_predict(_features(x), x.docs(), "toxic")

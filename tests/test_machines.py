@@ -203,6 +203,41 @@ def test_text_ids_from_features_to_predictions(five):
     assert ready.train.count() and ready.test.count() and ready.unlabelled.count() == 10
 
 
+def test_importance_of_targets_brute_force_with_text_ids(spark, five):
+    from tallyscribe.functions import hashing
+    from tallyscribe.operators import importance
+
+    counts, labels = five
+    both = labels.withColumn("late", (F.col("five") > 3).cast("int"))
+    data = models.labelled_rows(counts, both, {"two": models.BINARY, "late": models.BINARY})
+    rng = np.random.default_rng(3)
+    weights = {r.term: (r.df, rng.normal(size=2).round(3).tolist()) for r in data.index.orderBy("term").collect()}
+    table = spark.createDataFrame([(t, d, w) for t, (d, w) in weights.items()], "term string, df long, w array<double>")
+    got = {(r.target, r.term): r.importance for r in importance.importance_of_targets(counts, data.rows, table, ["two", "late"], [0.2, -0.1]).collect()}
+    rows = data.rows.where("t0.train OR t1.train")
+    order = rows.withColumn("h", hashing.row_hash(rows, ["doc_id"], hashing.PERMUTE)).orderBy("h", "doc_id").collect()
+    by_doc = defaultdict(Counter)
+    for r in counts.collect():
+        by_doc[r.doc_id][r.term] += r.n
+    shift = {r.term: 1 + r.k % (len(order) - 1) for r in table.select("term", hashing.text_key(F.col("term")).alias("k")).collect()}
+
+    def hits(at, moved=None):
+        right = 0
+        for place, r in enumerate(order):
+            values = dict(by_doc[r.doc_id])
+            if moved is not None:
+                values[moved] = by_doc[order[(place + shift[moved]) % len(order)].doc_id][moved]
+            margin = sum(weights[t][1][at] * n for t, n in values.items() if t in weights) + (0.2, -0.1)[at]
+            mark = r[f"t{at}"]
+            right += sum(mark.copies) * ((margin > 0) == (mark.y == 1)) if mark.train else 0
+        return right
+
+    for at, target in enumerate(["two", "late"]):
+        size = sum(sum(r[f"t{at}"].copies) for r in order if r[f"t{at}"].train)
+        for term in weights:
+            assert got[target, term] == pytest.approx((hits(at) - hits(at, term)) / size, abs=1e-12)
+
+
 def test_best_splits_by_exhaustive_search(spark):
     rng = np.random.default_rng(7)
     x = rng.integers(0, 4, (30, 6))
