@@ -595,7 +595,33 @@ def _(x):
     return docs.select("doc_id").join(preds, "doc_id", "left")
 
 
-@query("x2_run_targets")
+def _bayes_sql(train: str, test: str, first: int) -> str:
+    """Test predictions of naive Bayes with any number of classes, long form; ``first``: the class of a document without a known term."""
+    return f"""WITH n AS (SELECT t.term, d.y, sum(t.n)::DOUBLE AS n FROM trimmed t JOIN {train} d USING (doc_id) GROUP BY t.term, d.y),
+         c AS (SELECT y, sum(n) AS total FROM n GROUP BY y), v AS (SELECT DISTINCT term FROM n),
+         w AS (SELECT v.term, c.y, ln((coalesce(n.n, 0) + 1) / (c.total + (SELECT count(*) FROM v))) AS w FROM v CROSS JOIN c LEFT JOIN n ON n.term = v.term AND n.y = c.y),
+         s AS (SELECT t.doc_id, w.y, sum(t.n * w.w) AS s FROM trimmed t JOIN w USING (term) WHERE t.doc_id IN (SELECT doc_id FROM {test}) GROUP BY t.doc_id, w.y),
+         b AS (SELECT doc_id, y AS yhat FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, y) = 1)
+       SELECT d.doc_id, d.y, coalesce(b.yhat, {first}) AS yhat FROM {test} d LEFT JOIN b USING (doc_id)"""
+
+
+register("test_docs_q", TRAIN_ONCE.replace("y FROM labelled", "quality AS y FROM labels").replace("<", ">="))
+register("train_once_d", TRAIN_ONCE.replace("y FROM labelled", "degree AS y FROM docs") + " AND degree IS NOT NULL", "docs")
+register("test_docs_d", TRAIN_ONCE.replace("y FROM labelled", "degree AS y FROM docs").replace("<", ">=") + " AND degree IS NOT NULL", "docs")
+register("train_docs_d", _upsampled("train_once_d"), "train_once_d")
+register("bayes_t", _bayes_sql("train_docs", "test_docs", 0), "trimmed", "train_docs", "test_docs")
+register("bayes_q", _bayes_sql("train_docs_q", "test_docs_q", 0), "trimmed", "train_docs_q", "test_docs_q")
+register("bayes_d", _bayes_sql("train_docs_d", "test_docs_d", 1), "trimmed", "train_docs_d", "test_docs_d")
+
+
+@query(
+    "x2_run_targets",
+    "bayes_t bayes_q bayes_d",
+    f"""SELECT target, metric, round(value, 6) + 0.0 AS value FROM (SELECT 'toxic' AS target, * FROM ({_binary_sql('bayes_t')}) a UNION ALL SELECT 'quality', * FROM ({_binary_sql('bayes_q')}) b UNION ALL
+        SELECT 'degree', metric, value FROM (SELECT lang, 'Accuracy' AS metric, avg(CASE WHEN y = yhat THEN 1.0::DOUBLE ELSE 0.0 END) AS value FROM (SELECT 1 AS lang, * FROM bayes_d) p GROUP BY lang UNION ALL """
+    + " UNION ALL ".join(_class_sql("(SELECT 1 AS lang, * FROM bayes_d)", c) for c in (1, 2, 3, 4, 5))
+    + ") c) t",
+)
 def _(x):
     """One job per target from driver threads, each scoring a naive Bayes model of its label."""
     feats, docs = _features(x), x.docs()
