@@ -275,9 +275,9 @@ def _(x):
     return rounded(raters.cronbach_alpha(_r(x)), ["value"])
 
 
-@query("a11_cronbach_alpha_checked")
+@query("a11_cronbach_alpha_checked", "full_ratings", alpha_sql())
 def _(x):
-    # Raters 2 and 5 are turned round, so the check has something to reverse.
+    # Raters 2 and 5 are turned round, so the check has something to reverse; then alpha is that of the ratings as they were.
     turned = _r(x).withColumn("rating", F.when(F.col("rater").isin(2, 5), 6 - F.col("rating")).otherwise(F.col("rating")))
     return rounded(raters.cronbach_alpha_checked(turned, COMPLETE), ["value"])
 

@@ -263,8 +263,19 @@ def _(x):
     return filter_language(d.select("doc_id", "lang").join(found, "doc_id", "left")).select("doc_id", "lang", "detected_lang")
 
 
-@query("t17_to_vectors")
+@query(
+    "t17_to_vectors",
+    "docs trimmed",
+    """WITH v AS (SELECT term, row_number() OVER (ORDER BY ('0x' || substr(md5(term), 1, 8))::BIGINT, term) - 1 AS idx, count(*) OVER () AS size FROM (SELECT DISTINCT term FROM trimmed) t)
+       SELECT d.doc_id, CAST((SELECT any_value(size) FROM v) AS INT) AS size, CAST(v.idx AS INT) AS idx, t.n::DOUBLE AS value
+       FROM docs d LEFT JOIN trimmed t USING (doc_id) LEFT JOIN v USING (term)""",
+)
 def _(x):
+    """The cells of all vectors, read off their printed form; an empty vector is one row without a cell."""
     feats = cut_lineage(trimmed(x), "features")
     index = term_index(tokens.vocabulary(feats))
-    return to_vectors(feats, index, x.table("documents").select("doc_id")).select("doc_id", F.col("features").cast("string").alias("features"))
+    vectors = to_vectors(feats, index, x.table("documents").select("doc_id")).select("doc_id", F.col("features").cast("string").alias("v"))
+    numbers = [F.split(F.nullif(F.regexp_extract("v", r"^\((\d+),\[(.*)\],\[(.*)\]\)$", k), F.lit("")), ",") for k in (2, 3)]
+    size = F.regexp_extract("v", r"^\((\d+)", 1).cast("int").alias("size")
+    cells = vectors.select("doc_id", size, F.explode_outer(F.arrays_zip(numbers[0].alias("i"), numbers[1].alias("x"))).alias("c"))
+    return cells.select("doc_id", "size", F.col("c.i").cast("int").alias("idx"), F.col("c.x").cast("double").alias("value"))
