@@ -50,3 +50,9 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, for frames that many jobs start from."""
     spark = df.sparkSession
     return load_stage(spark, save_stage(df, new_path(spark, name)))
+
+
+def drop_stage(spark: SparkSession, path: str) -> None:
+    """Delete a stage that nothing reads any more, by the file system that its path names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
