@@ -14,8 +14,9 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-#: Pieces and pre-tokens a worker remembers (up to about 200 bytes each); the older half goes when they are this many.
-KNOWN_PIECES, KNOWN_WORDS = 800_000, 1_400_000
+#: Pieces and pre-tokens a worker remembers, by the layout of the file (some 200 bytes each); the older half goes when they are
+#: this many. Words of a byte-level file are cheap to encode again, so more memory gains nothing there.
+KNOWN = {"word": 600_000, "byte": 160_000, "other": 10_000}
 
 _SPACE = "\\t-\\r \\x85\\xa0"
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -72,9 +73,9 @@ class Encoder:
         self.word_ids = word_ids or (lambda mapped: [t.id for t in self.model.tokenize(mapped)])
         self.special = [t["content"] for t in layout["added_tokens"]]
         self.map = str.maketrans(dict(enumerate(byte_chars())))
-        self.words = Recent(self._word, KNOWN_WORDS)
         self.kind = self._kind(layout)
-        self.pieces = Recent({"word": self._word_piece, "byte": self._later_piece}.get(self.kind, self._whole), KNOWN_PIECES)
+        self.words = Recent(self._word, KNOWN[self.kind])
+        self.pieces = Recent({"word": self._word_piece, "byte": self._later_piece}.get(self.kind, self._whole), KNOWN[self.kind])
 
     def _kind(self, layout: dict) -> str:
         pre, norm = layout.get("pre_tokenizer") or {}, layout.get("normalizer") or {}
