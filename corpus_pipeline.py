@@ -6,32 +6,46 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyscribe.llm import exact, minhash, packing, suffix, toxicity
+from tallyscribe.llm.frames import small_batches
 from tallyscribe.llm.queries import toxicity_index
 from tallyscribe.sources.storage import cut_lineage
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples call toxic go."""
+    """Documents that the nearest labelled examples call toxic go. Without labels all stay.
+
+    Null and empty texts have no terms and the score of a text without neighbours. Rows are judged one by one.
+    """
+    small_batches(spark)
     return toxicity.clean(docs, toxicity_index(spark, docs, sf_dir))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of identical texts the row with the largest id stays."""
+    """Of identical texts the row with the largest id stays; null counts as empty, and a null id is smaller than all others."""
     return exact.survivors(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays.
+
+    Texts without a word are like no other and stay.
+    """
+    small_batches(spark)
     return minhash.survivors(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes or more that occur again anywhere leave their texts; every document stays."""
+    """Strings of 200 bytes or more that occur again anywhere leave their texts; every document stays.
+
+    Null texts come out empty.
+    """
+    small_batches(spark)
     return suffix.without_repeats(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boundary records of all tokens in sequences of 4096."""
+    """Boundary records of all tokens in sequences of 4096; a null or empty text is its end token alone."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
