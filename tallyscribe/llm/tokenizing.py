@@ -14,9 +14,9 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-#: Pieces and pre-tokens a worker remembers, by the layout of the file (some 200 bytes each); the older half goes when they are
-#: this many. Words of a byte-level file are cheap to encode again, so more memory gains nothing there.
-KNOWN = {"word": 600_000, "byte": 160_000, "other": 10_000}
+#: Pieces and pre-tokens a worker remembers, by the layout of the file (up to about 200 bytes each); the older half goes when they
+#: are this many.
+KNOWN = {"word": (600_000, 600_000), "byte": (800_000, 1_400_000), "other": (800_000, 1_400_000)}
 
 _SPACE = "\\t-\\r \\x85\\xa0"
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -74,8 +74,8 @@ class Encoder:
         self.special = [t["content"] for t in layout["added_tokens"]]
         self.map = str.maketrans(dict(enumerate(byte_chars())))
         self.kind = self._kind(layout)
-        self.words = Recent(self._word, KNOWN[self.kind])
-        self.pieces = Recent({"word": self._word_piece, "byte": self._later_piece}.get(self.kind, self._whole), KNOWN[self.kind])
+        self.words = Recent(self._word, KNOWN[self.kind][1])
+        self.pieces = Recent({"word": self._word_piece, "byte": self._later_piece}.get(self.kind, self._whole), KNOWN[self.kind][0])
 
     def _kind(self, layout: dict) -> str:
         pre, norm = layout.get("pre_tokenizer") or {}, layout.get("normalizer") or {}
