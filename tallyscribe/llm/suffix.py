@@ -3,8 +3,8 @@
 Plain prefix doubling ranks every position of the corpus again at each offset. Here a position takes part only while its
 string can still be repeated:
 
-1. Every window of ``length`` bytes names one anchor in it: the leftmost of its ``GRAM``-byte strings with the smallest
-   rank (a 64-bit number of the string). Equal windows have the same anchor at the same place, so windows of an anchor
+1. Every window of ``length`` bytes names one anchor in it: the leftmost of its ``GRAM``-byte strings that come first in
+   a fixed order of strings. Equal windows have the same anchor at the same place, so windows of an anchor
    whose string is unique are unique. The windows that share an anchor are a run.
 2. Runs that reach equally far and are equal over their whole reach are one class, again by rank. A class with two
    members is repeated through and through; nothing more is asked about it.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscribe.llm.frames import slices, utf8
-from tallyscribe.llm.words import mix
+from tallyscribe.llm.words import ADDENDS, BASE, PRIME, halves, joined, mix, powers, times
 from tallyscribe.sources.storage import cut_lineage
 
 LENGTH = 200
@@ -41,29 +41,28 @@ ARROW = {"bytes": pa.binary(), "sha256": pa.string(), "text": pa.string()}
 #: Bytes of text that are ranked at a time.
 BLOCK = 1 << 18
 
-_BASE = 0x5851F42D4C957F2D
-_POWER: dict[str, np.ndarray] = {}
-
-
-def _table(n: int, which: str) -> np.ndarray:
-    """Powers of the base or of its inverse, modulo 2^64."""
-    if len(_POWER.get(which, ())) < n:
-        step = _BASE if which == "up" else pow(_BASE, -1, 1 << 64)
-        all_of = np.full(max(n, BLOCK + 2 * LENGTH), step, np.uint64)
-        all_of[0] = 1
-        _POWER[which] = np.cumprod(all_of, dtype=np.uint64)
-    return _POWER[which]
+_STEPS = {1 << k: pow(BASE, 1 << k, 1 << 64) for k in range(16)}
 
 
 class Ranks:
-    """64-bit numbers of all substrings of ``raw``."""
+    """64-bit numbers of the substrings of ``raw`` of up to ``ADDENDS`` bytes."""
 
     def __init__(self, raw: np.ndarray):
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _table(len(raw) + 1, "up")[: len(raw)], out=self.sums[1:])
+        self.sums = [np.append(np.uint64(0), np.cumsum(x)) for x in halves(raw, powers(len(raw))[: len(raw)])]
+        self.down = powers(len(raw) + 1, pow(BASE, -1, PRIME))
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[b] - self.sums[a]) * _table(len(self.sums), "down")[a])
+        # The sums wrap in very long runs of text; differences of places that are near are right all the same.
+        return mix(times(joined(*(x[b] - x[a] for x in self.sums)), self.down[a]))
+
+
+def _order(raw: np.ndarray) -> np.ndarray:
+    """A number of each ``GRAM``-byte string that only serves to choose anchors: strings may share one."""
+    value, reach = raw.astype(np.uint64) + np.uint64(1), 1
+    while reach < GRAM:
+        step = min(reach, GRAM - reach)
+        value, reach = value[:-step] * np.uint64(_STEPS[reach]) + value[step:], reach + step
+    return mix(value)
 
 
 def _anchors(rank: np.ndarray, width: int) -> np.ndarray:
@@ -77,15 +76,14 @@ def _anchors(rank: np.ndarray, width: int) -> np.ndarray:
 
 
 def _block_runs(raw: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    rank, grams = Ranks(raw), len(raw) - GRAM + 1
-    place = np.arange(grams)
-    gram = rank(place, place + GRAM)
-    anchor = _anchors(gram, length - GRAM + 1)
+    rank = Ranks(raw)
+    anchor = _anchors(_order(raw), length - GRAM + 1)
     new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     first, last = new, np.append(new[1:], len(anchor)) - 1
     anchor = anchor[new]
+    gram = rank(anchor, anchor + GRAM)
     reach = (anchor - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
-    return first, last, gram[anchor], mix(rank(first, last + length) + mix(reach + gram[anchor]))
+    return first, last, gram, mix(rank(first, last + length) + mix(reach + gram))
 
 
 def runs(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -277,8 +275,8 @@ def remove_repeats(
     a struct of the input's other columns. Null text is empty; texts under ``length`` bytes stay whole. Every row
     counts: repeated rows are each other's repeats, whatever their ids, null ones too. An empty table gives no rows.
     """
-    if length <= GRAM:
-        raise ValueError(f"length must be over {GRAM}")
+    if not GRAM < length <= ADDENDS // 2:
+        raise ValueError(f"length must be over {GRAM} and at most {ADDENDS // 2}")
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     others = F.struct(*rest) if rest and form != "sha256" else F.lit(None).cast("int")
     rows = docs.select(

@@ -8,12 +8,18 @@ import numpy as np
 SLICE = 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x5851F42D4C957F2D  # odd, so its powers lose no bits
+#: Strings are polynomials in ``BASE`` modulo this prime. Modulo a power of two, whole families of strings would meet.
+PRIME = (1 << 61) - 1
+BASE = 0x0851F42D4C957F2D
+#: So many products of a byte and half a power add up without a carry out of 64 bits.
+ADDENDS = 1 << 22
+
+_PRIME = np.uint64(PRIME)
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
-_POWERS = np.ones(1, np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,14 +31,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(n: int) -> np.ndarray:
-    """At least ``n`` powers of the base, modulo 2^64."""
-    global _POWERS
-    if len(_POWERS) < n:
-        base = np.full(max(n, 1024), _BASE, np.uint64)
-        base[0] = 1
-        _POWERS = np.cumprod(base, dtype=np.uint64)
-    return _POWERS
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo the prime."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, from halves of 31 bits."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    x1, x0, y1, y0 = x >> half, x & low, y >> half, y & low
+    middle = x1 * y0 + x0 * y1
+    middle = (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half)
+    return reduced(np.uint64(2) * x1 * y1 + middle + x0 * y0)
+
+
+def joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """``high * 2^32 + low`` modulo the prime, for ``high`` below 2^61."""
+    return reduced((high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)) + reduced(low))
+
+
+def powers(n: int, base: int = BASE) -> np.ndarray:
+    """At least ``n`` powers of ``base`` modulo the prime."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.ones(1, np.uint64)
+        while len(out) < max(n, 1024):
+            out = np.concatenate([out, times(out, np.full(len(out), pow(base, len(out), PRIME), np.uint64))])
+        _POWERS[base] = out
+    return _POWERS[base]
+
+
+def halves(letters: np.ndarray, power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of bytes (plus one) with the upper and the lower 32 bits of powers."""
+    letters = letters.astype(np.uint64) + np.uint64(1)
+    return letters * (power >> np.uint64(32)), letters * (power & np.uint64((1 << 32) - 1))
+
+
+def _long(letters: np.ndarray) -> np.uint64:
+    """The polynomial of one word of any length, ``ADDENDS`` letters at a time."""
+    total, power = 0, powers(len(letters))[: len(letters)]
+    for a in range(0, len(letters), ADDENDS):
+        high, low = halves(letters[a : a + ADDENDS], power[a : a + ADDENDS])
+        total += int(joined(high.sum().reshape(1), low.sum().reshape(1))[0])
+    return np.uint64(total % PRIME)
 
 
 class Words:
@@ -57,8 +98,11 @@ class Words:
         self.size = np.diff(np.append(at, len(letters)))
         if len(at):
             place = np.arange(len(letters)) - np.repeat(at, self.size)
-            value = (letters.astype(np.uint64) + np.uint64(1)) * powers(int(self.size.max()))[place]
-            self.code = mix(np.add.reduceat(value, at) + self.size.astype(np.uint64) * _STEP)
+            high, low = halves(letters, powers(int(self.size.max()))[place])
+            value = joined(*(np.add.reduceat(x, at) for x in (high, low)))
+            for word in np.flatnonzero(self.size > ADDENDS):
+                value[word] = _long(letters[at[word] : at[word] + self.size[word]])
+            self.code = mix(value + self.size.astype(np.uint64) * _STEP)
         else:
             self.code = np.zeros(0, np.uint64)
         self.doc = np.searchsorted(starts, self.start, side="right") - 1

@@ -1,5 +1,10 @@
 import pytest
 
+def mirrored(n, flip=False):
+    """The Thue-Morse word of ``n`` letters (a power of two) or its mirror: pairs that meet modulo any power of two."""
+    return "".join("ab"[(k.bit_count() + flip) % 2] for k in range(n))
+
+
 LONG = "lorem ipsum dolor sit amet " * 4000
 
 
@@ -25,12 +30,21 @@ def odd(spark):
         (12, "日本語 \x1c ½ é ́ 😀 don't"),
         (13, "x " * 300),
         (14, "##### $$$$$ %%%%% &&&&& ||||| <<<<< >>>>> ***** ##### $$$$$ %%%%% &&&&&"),
+        (15, mirrored(2048)),
+        (16, mirrored(2048, flip=True)),
+        (17, "alpha beta gamma delta " + mirrored(1024)),
+        (18, "alpha beta gamma delta " + mirrored(1024, flip=True)),
     ]
     rows = [(i, t, "k", 1, 2, 3, 4.0, True, "s", None) for i, t in texts]
     names = "doc_id bigint, text string, key string, kind int, n int, code int, score double, kept boolean, line string, component_id string"
     return spark.createDataFrame(rows, names)
 
 
+@pytest.fixture(scope="session")
+def mirrors():
+    return mirrored(2048), mirrored(2048, flip=True)
+
+
 @pytest.fixture(scope="session")
 def empty(odd):
     return odd.where("false")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyscribe.llm import exact, graph, lines, minhash, suffix
+from tallyscribe.llm import exact, graph, lines, minhash, suffix, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -177,6 +177,27 @@ def test_remove_repeats_odd_rows(odd, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_strings_that_meet_modulo_powers_of_two(spark, mirrors):
+    """Words and texts whose polynomials modulo 2^64 are equal for every odd base are told apart."""
+    x, y = mirrors
+    raw = np.frombuffer(f"{x} {y} {x}".encode(), np.uint8)
+    code = words.Words(raw, np.array([0, len(raw)])).code
+    assert code[0] == code[2] != code[1]
+    docs = [(0, x), (1, y), (2, "pre " + x[:1500])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted(suffix.remove_repeats(df, length=1024).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got] == brute_repeats([t for _, t in docs], 1024)
+    assert rows_of(minhash.near_dedup(df, shingle=2)) == brute_near(docs)
+
+
+def test_words_longer_than_one_sum(monkeypatch):
+    raw = np.frombuffer(b"Abcab" * 500 + b" " + b"abcab" * 500 + b" " + b"abcab" * 499 + b"abcac", np.uint8)
+    whole = words.Words(raw, np.array([0, len(raw)])).code
+    monkeypatch.setattr(words, "ADDENDS", 64)
+    parts = words.Words(raw, np.array([0, len(raw)])).code
+    assert np.array_equal(whole, parts) and whole[0] == whole[1] != whole[2]
+
+
 def test_long_texts_are_ranked_in_blocks_alike(monkeypatch):
     """Cutting a text into blocks may split runs, never lose a window."""
     raw = np.frombuffer(np.random.default_rng(3).integers(97, 101, 5000, dtype=np.uint8).tobytes(), np.uint8)

@@ -73,6 +73,9 @@ def test_lm_odd_rows(odd, empty):
     model, counts = lm.fit(odd)
     rows = lm.score(odd, model, counts).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
+    half, counts_of_half = lm.fit(odd.where("doc_id <> 16"))
+    mirror = [r for r in lm.score(odd.where("doc_id = 16"), half, counts_of_half).collect()]
+    assert [(r.n_tokens, r.n_known) for r in mirror] == [(2, 1)]  # the end alone
     ones = [r for r in rows if r.doc_id == 1 and r.n_tokens > 10]
     assert len(ones) == 2 and ones[0].base_score == pytest.approx(ones[1].base_score) and ones[0].n_known == ones[0].n_tokens
     nothing, none = lm.fit(empty)
