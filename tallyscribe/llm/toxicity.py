@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyscribe.llm.frames import pick, slices, utf8
 from tallyscribe.llm.words import SLICE, Words, mix, powers
+from tallyscribe.sources.storage import cut_lineage
 
 #: The classifier is fitted on at most so many labelled rows of each label, those with the smallest hash of their id.
 EXAMPLES = 6_000
@@ -108,7 +109,7 @@ class Index:
         return w / np.sqrt((w * w).sum()) if len(w) else w
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of largest cosine over 0 and the cosines; of equal ones those of smaller id.
+        """The ``k`` examples of largest cosine over 0, with all that equal the last of them, and the cosines.
 
         Blocks are taken by their upper bound, 16 at a time, until none can reach the k-th best so far.
         """
@@ -118,8 +119,8 @@ class Index:
         for a in range(0, len(order), 16):
             blocks = order[a : a + 16]
             blocks = blocks[bound[blocks] > 0]
-            if len(cosine) == k:
-                blocks = blocks[bound[blocks] >= cosine[-1] - 1e-12]
+            if len(cosine) >= k:
+                blocks = blocks[bound[blocks] >= cosine[k - 1] - 1e-11]
             if not len(blocks):
                 break
             total = np.zeros((len(blocks), BLOCK))
@@ -134,16 +135,25 @@ class Index:
             row, col = np.nonzero(total)
             who = blocks[row] * BLOCK + col
             best, cosine = np.concatenate([best, who]), np.concatenate([cosine, np.round(total[row, col], 12)])
-            pick_best = np.lexsort((best, -cosine))[:k]
-            best, cosine = best[pick_best], cosine[pick_best]
+            ranked = np.lexsort((best, -cosine))
+            best, cosine = best[ranked], cosine[ranked]
+            if len(cosine) > k:
+                ties = int(np.searchsorted(-cosine, -cosine[k - 1], side="right"))
+                best, cosine = best[:ties], cosine[:ties]
         return best, cosine
 
     def share(self, at: np.ndarray, n: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[float, np.ndarray]:
-        """Weighted share of toxic votes, and the neighbours; ``without``: an example that has no vote."""
+        """Weighted share of toxic votes, and the neighbours; ``without``: an example that has no vote.
+
+        All neighbours of the k-th largest cosine vote, so no id decides a score.
+        """
         who, cosine = self.nearest(at, self.vector(at, n), k + (without >= 0)) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
         if without >= 0:
             others = who != without
-            who, cosine = who[others][:k], cosine[others][:k]
+            who, cosine = who[others], cosine[others]
+            if len(cosine) > k:
+                ties = cosine >= cosine[k - 1]
+                who, cosine = who[ties], cosine[ties]
         votes = cosine * self.votes[who]
         unit = PRIOR_VOTES * (self.votes.min() if len(self.votes) else 1.0)
         return float(((votes * self.label[who]).sum() + unit * self.rate) / (votes.sum() + unit)), who
@@ -161,17 +171,18 @@ class Index:
         self.rates = np.array([p[1] / p[0] for p in pools])
 
     def score(self, at: np.ndarray, n: np.ndarray, k: int = NEIGHBOURS) -> tuple[float, np.ndarray]:
-        """Calibrated score and the ids of the neighbours, nearest first."""
+        """Calibrated score and the ids of ``k`` neighbours, nearest first, of equal ones those of smaller id."""
         share, who = self.share(at, n, k)
         if self.shares is not None and len(self.shares):
             share = float(np.interp(share, self.shares, self.rates))
-        return share, self.ids[who]
+        return share, self.ids[who[:k]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, vocabulary: int = TERMS) -> Index:
     """An index of at most ``examples`` rows per label. ``labels (doc_id, toxic)`` are the rows to learn from.
 
-    Null ids or labels teach nothing; a document that ``labels`` names twice is an example twice.
+    Null ids or labels teach nothing; a document that ``labels`` names twice is an example twice, and so are rows of
+    ``docs`` that share an id; the bound holds for them too. An example that is scored finds itself among its neighbours.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     total = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -179,7 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for t in (0, 1):
         some = known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = pick(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # at most 2 * examples rows
+    # ``chosen`` has at most 2 * examples rows; ids that many rows share are cut to the bound after the join.
+    named = cut_lineage(pick(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id"), "op10-examples")
+    clean, toxic = (named.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(examples) for t in (0, 1))
+    rows = clean.unionByName(toxic)
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
     spread = rows.select("text", "toxic").mapInArrow(_spread, "term bigint, toxic bigint, clean bigint")
