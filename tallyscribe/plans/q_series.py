@@ -8,6 +8,7 @@ from tallyscribe.functions.nulls import share
 from tallyscribe.operators import prep, regression, series
 from tallyscribe.operators.prep import date_slice, incident_features, positive_posts
 from tallyscribe.plans.fixtures import FLAGS, LANGUAGE, SUBJECTS, TYPES, Inputs, register
+from tallyscribe.plans.fit_sql import coefficients
 from tallyscribe.plans.registry import query, r6, rounded, s6
 from tallyscribe.sources.storage import cut_lineage
 
@@ -400,13 +401,23 @@ def _(x):
     return regression.cross_products(frame, len(names))
 
 
-@query("r2_ols")
+def _levels_sql() -> str:
+    group = """CASE WHEN category IN ('offline action other', 'online action other') THEN 'action other'
+      WHEN category IN ('offline action subject', 'online action subject') THEN 'action subject' WHEN category = 'event' THEN 'events' ELSE '' END"""
+    dummies = ", ".join(f"CASE WHEN {group} = '{c}' THEN 1.0 ELSE 0.0 END::DOUBLE AS x{i + 2}" for i, c in enumerate(CATEGORIES))
+    return f"SELECT next_positives::DOUBLE AS y, positives::DOUBLE AS x0, prev_positives::DOUBLE AS x1, {dummies} FROM lagged l LEFT JOIN calendar c USING (date)"
+
+
+LEVELS = ["positives", "prev_positives"] + [f"cattotal={c}" for c in CATEGORIES]
+
+
+@query("r2_ols", "lagged calendar", lambda: coefficients(LEVELS, _levels_sql()))
 def _(x):
     fit = regression.ols(_incident_frame(x), "next_positives", ["positives", "prev_positives"], {"cattotal": ("no incident", CATEGORIES)})
     return rounded(fit.table(x.spark), ["estimate", "std_error", "t", "p", "r2"])
 
 
-@query("r3_ols_hc1")
+@query("r3_ols_hc1", "lagged calendar", lambda: coefficients(LEVELS, _levels_sql(), errors="HC1"))
 def _(x):
     fit = regression.ols(
         _incident_frame(x), "next_positives", ["positives", "prev_positives"], {"cattotal": ("no incident", CATEGORIES)}, cov="HC1"
@@ -428,12 +439,18 @@ def _panel(x: Inputs):
 PANEL_X = ["n_positive", "scale", "total_x_scale", "x3_violence", "x3_insult", "x3_disparagement", "x3_prejudice", "x3_mocking"]
 
 
-@query("r4_panel_within")
+def _panel_sql() -> str:
+    counts = ", ".join(f"sum({c})::DOUBLE AS x{i + 3}" for i, c in enumerate(PANEL_X[3:]))
+    return f"""SELECT date AS g, sum(x5_explicitlanguage)::DOUBLE / nullif(sum(x5_implicitlanguage)::DOUBLE, 0) AS y, count(*)::DOUBLE AS x0,
+      scale::DOUBLE AS x1, (count(*) * scale)::DOUBLE AS x2, {counts} FROM positive_posts WHERE scale IS NOT NULL GROUP BY date, scale"""
+
+
+@query("r4_panel_within", "positive_posts", lambda: coefficients(PANEL_X, _panel_sql(), within=True))
 def _(x):
     return rounded(regression.panel_within(_panel(x), "explicit_ratio", PANEL_X, "date").table(x.spark), ["estimate", "std_error", "t", "p", "r2"])
 
 
-@query("r5_panel_clustered")
+@query("r5_panel_clustered", "positive_posts", lambda: coefficients(PANEL_X, _panel_sql(), errors="cluster", within=True))
 def _(x):
     fit = regression.panel_within(_panel(x), "explicit_ratio", PANEL_X, "date", cluster="date")
     return rounded(fit.table(x.spark), ["estimate", "std_error", "t", "p", "r2"])
