@@ -30,6 +30,35 @@ def test_json_arrays_keep_long_ids(spark, folder):
     assert got[str(BIG + 2)].lang is None
 
 
+def test_arrays_are_split_at_records(spark, folder, tmp_path):
+    """Blocks of 64 bytes, with braces, brackets, quotes and backslashes in texts and nested originals."""
+    odd = ['}{ "', "\\", 'a\\"}', "},{", '[{"id": 1}]', "", "{" * 40, "}" * 40, '"' * 9, "é😀}\u2028{", "line\nbreak }\r\n"]
+    records = [{"id": BIG + 10 + k, "text": odd[k % len(odd)] * (1 + k % 3), "retweeted_status": {"id": k, "user": {"t": odd[-k % len(odd)]}}} for k in range(200)]
+    (tmp_path / "3_tweets.json").write_text(json.dumps(records))
+    (tmp_path / "4_tweets.json").write_text(json.dumps(records[:7], indent=2, ensure_ascii=False))
+    (tmp_path / "5_tweets.json").write_text("[]")
+    (tmp_path / "6_tweets.json").write_text("")
+
+    def rows(df):
+        """Nested values as parsed: one reader keeps their layout, the other writes them anew."""
+        return sorted(str(dict(r.asDict(), retweeted_status=json.loads(r.retweeted_status or "null"))) for r in df.collect())
+
+    want = rows(posts.read_posts(spark, folder))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        pieces = spark.read.option("lineSep", "}").text(str(tmp_path / "3_tweets.json"))
+        assert pieces.rdd.getNumPartitions() > 50
+        got = posts.read_post_arrays(spark, folder)
+        assert got.schema == posts.read_posts(spark, folder).schema
+        assert rows(got) == want and len(want) == 210
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert rows(posts.read_post_arrays(spark, folder)) == want
+
+
 def test_flatten_gives_dotted_names(spark):
     df = spark.sql("SELECT 1 AS id, named_struct('urls', 'u', 'geo', named_struct('lat', 2.5D)) AS entities")
     assert posts.flatten(df).columns == ["id", "entities.urls", "entities.geo.lat"]
