@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,19 +77,17 @@ def _(x):
         CASE WHEN doc_id % 3 = 0 THEN 'RT }}, {{ ' || lang END AS original_text FROM docs""",
 )
 def _(x):
-    """Files of one array each, of some 500 posts, as they arrive: several lines, some posts with the original inside."""
+    """Files of one array each, of some 5000 posts, as they arrive: several lines, some posts with the original inside."""
     original = F.struct((F.col("id") - 1).cast("decimal(20,0)").alias("id"), F.concat(F.lit("RT }, { "), "lang").alias("text"))
     number = F.col("id") - F.lit(BIG)
     posts = _post_json(x).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(' }{ "'), F.lit("\\")))
     posts = posts.withColumn("retweeted_status", F.when(number % 3 == 0, original))
-    batch = F.floor(number / 500).alias("batch")
-    first = posts.groupBy(batch).agg(F.min("id").alias("first"))
-    items = posts.select(batch, "id", F.to_json(F.struct(*posts.columns)).alias("json")).join(first, "batch")
-    head = F.when(F.col("id") == F.col("first"), "[\n ").otherwise(",\n ")
-    lines = items.select("batch", "id", F.concat(head, "json").alias("value"))
-    ends = first.select("batch", F.lit(None).cast("bigint").alias("id"), F.lit("]").alias("value"))
+    batch = Window.partitionBy("batch").orderBy("id")
+    items = posts.select(F.floor(number / 5000).alias("batch"), "id", F.to_json(F.struct(*posts.columns)).alias("json"))
+    head = F.when(F.lag("id").over(batch).isNull(), "[\n ").otherwise(",\n ")
+    tail = F.when(F.lead("id").over(batch).isNull(), "\n]").otherwise("")
     path = storage.new_path(x.spark, "arrays")
-    lines.unionByName(ends).repartition("batch").sortWithinPartitions("batch", F.asc_nulls_last("id")).select("batch", "value").write.partitionBy("batch").text(path)
+    items.select("batch", F.concat(head, "json", tail).alias("value")).write.partitionBy("batch").text(path)
     read = post_files.read_post_arrays(x.spark, path, pattern="part-*")
     original = F.from_json("retweeted_status", "id string, text string")
     return read.select("id", "text", "lang", "created_at", "retweets_count", original["id"].alias("original_id"), original["text"].alias("original_text"))
