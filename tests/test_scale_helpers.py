@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyscribe.functions import hashing
-from tallyscribe.operators import sampling
+from tallyscribe.operators import language, sampling, skew, tokens
 from tallyscribe.operators.skew import join_term_stats, rank_by_hash
 
 
@@ -90,3 +90,44 @@ def test_copies_share_a_fold(skewed):
     folds = sampling.assign_folds(up, "y", "id", 5, group_key="id")
     assert folds.count() == up.count()
     assert folds.groupBy("id").agg(F.count_distinct("fold").alias("k")).where("k > 1").count() == 0
+
+
+def test_texts_are_dealt_by_their_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some words here " * 50) for i in range(100)], "doc_id int, text string")
+    assert tokens.corpus(docs).rdd.getNumPartitions() == 4  # the session's shuffle partitions
+    monkeypatch.setattr(skew, "TASK_BYTES", 2000)
+    dealt = tokens.corpus(docs)
+    assert dealt.rdd.getNumPartitions() == 40
+    assert tokens.dfm(tokens.tokenize(dealt)).where("n <> 50").count() == 0
+    assert skew.text_tasks(docs.where("false")) == 4
+
+
+def test_frequent_ngrams_of_one_text():
+    words = "bär ab ab 中文字 𝒳y a".split()
+    count = {}
+    for w in words:
+        p = f"_{w}_"
+        for i in range(len(p)):
+            for k in range(1, min(5, len(p) - i) + 1):
+                count[p[i : i + k]] = count.get(p[i : i + k], 0) + 1
+    want = sorted(count, key=lambda g: (-count[g], g))
+    assert language.frequent_ngrams(words, 10_000) == want
+    assert language.frequent_ngrams(words, 7) == want[:7]
+    many = ["".join(chr(0x4E00 + (i * 7 + j) % 20_000) for j in range(9)) for i in range(5000)]  # more letters than fit one number
+    counted = {}
+    for w in many:
+        p = f"_{w}_"
+        for i in range(len(p)):
+            for k in range(1, min(5, len(p) - i) + 1):
+                counted[p[i : i + k]] = counted.get(p[i : i + k], 0) + 1
+    assert language.frequent_ngrams(many, 500) == sorted(counted, key=lambda g: (-counted[g], g))[:500]
+
+
+def test_language_of_repeated_and_null_ids(spark):
+    profiles = spark.createDataFrame([("x", "_a", 1), ("x", "a", 2), ("y", "_b", 1), ("y", "b", 2)], "lang string, ngram string, rank int")
+    rows = [(1, "a"), (1, "b b b"), (2, "A!"), (3, "12"), (4, None), (None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    found = language.identify_language(docs, profiles, ["x", "y"])
+    got = sorted(((r.doc_id, r.detected_lang) for r in found.collect()), key=str)
+    assert got == [(1, "y"), (1, "y"), (2, "x"), (3, None), (4, None), (None, None)]
+    assert "Generate" not in found._jdf.queryExecution().toString()  # n-grams of documents never become rows
