@@ -133,12 +133,20 @@ class Encoder:
         if self.kind == "other" or not text:
             return self._whole(text)
         # A space between two visible characters begins a pre-token; any other white space stays inside its piece.
-        parts = _INNER_SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
+        parts = _INNER_SPACE.split(text) if odd_space(text) else text.split(" ")
         return self._byte_piece(parts[0]) + b"".join(map(self.pieces.__getitem__, parts[1:]))
 
 
 SEPARATORS = re.compile("[\x1c-\x1f]")
 ODD_SPACE = re.compile(r"^ | $|  | [^\S ]|[^\S ] ")
+_RARE_SPACE = re.compile(r"[^\S \n]")
+
+
+def odd_space(text: str) -> bool:
+    """Whether ``ODD_SPACE`` is in a text, by plain searches wherever spaces and line ends are its only white space."""
+    if text.startswith(" ") or text.endswith(" ") or "  " in text or " \n" in text or "\n " in text:
+        return True
+    return bool(_RARE_SPACE.search(text) and ODD_SPACE.search(text))
 
 
 @lru_cache(maxsize=4)

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tallyscribe.llm import bpe, packing, tokenfiles
-from tallyscribe.llm.tokenizing import Encoder, Recent
+from tallyscribe.llm.tokenizing import ODD_SPACE, Encoder, Recent, odd_space
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
@@ -118,3 +118,9 @@ def test_sequences_are_padded(odd):
     rows = packing.sequences(pieces, window=64, pad_id=7).orderBy("sequence_id").collect()
     assert all(len(r.ids) == 256 or (r.n_tokens & (r.n_tokens - 1) == 0 and len(r.ids) == 4 * r.n_tokens) for r in rows)
     assert all(r.n_tokens == 64 for r in rows[:-1])
+
+
+def test_odd_spaces_are_found_by_plain_searches():
+    spaces = [" ", "\n", "\t", "\xa0", "\u2003", "\x1c"]
+    texts = some_texts() + [f"{a}{x}{b}{y}" for a in ("", "a") for x in spaces for y in (*spaces, "z") for b in ("", "b")]
+    assert [odd_space(t) for t in texts] == [bool(ODD_SPACE.search(t)) for t in texts]
