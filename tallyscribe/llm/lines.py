@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,21 +13,35 @@ from tallyscribe.llm.frames import LOWER, UPPER, WS, pick, slices
 
 MIN_CHARS = 10
 MIN_DOCS = 2
-_FOLD = str.maketrans(UPPER, LOWER)
+_BLANK = WS.encode()
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def line_key(line: str, min_chars: int) -> bytes | None:
-    """128-bit hash of the stripped line with A-Z lower-cased; None if it is shorter than ``min_chars``."""
-    line = line.strip(WS)
-    return hashlib.blake2b(line.translate(_FOLD).encode(), digest_size=16).digest() if len(line) >= min_chars else None
+def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
+    """Per line the 128-bit hash of the stripped line with A-Z lower-cased; None if it is shorter than ``min_chars``.
+
+    Lines are cut, stripped and folded as UTF-8: no byte of a longer character is below 0x80. Only lines that have enough bytes
+    and may still lack characters are counted.
+    """
+    out = []
+    for line in text.translate(_FOLD).split(b"\n"):
+        line = line.strip(_BLANK)
+        long = len(line) >= 4 * min_chars or (len(line) >= min_chars and (line.isascii() or len(line.decode()) >= min_chars))
+        out.append(blake2b(line, digest_size=16).digest() if long else None)
+    return out
+
+
+def _bytes(part: pa.RecordBatch) -> list[bytes]:
+    return part.column("text").cast(pa.binary()).to_pylist()
 
 
 def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             ids, keys = [], []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                found = {line_key(x, min_chars) for x in text.split("\n")} - {None}
+            for i, text in enumerate(_bytes(part)):
+                found = set(line_keys(text, min_chars))
+                found.discard(None)
                 keys += found
                 ids += [i] * len(found)
             key = part.column("key").take(pa.array(ids, pa.int32()))
@@ -40,17 +54,17 @@ def _rebuild(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             n, gone, out = [], [], []
-            for text, drop in zip(part.column("text").to_pylist(), part.column("drop").to_pylist(), strict=True):
-                lines = text.split("\n")
-                kept = lines
+            for text, drop in zip(_bytes(part), part.column("drop").to_pylist(), strict=True):
+                lines, dropped = text.count(b"\n") + 1, 0
                 if drop:
                     bad = set(drop)
-                    kept = [x for x in lines if line_key(x, min_chars) not in bad]
-                n.append(len(lines))
-                gone.append(len(lines) - len(kept))
-                out.append("\n".join(kept))
+                    kept = [x for x, key in zip(text.split(b"\n"), line_keys(text, min_chars), strict=True) if key not in bad]
+                    dropped, text = lines - len(kept), b"\n".join(kept)
+                n.append(lines)
+                gone.append(dropped)
+                out.append(text)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())],
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())],
                 ["doc_id", "n_lines", "n_dropped", "kept_text"],
             )
 

@@ -243,3 +243,13 @@ def test_near_dedup_loses_no_link_in_a_group_of_almost_similar_texts(spark, monk
     want = brute_near(docs)
     assert 100 <= sum(not r[3] for r in want) < 200
     assert rows_of(minhash.near_dedup(df, shingle=2)) == want
+
+
+def test_line_keys_of_bytes_equal_those_of_characters():
+    def plain(line, least):
+        line = line.strip(" \t\n\x0b\x0c\r")
+        return hashlib.blake2b(line.translate(FOLD).encode(), digest_size=16).digest() if len(line) >= least else None
+
+    text = "\n".join(["", " \t ", "ABC def ghi", "\x0bÄÖÜ ß 12345\r", "日本語" * 3, "日本語" * 4, "\xa0 nbsp stays \xa0", "123456789", "1234567890", "😀" * 9 + " ", "😀" * 10, "É" * 9 + "Z", "x" * 100])
+    for least in (1, 9, 10, 11):
+        assert lines.line_keys(text.encode(), least) == [plain(x, least) for x in text.split("\n")]
