@@ -108,6 +108,54 @@ def test_several_slices_come_to_the_same_machines(data, monkeypatch):
     assert [np.linalg.norm(a - b) / np.linalg.norm(b) for a, b in zip(found, want, strict=True)] == pytest.approx([0, 0], abs=0.15)
 
 
+def test_groups_of_models_are_bounded_and_the_same(data, monkeypatch):
+    """The driver holds few models at a time, whatever the number of machines that are tuned, and chooses the same costs."""
+    costs = (0.01, 1.0)
+    want = models._costs(data, costs, 2, linear.ONE_VS_ONE)
+    seen, fit_group, judge = [], linear._fit_group, linear.fold_errors
+
+    def group(rows, size, problems, *more):
+        seen.append(len(problems))
+        return fit_group(rows, size, problems, *more)
+
+    def errors(rows, machines, folds):
+        assert sum(len(m.weights) for _, _, m in machines) <= 40
+        return judge(rows, machines, folds)
+
+    monkeypatch.setattr(linear, "STATE_BYTES", (data.size + 1) * 8 * 40)
+    monkeypatch.setattr(linear, "_fit_group", group)
+    monkeypatch.setattr(linear, "fold_errors", errors)
+    assert models._costs(data, costs, 2, linear.ONE_VS_ONE) == want
+    assert max(seen) <= 40 and sum(seen) == 2 * 10 * 12
+    monkeypatch.undo()
+    assert (data.size + 1) * 8 * linear.room(data.size) <= 64 << 20 and linear.room(10**9) == 1
+
+
+def test_climb_row_by_row(data):
+    """Blocks of rows make the steps that one row after the other makes."""
+    table = data.rows.orderBy("doc_id").toArrow().combine_chunks()
+    part = linear.Slice(table.to_batches()[0], PROBLEMS, data.folds)
+    _, x = matrix(data)
+    for slices in (1, 3):
+        dual = np.zeros(part.goal.shape)
+        part.climb(np.zeros(dual.shape), x @ x.T, dual, slices, 5)
+        rows = np.flatnonzero(part.most.any(axis=1))
+        want, margin, rng = np.zeros(dual.shape), np.zeros(dual.shape), np.random.default_rng(5)
+        for _ in range(max(3, min(linear.EPOCHS, linear.STEPS // len(rows)))):
+            for i in rng.permutation(rows):
+                bend = slices * (x[i] @ x[i])
+                for k in range(len(PROBLEMS)):
+                    most, goal, old, at = part.most[i, k], part.goal[i, k], want[i, k], margin[i, k]
+                    if part.numeric[k]:
+                        up, down = old - (at - goal + linear.EPSILON) / bend, old - (at - goal - linear.EPSILON) / bend
+                        new, side = np.clip(up if up > 0 else down if down < 0 else 0.0, -most, most), 1.0
+                    else:
+                        new, side = np.clip(old + (1 - goal * at) / bend, 0, most), goal
+                    want[i, k] = new
+                    margin[:, k] += slices * (x @ x[i]) * (new - old) * side
+        assert np.allclose(dual, want, atol=1e-6)
+
+
 def test_inner_products(data):
     import pyarrow as pa
 
