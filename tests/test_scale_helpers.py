@@ -1,6 +1,7 @@
 """Skew helpers and resampling: hot groups give the plain answer."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -131,3 +132,22 @@ def test_language_of_repeated_and_null_ids(spark):
     got = sorted(((r.doc_id, r.detected_lang) for r in found.collect()), key=str)
     assert got == [(1, "y"), (1, "y"), (2, "x"), (3, None), (4, None), (None, None)]
     assert "Generate" not in found._jdf.queryExecution().toString()  # n-grams of documents never become rows
+
+
+def dealt(df):
+    """Into how many parts the rows of a join by term and salt are dealt."""
+    return set(re.findall(r"RepartitionByExpression \[term#\d+, _salt#\d+\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def test_joins_of_stored_facts_get_more_tasks(spark, monkeypatch, tmp_path):
+    """The tasks of a trim follow the rows of the counts, also with few shuffle partitions; the rows are the same."""
+    rows = [(i, f"t{(i * 7 + k) % 90}", 1 + k % 2) for i in range(200) for k in range(5)]
+    spark.createDataFrame(rows, "doc_id long, term string, n long").write.parquet(str(tmp_path / "counts"))
+    counts = spark.read.parquet(str(tmp_path / "counts"))
+    want = sorted(map(tuple, tokens.dfm_trim(counts, 14, 11).collect()))
+    monkeypatch.setattr(skew, "TASK_FACTS", 100)
+    assert skew.fact_tasks(counts) == 10
+    trimmed = tokens.dfm_trim(counts, 14, 11)
+    assert dealt(trimmed) == {"10"}
+    assert sorted(map(tuple, trimmed.collect())) == want and 0 < len(want) < 1000
+    assert dealt(tokens.dfm_tfidf(counts, spark.range(200).selectExpr("count(*)"))) == {"10"}
