@@ -326,3 +326,36 @@ def test_poisson_draws(spark):
     for m in (0, 1, 7, 400):
         mean, var = out.agg(F.avg(f"m{m}"), F.var_pop(f"m{m}")).first()
         assert mean == pytest.approx(m, rel=0.05) and var == pytest.approx(m, rel=0.15)
+
+
+def test_forest_blocks_draw_as_spark_does(spark):
+    """Cells are drawn in blocks, by Spark's own hash, and weights are Spark's Poisson draws; the rows of all cells and trees are never made."""
+    nodes = [(t, k, n) for t in (0, 3) for k in (0, 7, 499) for n in (1, 2, 77, 2**31 - 1, 2**33)]
+    table = spark.createDataFrame(nodes, "target int, tree int, node bigint")
+    terms = np.array([0, 1, 2, 5, 40, 999, 2**31 - 1], np.int32)
+    cells = table.withColumn("idx", F.explode(F.array(*[F.lit(int(t)) for t in terms])))
+    keys = ["target", "tree", "node", "idx"]
+    at = np.array(nodes)
+    seeds = forest.hash_long(at[:, 2], forest.hash_int(at[:, 1], forest.hash_int(at[:, 0], np.full(len(at), 42, np.uint64))))
+    for share in (0.0, 0.002, 0.3, 1.0):
+        want = {tuple(r) for r in cells.where(forest._uniform(*[F.col(k) for k in keys]) < share).collect()}
+        i, j = forest._draws(seeds, terms, forest._below(share))
+        assert {(*nodes[a], int(terms[b])) for a, b in zip(i, j, strict=True)} == want
+    hashes = {r.id: r.h for r in spark.createDataFrame([("a",), ("",), (None,)], "id string").select("id", F.xxhash64("id").alias("h")).collect()}
+    for mean in (0.0, 1.0, 3.0, 99.0, 250.0):
+        draw = forest._poisson(F.lit(mean), forest._uniform(F.col("id"), F.col("tree"), F.lit(4)))
+        trees = spark.range(50).select(F.col("id").cast("int").alias("tree"))
+        for doc, h in hashes.items():
+            want = trees.withColumn("id", F.lit(doc).cast("string")).select("tree", draw.alias("w")).orderBy("tree").collect()
+            assert forest.draw_weights(mean, h, 50, 4).tolist() == [r.w for r in want]
+
+
+def test_forest_rows_of_a_level_are_nodes_and_drawn_cells(spark, data, monkeypatch):
+    """No level stores a row per document and tree: one per block, one per node of a block, one per drawn cell."""
+    monkeypatch.setattr(forest, "drop_stage", lambda *_: None)
+    seen = []
+    path = forest.new_path
+    monkeypatch.setattr(forest, "new_path", lambda s, n: seen.append(path(s, n)) or seen[-1])
+    forest.forest_predictions(data.rows, [(0, models.ORDINAL, data.classes[0])], data.size, 40, 3).count()
+    first = {r.kind: r.n for r in spark.read.parquet(seen[0]).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert first[0] <= 2 and first[1] == 40 * first[0] < data.rows.count() * 40 / 4
