@@ -36,6 +36,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+#: Rows of a table that a join may send to every task; Spark goes by the size of files, which hold far more rows than the driver.
+SENT_ROWS = 1 << 14
+
+
+def beside(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` as the smaller side of a join: sent to every task if it is known to have few rows, else sorted and merged.
+
+    ``rows`` is at least the number of its rows.
+    """
+    return F.broadcast(df) if rows is not None and rows <= SENT_ROWS else df.hint("merge")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches where their texts pass ``size`` bytes, so that a task's memory follows the longest text only."""
     for batch in batches:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyscribe.llm.frames import beside
 from tallyscribe.sources.storage import cut_lineage
 
 
@@ -25,9 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # (a, b): b < a, and b is as near to the smallest as a's neighbours know
-        edges = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        edges = both.join(beside(low, 2 * state[0]), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        near = edges.join(low, "a")
+        near = edges.join(beside(low, 2 * state[0]), "a")
         edges = (
             near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         )

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscribe.llm.frames import pick, slices, utf8
+from tallyscribe.llm.frames import beside, pick, slices, utf8
 from tallyscribe.llm.graph import components
 from tallyscribe.llm.words import Words, mix, shingle_sets
 from tallyscribe.sources.storage import cut_lineage
@@ -100,16 +100,17 @@ def _full_sets(shingle: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough. ``a`` may be in very many pairs: its set is copied per ``FAN``."""
+    """The stored ``pairs (a, b)`` whose full sets are similar enough. ``a`` may be in very many pairs: its set is copied per ``FAN``."""
+    n = pairs.count()
     busy = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAN)).cast("int").alias("copies"))
     copies = (
         sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
-        .join(busy, "a")
+        .join(beside(busy, n), "a")
         .select("a", "left", "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     )
-    dealt = pairs.join(busy, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
-    with_b = dealt.join(sets.select(F.col("node").alias("b"), F.col("members").alias("right")), "b")
-    both = with_b.join(copies.select("a", "copy", "left"), ["a", "copy"])
+    dealt = pairs.join(beside(busy, n), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
+    with_b = sets.select(F.col("node").alias("b"), F.col("members").alias("right")).join(beside(dealt, n), "b")
+    both = with_b.join(beside(copies.select("a", "copy", "left")), ["a", "copy"])
     same = F.size(F.array_intersect("left", "right"))
     return (
         both.select("a", "b", same.alias("same"), (F.size("left") + F.size("right") - same).alias("all"))
@@ -123,14 +124,14 @@ def _star(members: DataFrame, similarity: int) -> DataFrame:
     order = F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "n_shingles")
     centre = members.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", "c.node", "c.n_shingles").toDF("bucket", "a", "na")
     fits = (F.least("na", "n_shingles") * 100 >= F.greatest("na", "n_shingles") * similarity) & (F.col("a") != F.col("node"))
-    return members.join(centre, "bucket").where(fits).select("a", F.col("node").alias("b")).distinct()
+    return members.join(beside(centre), "bucket").where(fits).select("a", F.col("node").alias("b")).distinct()
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, with their component."""
-    tagged = members.join(labels, "node", "left").select("node", "n_shingles", "bucket", F.coalesce("component", "node").alias("comp"))
+    tagged = members.join(beside(labels), "node", "left").select("node", "n_shingles", "bucket", F.coalesce("component", "node").alias("comp"))
     several = tagged.groupBy("bucket").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other")
-    return tagged.join(several.select("bucket"), "bucket", "left_semi")
+    return tagged.join(beside(several.select("bucket")), "bucket", "left_semi")
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,7 @@ def _rest_pairs(open_sets: DataFrame, similarity: int) -> DataFrame:
     first = cut_lineage(first.select("node", "comp", "n", F.posexplode("first").alias("place", "shingle")), "op1-prefixes")
     met = first.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other")
     met = met.select("shingle", F.ceil(F.col("m") / F.lit(FAN)).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = first.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(met, ["shingle", "salt"])
+    dealt = first.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(beside(met), ["shingle", "salt"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     dealt = cut_lineage(dealt.select("shingle", "node", "comp", "n", "place", "block", "blocks"), "op1-dealt")
     low = dealt.select("shingle", *(F.col(c).alias(f"{c}1") for c in ("node", "comp", "n", "place")), F.col("block").alias("lo"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("hi"))
@@ -185,7 +186,7 @@ def _rest_pairs(open_sets: DataFrame, similarity: int) -> DataFrame:
     enough = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) * (100 + similarity) >= (F.col("n1") + F.col("n2")) * similarity
     keys = [low[c] == high[c] for c in ("shingle", "lo", "hi")]
     once = (low["lo"] < low["hi"]) | (F.col("node1") < F.col("node2"))
-    both = low.join(high, [*keys, F.col("comp1") != F.col("comp2"), once, enough])
+    both = low.join(beside(high), [*keys, F.col("comp1") != F.col("comp2"), once, enough])
     return both.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
@@ -194,10 +195,10 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     ends = links
     for end in ("a", "b"):
         mine = labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-        ends = ends.join(mine, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+        ends = ends.join(beside(mine), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
     moved = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(moved)
+    return labels.join(beside(to), "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(moved)
 
 
 def near_dedup(
@@ -231,29 +232,30 @@ def near_dedup(
     )
     exploded = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-    members = cut_lineage(exploded.join(shared, "bucket", "left_semi"), "op1-buckets")
+    members = cut_lineage(exploded.join(beside(shared), "bucket", "left_semi"), "op1-buckets")
+    n_members = members.count()
     nodes = members.select("node").distinct()
     key = F.struct(F.col("doc_id")).alias("key")
     ids = nodes.select(F.struct(F.col("node.doc_id").alias("doc_id")).alias("key")).distinct()
-    wanted = rows.select(key, "doc_id", "text").join(ids, "key", "left_semi").select("doc_id", "text")
+    wanted = rows.select(key, "doc_id", "text").join(beside(ids, n_members), "key", "left_semi").select("doc_id", "text")
     sets = (
         wanted.mapInArrow(_full_sets(shingle), f"doc_id {id_type}, code bigint, members array<bigint>")
         .select(F.struct("doc_id", "code").alias("node"), "members")
-        .join(nodes, "node", "left_semi")
+        .join(beside(nodes, n_members), "node", "left_semi")
         .dropDuplicates(["node"])
     )
     sets = cut_lineage(sets, "op1-sets")
     pairs = cut_lineage(_star(members, similarity), "op1-pairs")
     labels = components(_confirmed(pairs, sets, similarity))
     several = cut_lineage(_open(members, labels).select("node", "comp").distinct(), "op1-open")
-    open_sets = cut_lineage(sets.join(several, "node").select("node", "comp", "members"), "op1-open-sets")
+    open_sets = cut_lineage(sets.join(beside(several, several.count()), "node").select("node", "comp", "members"), "op1-open-sets")
     rest = cut_lineage(_rest_pairs(open_sets, similarity), "op1-rest")
     links = cut_lineage(_confirmed(rest, sets, similarity), "op1-links")
     if not links.isEmpty():
         labels = cut_lineage(_merged(labels, links), "op1-labels")
-    classes = classes.select("code", "code2", "n_shingles", "node").join(labels, "node", "left")
+    classes = classes.select("code", "code2", "n_shingles", "node").join(beside(labels), "node", "left")
     found = classes.select("code", "code2", "n_shingles", F.coalesce("component", "node")["doc_id"].alias("component_id"), F.lit(True).alias("_in"))
-    out = sketch.select("doc_id", "n_shingles", "code", "code2").join(found, ["code", "code2", "n_shingles"], "left")
+    out = sketch.select("doc_id", "n_shingles", "code", "code2").join(beside(found), ["code", "code2", "n_shingles"], "left")
     component = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -261,4 +263,4 @@ def near_dedup(
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``near_dedup`` keeps, with all their columns; rows that share an id stay or go together."""
     kept = near_dedup(docs, id_col, text_col, **options).where("kept").select(F.struct("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", F.struct(F.col(f"`{id_col}`").alias("doc_id"))).join(kept, "_key", "left_semi").drop("_key")
+    return docs.withColumn("_key", F.struct(F.col(f"`{id_col}`").alias("doc_id"))).join(beside(kept), "_key", "left_semi").drop("_key")

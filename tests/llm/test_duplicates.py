@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyscribe.llm import exact, graph, lines, minhash, suffix, words
+from tallyscribe.llm import exact, frames, graph, lines, minhash, suffix, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -245,6 +245,26 @@ def test_near_dedup_loses_no_link_in_a_group_of_almost_similar_texts(spark, monk
     assert rows_of(minhash.near_dedup(df, shingle=2)) == want
 
 
+def test_near_dedup_sends_only_tables_known_to_be_small(spark, monkeypatch):
+    """Stored tables look small by their files; none may be sent to every task through the driver for that."""
+    monkeypatch.setattr(frames, "SENT_ROWS", -1, raising=False)
+    plans, kept = [], minhash.cut_lineage
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, name)
+
+    monkeypatch.setattr(minhash, "cut_lineage", noted)
+    monkeypatch.setattr(graph, "cut_lineage", noted)
+    docs = [(i, " ".join(f"w{k}" for k in range(i // 4, i // 4 + 60)) + f" end{i}") for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    out = minhash.survivors(df, shingle=2)
+    plans.append(("out", out._jdf.queryExecution().executedPlan().toString()))
+    assert len(plans) > 8
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+    assert sorted(r.doc_id for r in out.collect()) == [r[0] for r in brute_near(docs) if r[3]]
+
+
 def test_line_keys_of_bytes_equal_those_of_characters():
     def plain(line, least):
         line = line.strip(" \t\n\x0b\x0c\r")
