@@ -151,3 +151,31 @@ def test_joins_of_stored_facts_get_more_tasks(spark, monkeypatch, tmp_path):
     assert dealt(trimmed) == {"10"}
     assert sorted(map(tuple, trimmed.collect())) == want and 0 < len(want) < 1000
     assert dealt(tokens.dfm_tfidf(counts, spark.range(200).selectExpr("count(*)"))) == {"10"}
+
+
+def test_trimming_for_some_documents_judges_terms_by_all(spark):
+    """Repeated and missing ids in the table or the list; only rows of listed documents come out, as many as before."""
+    rows = [(d, f"w{k}", 1 + (d or 0) % 3) for d in [*range(40), 3, None] for k in range(12) if (d or 0) % (k + 1) == 0]
+    counts = spark.createDataFrame(rows, "doc_id bigint, term string, n bigint")
+    ids = spark.createDataFrame([(2,), (3,), (3,), (6,), (99,), (None,)], "doc_id bigint")
+    whole = tokens.dfm_trim(counts, 14, 11)
+    got = tokens.dfm_trim(counts, 14, 11, ids)
+    assert got.columns == counts.columns
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert order(got) == order(whole.where("doc_id IN (2, 3, 6)")) != []
+
+
+def test_cross_validation_trims_by_all_documents_and_joins_labelled_ones_only(spark, tmp_path, monkeypatch):
+    from tallyscribe.operators import bayes
+    from tallyscribe.plans import registry
+
+    texts = [(d, " ".join(f"word{'abcdefgh'[(d * j) % 8]}" for j in range(1, 9)) + f" pair{d // 2} only{d}") for d in range(60)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, d % 2) for d in range(0, 60, 3)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, whole = [], bayes.nb_cross_validate
+    monkeypatch.setattr(bayes, "nb_cross_validate", lambda counts, *more: seen.append(counts) or whole(counts, *more))
+    out = registry.QUERIES["k1_naive_bayes_folds"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(0, 60, 3))
+    assert {r.doc_id for r in seen[0].select("doc_id").collect()} == set(range(0, 60, 3))
+    # Of the two documents that hold such a term one is labelled; a term of one document alone is trimmed.
+    assert {r.term for r in seen[0].where("term LIKE 'pair%' OR term LIKE 'only%'").collect()} == {f"pair{d // 2}" for d in range(0, 60, 3)}
