@@ -131,6 +131,17 @@ def test_groups_of_models_are_bounded_and_the_same(data, monkeypatch):
     assert (data.size + 1) * 8 * linear.room(data.size) <= 64 << 20 and linear.room(10**9) == 1
 
 
+def test_rounds_store_nothing_and_slices_are_packed_once(five, monkeypatch):
+    """Inner products are made and stored once for all costs, folds and machines of a table; a round is a job that writes no table."""
+    data = models.labelled_rows(*five, {"two": models.BINARY})
+    made, stored = [], []
+    products, save = linear.cut_lineage, linear.new_path
+    monkeypatch.setattr(linear, "cut_lineage", lambda df, name: made.append(name) or products(df, name))
+    monkeypatch.setattr(linear, "new_path", lambda spark, name: stored.append(name) or save(spark, name))
+    models.svm_fit(data, (0.1, 1.0), 4)
+    assert len(made) == 1 and len(stored) <= 2
+
+
 def test_climb_row_by_row(data):
     """Blocks of rows make the steps that one row after the other makes."""
     table = data.rows.orderBy("doc_id").toArrow().combine_chunks()
