@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyscribe.functions import hashing
 from tallyscribe.operators import language, sampling, skew, tokens
 from tallyscribe.operators.skew import join_term_stats, rank_by_hash
+from tallyscribe.sources import storage
 
 
 @pytest.fixture(scope="module")
@@ -179,3 +181,36 @@ def test_cross_validation_trims_by_all_documents_and_joins_labelled_ones_only(sp
     assert {r.doc_id for r in seen[0].select("doc_id").collect()} == set(range(0, 60, 3))
     # Of the two documents that hold such a term one is labelled; a term of one document alone is trimmed.
     assert {r.term for r in seen[0].where("term LIKE 'pair%' OR term LIKE 'only%'").collect()} == {f"pair{d // 2}" for d in range(0, 60, 3)}
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_a_stored_stage_leaves_no_shuffle_behind(spark, tmp_path):
+    """What a stage has shuffled is deleted once its files are written; the setting for that is put back, also after a failure."""
+    before, setting = _shuffle_files(spark), spark.conf.get(storage.CLEANUP, None)
+    path = storage.save_stage(spark.range(10_000).repartition(4, "id").withColumn("k", F.col("id") % 7).groupBy("k").count(), str(tmp_path / "stage"))
+    with pytest.raises(Exception, match="wrong"):
+        storage.save_stage(spark.range(3).select(F.raise_error(F.lit("wrong"))), str(tmp_path / "wrong"))
+    for _ in range(50):
+        left = _shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(storage.CLEANUP, None) == setting
+    assert storage.load_stage(spark, path).count() == 7
+
+
+def test_variants_join_the_counts_once(spark, monkeypatch):
+    """The rows with their term statistics are stored, so no variant joins them again, and the counts they came from are dropped."""
+    dropped = []
+    monkeypatch.setattr(tokens, "drop_stage", lambda s, path: (dropped.append(path), storage.drop_stage(s, path)))
+    docs = spark.createDataFrame([(1, "the cat runs, cats run"), (2, "a cat ran the mile"), (3, None), (None, "cat the cat")], "doc_id long, text string")
+    variants = tokens.feature_variants(docs)
+    plan = variants.where("variant <> 'stem'")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(dropped) == 1 and "Join" not in plan
+    got = {(r.variant, r.doc_id, r.term): r.weight for r in variants.collect()}
+    assert got["all", 1, "the"] == 1 and got["all", None, "the"] == 1 and ("nostop", 1, "the") not in got
+    assert got["nostop", None, "cat"] == 2 and got["stem", 1, "cat"] == 2 and got["tfidf", 1, "cat"] == pytest.approx(0.12)
