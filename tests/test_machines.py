@@ -370,3 +370,40 @@ def test_forest_rows_of_a_level_are_nodes_and_drawn_cells(spark, data, monkeypat
     forest.forest_predictions(data.rows, [(0, models.ORDINAL, data.classes[0])], data.size, 40, 3).count()
     first = {r.kind: r.n for r in spark.read.parquet(seen[0]).groupBy("kind").agg(F.count("*").alias("n")).collect()}
     assert first[0] <= 2 and first[1] == 40 * first[0] < data.rows.count() * 40 / 4
+
+
+def test_importance_moves_cells_once(spark, five):
+    """Cells go to the places they leave and come to in one shuffle, not by term and place first and by place again."""
+    from tallyscribe.operators import importance
+
+    counts, labels = five
+    data = models.labelled_rows(counts, labels, {"two": models.BINARY})
+    weights = data.index.select("term", "df", F.lit(0.5).alias("w"))
+    rows = spark.createDataFrame([(f"id-{i}", 0, i % 2) for i in range(60)], "doc_id string, copy_no int, y int").withColumn("doc_id", F.substring("doc_id", 4, 9).cast("long"))
+    plain = counts.where("doc_id LIKE 'id-%'").withColumn("doc_id", F.substring("doc_id", 4, 9).cast("long"))
+    one = importance.permutation_importance(plain, rows, weights)
+    many = importance.importance_of_targets(counts, data.rows, weights.withColumn("w", F.array("w")), ["two"])
+    for out in (one, many):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(place#" in plan and "hashpartitioning(term#" in plan
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(term#" in x and "place#" in x.split("]")[0].split("ENSURE")[0]]
+
+
+def test_importance_trims_by_all_documents_and_joins_labelled_ones(spark, monkeypatch):
+    """Only rows of labelled documents go through the joins of ``k11``; whether a term is kept is decided by all documents."""
+    import __spark_entry__
+    from tallyscribe.plans import q_models
+
+    labels = [(i, i % 2, i % 3 % 2) for i in range(12)]
+    docs = [(i, f"word{i % 4} common shared{i}", "en", "web", 20) for i in range(24)] + [(30, "shared3 shared4 shared5", "en", "web", 20)]
+    tables = {
+        "documents": spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+    }
+    monkeypatch.setattr(q_models.Inputs, "table", lambda self, name: tables[name])
+    seen = []
+    trimmed = q_models.trimmed
+    monkeypatch.setattr(q_models, "trimmed", lambda x, ids=None: seen.append(trimmed(x, ids)) or seen[-1])
+    terms = {r.term for r in __spark_entry__.queries()["k11_permutation_importance"](spark, "").collect()}
+    assert {r.doc_id for r in seen[0].collect()} <= set(range(12))
+    assert terms and terms <= {"common", "shared3", "shared4", "shared5", *[f"word{k}" for k in range(4)]} and terms & {"shared3", "shared4", "shared5"}
